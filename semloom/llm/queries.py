@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import neardup
+from semloom.llm import neardup, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_minhash_near_dedup": neardup.op8_minhash_near_dedup}
+    return {
+        "op4_token_counts": tokens.op4_token_counts,
+        "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": neardup.ORACLE_SQL}
+    return {
+        "op4_token_counts": tokens.op4_token_counts,
+        "op8_minhash_near_dedup": neardup.ORACLE_SQL}
