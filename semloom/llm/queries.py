@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import neardup, packing, tokens
+from semloom.llm import decontaminate, neardup, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_token_counts": tokens.op4_token_counts,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_token_counts": tokens.op4_token_counts,
-        "op8_minhash_near_dedup": neardup.ORACLE_SQL}
+        "op3_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op8_minhash_near_dedup": neardup.ORACLE_SQL,
+    }
