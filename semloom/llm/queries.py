@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, neardup, packing, tokens
+from semloom.llm import decontaminate, language, neardup, packing, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_token_counts": tokens.op4_token_counts,
+        "op6_language_id": language.op6_language_id,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
     }
