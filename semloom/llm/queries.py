@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, language, neardup, packing, tokens
+from semloom.llm import decontaminate, language, neardup, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_token_counts": tokens.op4_token_counts,
         "op6_language_id": language.op6_language_id,
