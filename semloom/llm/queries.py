@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, language, neardup, packing, quality, tokens
+from semloom.llm import decontaminate, embeddings, language, neardup, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_token_counts": tokens.op4_token_counts,
+        "op5_embedding_near_dedup": embeddings.op5_embedding_near_dedup,
         "op6_language_id": language.op6_language_id,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op5_embedding_near_dedup": embeddings.ORACLE_SQL,
         "op8_minhash_near_dedup": neardup.ORACLE_SQL,
     }
