@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, embeddings, language, neardup, packing, quality, tokens
+from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
+        "op2_license_scans": licenses.op2_license_scans,
         "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
         "op4_token_counts": tokens.op4_token_counts,
         "op5_embedding_near_dedup": embeddings.op5_embedding_near_dedup,
