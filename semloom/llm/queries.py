@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens
+from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": tokens.op4_token_counts,
         "op5_embedding_near_dedup": embeddings.op5_embedding_near_dedup,
         "op6_language_id": language.op6_language_id,
+        "op7_url_filters": urls.op7_url_filters,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
     }
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op5_embedding_near_dedup": embeddings.ORACLE_SQL,
+        "op7_url_filters": urls.ORACLE_SQL,
         "op8_minhash_near_dedup": neardup.ORACLE_SQL,
     }
