@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens, urls
+from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filters": urls.op7_url_filters,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_near_dedup": embeddings.ORACLE_SQL,
         "op7_url_filters": urls.ORACLE_SQL,
         "op8_minhash_near_dedup": neardup.ORACLE_SQL,
+        "op10_warc": warc.ORACLE_SQL,
     }
