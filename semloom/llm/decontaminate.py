@@ -115,10 +115,10 @@ bw AS (
   FROM b WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (
-  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS at, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS x
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS x
   FROM d, sizes WHERE len(w) >= n
-), hits AS (SELECT DISTINCT doc_id, at, dw.n, item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
-words AS (SELECT DISTINCT doc_id, unnest(range(at, at + n)) AS k FROM hits),
+), hits AS (SELECT DISTINCT doc_id, pos, dw.n, item_id FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
+words AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS k FROM hits),
 h AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
 i AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s

@@ -149,8 +149,8 @@ pairs AS (
   SELECT a.vec_id AS one, b.vec_id AS other FROM n a JOIN n b ON a.vec_id <> b.vec_id
   WHERE a.l > 0 AND b.l > 0 AND list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.9
 ), reach AS (
-  SELECT vec_id AS node, vec_id AS at FROM v UNION SELECT r.node, p.other FROM reach r JOIN pairs p ON r.at = p.one
-), least AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node),
+  SELECT vec_id AS node, vec_id AS pos FROM v UNION SELECT r.node, p.other FROM reach r JOIN pairs p ON r.pos = p.one
+), least AS (SELECT node, min(pos) AS component_id FROM reach GROUP BY node),
 counts AS (SELECT one, count(*) AS n FROM pairs GROUP BY one)
 SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
 FROM v JOIN least l ON l.node = v.vec_id LEFT JOIN counts c ON c.one = v.vec_id

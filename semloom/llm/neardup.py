@@ -295,9 +295,9 @@ pairs AS (
   SELECT a.doc_id AS one, b.doc_id AS other FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
 ), reach AS (
-  SELECT doc_id AS node, doc_id AS at FROM documents
-  UNION SELECT r.node, p.other FROM reach r JOIN pairs p ON r.at = p.one
-), least AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node)
+  SELECT doc_id AS node, doc_id AS pos FROM documents
+  UNION SELECT r.node, p.other FROM reach r JOIN pairs p ON r.pos = p.one
+), least AS (SELECT node, min(pos) AS component_id FROM reach GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sets s JOIN least l ON l.node = s.doc_id
 """
