@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of documents that links connect, the one with the smallest doc_id stays; of its repeated rows, one."""
     found = neardup.near_duplicates(docs)
     gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    named = docs.filter("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents go in which a window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
