@@ -235,7 +235,7 @@ def archive(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> tuple[
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n"))
     groups = materialise(groups.filter("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    captures = write_archives(base.join(groups, "digest", "left").withColumn("revisit", revisit), folder)
+    captures = write_archives(base.join(groups.hint("merge"), "digest", "left").withColumn("revisit", revisit), folder)
     return captures, write_index(captures, folder)
 
 
