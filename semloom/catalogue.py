@@ -5,11 +5,492 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from semloom.functions import iri
+from semloom.model import OWL, RDFS, TYPE, XSD
+from semloom.operators import concepts, reasoning, shapes
+from semloom.plans import pattern
+from semloom.plans.abox import individual, triples
+from semloom.sources import catalog, rdf
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+T = pattern.Template
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# -- mapping patterns ------------------------------------------------------------------------------------------------
+
+PATTERNS = {
+    "direct": [T("?this", "o_custkey", "?value")],
+    "role_bearer": [T("?this", "hasParticipant", "?o1"), T("?o1", TYPE, "BuyerRole"), T("?o1", "isFeatureOf", "?value")],
+    "time_instant": [T("?this", "atTime", "?o1"), T("?o1", TYPE, "TimeInstant"), T("?o1", "hasValue", "?value")],
+    # orders and suppliers meet in the nation of the order's customer
+    "convergent": [T("?this", "o_custkey", "?o1"), T("?o1", "c_nationkey", "?o2"), T("?value", "s_nationkey", "?o2"), T("?value", TYPE, "supplier")],
+}
+_BUYS = "SELECT 'orders/' || o_orderkey AS this, 'customer/' || o_custkey AS value FROM orders"
+
+
+@query("pattern_direct", _BUYS)
+def pattern_direct(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.evaluate(PATTERNS["direct"], triples(spark, d))
+
+
+@query("pattern_role_bearer", _BUYS)
+def pattern_role_bearer(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.evaluate(PATTERNS["role_bearer"], triples(spark, d))
+
+
+@query("pattern_time_instant", "SELECT 'orders/' || o_orderkey AS this, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders")
+def pattern_time_instant(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.evaluate(PATTERNS["time_instant"], triples(spark, d))
+
+
+@query("pattern_reverse", "SELECT 'customer/' || o_custkey AS this, 'orders/' || o_orderkey AS value FROM orders")
+def pattern_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.reverse(pattern.evaluate(PATTERNS["role_bearer"], triples(spark, d)))
+
+
+@query(
+    "pattern_convergent",
+    """SELECT DISTINCT 'orders/' || o_orderkey AS this, 'supplier/' || s_suppkey AS value
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = c_nationkey""",
+)
+def pattern_convergent(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.evaluate(PATTERNS["convergent"], triples(spark, d))
+
+
+@query("pattern_group_count", "SELECT 'customer/' || o_custkey AS value, count(*) AS n FROM orders GROUP BY o_custkey")
+def pattern_group_count(spark: SparkSession, d: str) -> DataFrame:
+    return pattern.evaluate(PATTERNS["role_bearer"], triples(spark, d)).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query(
+    "triples_predicate_stats",
+    """SELECT p, count(*) AS n FROM (
+      SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'n_regionkey', 'n_name']) AS p FROM nation UNION ALL
+      SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'c_nationkey', 'c_name', 'c_mktsegment']) FROM customer UNION ALL
+      SELECT unnest(['http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'r_name']) FROM region) GROUP BY p""",
+)
+def triples_predicate_stats(spark: SparkSession, d: str) -> DataFrame:
+    return triples(spark, d, ["region", "nation", "customer"]).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(
+    "bgp_optional",
+    """SELECT 'customer/' || c_custkey AS s, 'nation/' || c_nationkey AS nation, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS fax FROM customer""",
+)
+def bgp_optional(spark: SparkSession, d: str) -> DataFrame:
+    return rdf.star(triples(spark, d, ["customer"]), "c_name", {"nation": "c_nationkey", "segment": "c_mktsegment", "fax": "c_fax"})
+
+
+# -- catalog ---------------------------------------------------------------------------------------------------------
+
+
+@query("list_sorted", "SELECT n_nationkey AS id, n_name AS title FROM nation")
+def list_sorted(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.listed(_read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")), "title")
+
+
+@query("point_lookup", "SELECT r_regionkey AS id, r_name AS title FROM region WHERE r_regionkey = 2")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.by_id(_read(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("title")), 2)
+
+
+@query(
+    "nested_document",
+    "SELECT r_regionkey, array_to_string(list(n_name ORDER BY n_name), ',') AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey",
+)
+def nested_document(spark: SparkSession, d: str) -> DataFrame:
+    out = catalog.nested(_read(spark, d, "region"), _read(spark, d, "nation"), "r_regionkey", "n_regionkey", ["n_name"], "nations")
+    return out.select("r_regionkey", F.array_join(F.col("nations.n_name"), ",").alias("nations"))
+
+
+@query("upsert_latest", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    events = _read(spark, d, "events").select("user_id", "event_id", "event_type")
+    old, new = events.filter("event_id % 3 > 0"), events.filter("event_id % 3 = 0")
+    return catalog.upsert(old, new, "user_id", "event_id")
+
+
+_GONE = "c_nationkey = 3"
+
+
+@query("cascade_delete", f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE {_GONE})")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = _read(spark, d, "customer").filter(_GONE).select("c_custkey")
+    return catalog.cascade(_read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", gone)
+
+
+@query("set_null_delete", f"SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE {_GONE}) THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+def set_null_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = _read(spark, d, "customer").filter(_GONE).select("c_custkey")
+    return catalog.set_null(_read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", gone)
+
+
+@query("patch_partial", "SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey = 7 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey = 7 THEN 'NEW' ELSE c_mktsegment END AS segment FROM customer")
+def patch_partial(spark: SparkSession, d: str) -> DataFrame:
+    table = _read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return catalog.patch(table, 7, {"name": "", "segment": "NEW"})
+
+
+@query("lenient_json", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS n FROM events")
+def lenient_json(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("event_id") % 2 == 0, '["functional", "transitive"]').when(F.col("event_id") % 3 == 0, "[broken")
+    return _read(spark, d, "events").select("event_id", F.size(catalog.json_array(text)).alias("n"))
+
+
+@query(
+    "validation_errors",
+    """SELECT e, count(*) AS n FROM (
+      SELECT unnest(list_filter([CASE WHEN length(p_name) < 1 THEN 'title: required' END, CASE WHEN NOT regexp_matches(p_brand, '^\\S+$') THEN 'name: no white space' END,
+        CASE WHEN p_type NOT IN ('object', 'datatype') THEN 'property_type: object or datatype' END], lambda x: x IS NOT NULL)) AS e FROM part) GROUP BY e""",
+)
+def validation_errors(spark: SparkSession, d: str) -> DataFrame:
+    found = catalog.errors(F.col("p_name"), F.col("p_brand"), F.col("p_type"))
+    return _read(spark, d, "part").select(F.explode(found).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
+
+
+def _metamodel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as classes below regions; customers as properties of nations."""
+    nation = _read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("super_class_id"))
+    region = _read(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("super_class_id"))
+    props = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("r"), F.col("s_nationkey") % 5).alias("domain_class_id"), (F.col("s_suppkey") % 7).alias("name"))
+    return nation.unionByName(region), props
+
+
+@query("inherited_properties", "SELECT 'n' || n_nationkey AS class_id, s_suppkey AS property_id FROM nation JOIN supplier ON s_nationkey % 5 = n_regionkey")
+def inherited_properties(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.inherited(*_metamodel(spark, d))
+
+
+@query("own_properties", "SELECT min(s_suppkey) AS id, 'r' || s_nationkey % 5 AS domain_class_id, s_suppkey % 7 AS name FROM supplier GROUP BY 2, 3")
+def own_properties(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.representative(_metamodel(spark, d)[1], ["domain_class_id", "name"], "id")
+
+
+@query("summary_counts", "SELECT (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM supplier) AS properties, (SELECT count(*) FROM part WHERE p_size > 25) AS mapped")
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    parts = _read(spark, d, "part").agg(F.count("*").alias("classes"), F.count_if(F.col("p_size") > 25).alias("mapped"))
+    return parts.join(_read(spark, d, "supplier").agg(F.count("*").alias("properties")), F.lit(True)).select("classes", "properties", "mapped")
+
+
+@query("range_union", "SELECT c_mktsegment AS name, array_to_string(list_sort(list(DISTINCT c_nationkey)), ' | ') AS ranges FROM customer GROUP BY 1")
+def range_union(spark: SparkSession, d: str) -> DataFrame:
+    ranges = F.transform(F.sort_array(F.collect_set("c_nationkey")), lambda x: x.cast("string"))
+    return _read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.array_join(ranges, " | ").alias("ranges"))
+
+
+@query("representative_row", "SELECT p_brand, p_type, min(p_partkey) AS p_partkey, count(*) AS n FROM part GROUP BY 1, 2")
+def representative_row(spark: SparkSession, d: str) -> DataFrame:
+    part = _read(spark, d, "part").withColumn("n", F.count("*").over(Window.partitionBy("p_brand", "p_type")))
+    return catalog.representative(part, ["p_brand", "p_type"], "p_partkey").select("p_brand", "p_type", "p_partkey", "n")
+
+
+@query("last_flag", "SELECT n_nationkey, lead(1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) IS NULL AS last FROM nation")
+def last_flag(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "nation").select("n_nationkey", F.lead(F.lit(1)).over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).isNull().alias("last"))
+
+
+@query("grid_layout", "SELECT n_nationkey, (row_number() OVER (ORDER BY n_nationkey) - 1) % 5 * 260 AS x, (row_number() OVER (ORDER BY n_nationkey) - 1) // 5 * 220 AS y FROM nation")
+def grid_layout(spark: SparkSession, d: str) -> DataFrame:
+    """A UML diagram's nodes: one schema's classes, which are few, so that one window over all of them does."""
+    i = F.row_number().over(Window.orderBy("n_nationkey")).cast("long") - 1
+    return _read(spark, d, "nation").select("n_nationkey", (i % 5 * 260).alias("x"), (F.floor(i / 5) * 220).alias("y"))
+
+
+# -- concepts --------------------------------------------------------------------------------------------------------
+
+
+def _part_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as subjects with types, labels in two languages and a comment, in document order."""
+    part = _read(spark, d, "part").withColumn("s", F.concat(F.lit("http://x.org/part#"), "p_partkey"))
+    rows = F.array(
+        *(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), o.alias("o"), F.lit(lang).cast("string").alias("o_lang")) for k, p, o, lang in (
+            (0, TYPE, F.when(F.col("p_size") % 3 == 0, OWL + "ObjectProperty").when(F.col("p_size") % 3 == 1, OWL + "Class"), None),
+            (1, TYPE, F.when(F.col("p_size") % 2 == 0, RDFS + "Class"), None),
+            (2, RDFS + "label", F.col("p_brand"), "de"), (3, RDFS + "label", F.when(F.col("p_size") % 5 == 0, F.col("p_name")), "en"),
+            (4, RDFS + "label", F.when(F.col("p_size") % 10 == 0, F.col("p_type")), "en"), (5, RDFS + "comment", F.col("p_type"), None), (6, RDFS + "comment", F.col("p_name"), None),
+        ))
+    )
+    flat = part.select("s", "p_partkey", F.explode(rows).alias("r")).filter("r.o IS NOT NULL")
+    return flat.select((F.col("p_partkey") * 10 + F.col("r.k")).alias("ord"), "s", F.lit("iri").alias("s_kind"), "r.p", "r.o", "r.o_lang")
+
+
+_CONCEPTS = """SELECT 'http://x.org/part#' || p_partkey AS iri, CAST(p_partkey AS VARCHAR) AS "localName",
+  CASE WHEN p_size % 3 = 0 THEN 'property' ELSE 'class' END AS type,
+  CASE WHEN p_size % 10 = 0 THEN p_type WHEN p_size % 5 = 0 THEN p_name ELSE p_brand END AS label, p_type AS comment
+  FROM part WHERE p_size % 3 < 2 OR p_size % 2 = 0"""
+
+
+@query("concept_typing", _CONCEPTS)
+def concept_typing(spark: SparkSession, d: str) -> DataFrame:
+    return concepts.concepts(_part_triples(spark, d))
+
+
+@query("concept_search", f"WITH c AS ({_CONCEPTS}) SELECT count(*) AS n FROM (SELECT * FROM c WHERE contains(lower(\"localName\"), '12') OR contains(lower(label), '12') OR contains(lower(iri), '12') LIMIT 50)")
+def concept_search(spark: SparkSession, d: str) -> DataFrame:
+    return concepts.search(concepts.concepts(_part_triples(spark, d)), " 12 ").agg(F.count("*").alias("n"))
+
+
+@query("preferred_label", "SELECT source, coalesce(arg_max(lang || n_chars, doc_id) FILTER (WHERE lang = 'en'), arg_min(lang || n_chars, doc_id)) AS label FROM documents GROUP BY source")
+def preferred_label(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").select("source", "lang", "doc_id", F.concat("lang", "n_chars").alias("text"))
+    return docs.groupBy("source").agg(concepts.preferred(F.col("text"), F.col("lang"), F.col("doc_id")).alias("label"))
+
+
+@query("ontology_guard", "SELECT count(*) FILTER (WHERE p_size % 3 = 1) AS classes, CAST(0 AS BIGINT) AS ontologies, false AS valid FROM part")
+def ontology_guard(spark: SparkSession, d: str) -> DataFrame:
+    return concepts.adoptable(_part_triples(spark, d))
+
+
+@query("ntriples_read", f"SELECT 'http://x.org/' || n_nationkey AS s, 'http://x.org/name' AS p, n_name || '\"' AS o, 'en' AS o_lang, CAST(NULL AS VARCHAR) AS o_dtype FROM nation UNION ALL SELECT 'http://x.org/' || n_nationkey, 'http://x.org/key', CAST(n_nationkey AS VARCHAR), NULL, '{XSD}integer' FROM nation")
+def ntriples_read(spark: SparkSession, d: str) -> DataFrame:
+    n = _read(spark, d, "nation")
+    s = F.concat(F.lit("<http://x.org/"), "n_nationkey", F.lit("> "))
+    lines = F.array(
+        F.concat(s, F.lit("<http://x.org/name> "), F.lit('"'), "n_name", F.lit('\\""@en .')),
+        F.concat(s, F.lit("<http://x.org/key> "), F.lit('"'), "n_nationkey", F.lit(f'"^^<{XSD}integer> . # key')), F.lit("# nothing"), F.lit("broken line"),
+    )
+    flat = n.select(F.posexplode(lines).alias("ord", "value"))
+    return rdf.parse_ntriples(flat).select("s", "p", "o", "o_lang", "o_dtype")
+
+
+# -- rules -----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "class_closure",
+    """WITH RECURSIVE e AS (SELECT 'nation/' || n_nationkey AS sub, 'region/' || n_regionkey AS sup FROM nation UNION ALL
+      SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION ALL SELECT DISTINCT 'region/' || n_regionkey, 'world' FROM nation),
+    t AS (SELECT * FROM e UNION SELECT t.sub, e.sup FROM t JOIN e ON t.sup = e.sub) SELECT * FROM t""",
+)
+def class_closure(spark: SparkSession, d: str) -> DataFrame:
+    view = triples(spark, d, ["nation", "customer"])
+    nation, customer = (reasoning.edges_of(view, p).select(F.col("s").alias("sub"), F.col("o").alias("sup")) for p in ("n_regionkey", "c_nationkey"))
+    world = nation.select(F.col("sup").alias("sub"), F.lit("world").alias("sup")).distinct()
+    return reasoning.transitive(nation.unionByName(customer).unionByName(world))
+
+
+@query(
+    "cyclic_closure",
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS sub, (n_nationkey + 5) % 25 AS sup FROM nation), t AS (SELECT * FROM e UNION SELECT t.sub, e.sup FROM t JOIN e ON t.sup = e.sub) SELECT * FROM t""",
+)
+def cyclic_closure(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.transitive(_read(spark, d, "nation").select(F.col("n_nationkey").alias("sub"), ((F.col("n_nationkey") + 5) % 25).alias("sup")))
+
+
+@query("type_propagation", "SELECT 'orders/' || o_orderkey AS s, unnest(['orders', 'Process', 'Thing']) AS c FROM orders")
+def type_propagation(spark: SparkSession, d: str) -> DataFrame:
+    up = reasoning.transitive(reasoning.small(spark, [("orders", "Process"), ("Process", "Thing")], "sub string, sup string"))
+    types = reasoning.types_of(triples(spark, d, ["orders"])).filter("c = 'orders'")
+    return reasoning.propagate_types(types, up)
+
+
+@query("domain_inference", "SELECT 'orders/' || o_orderkey AS s, 'Process' AS c FROM orders UNION ALL SELECT 'buyer/' || o_orderkey, 'Feature' FROM orders")
+def domain_inference(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.infer_domain(triples(spark, d), reasoning.small(spark, [("hasParticipant", "Process"), ("isFeatureOf", "Feature")], "p string, c string"))
+
+
+@query("range_inference", "SELECT 'buyer/' || o_orderkey AS s, 'Object' AS c FROM orders UNION ALL SELECT DISTINCT 'customer/' || o_custkey, 'Object' FROM orders")
+def range_inference(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.infer_range(triples(spark, d), reasoning.small(spark, [("hasParticipant", "Object"), ("isFeatureOf", "Object")], "p string, c string"))
+
+
+@query("inverse_materialize", "SELECT 'buyer/' || o_orderkey AS s, 'isParticipantIn' AS p, 'orders/' || o_orderkey AS o FROM orders")
+def inverse_materialize(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.invert(triples(spark, d), "hasParticipant", "isParticipantIn")
+
+
+@query("symmetric_materialize", "SELECT 'nation/' || n_nationkey AS s, 'n_regionkey' AS p, 'region/' || n_regionkey AS o FROM nation UNION SELECT 'region/' || n_regionkey, 'n_regionkey', 'nation/' || n_nationkey FROM nation")
+def symmetric_materialize(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.symmetric(triples(spark, d), "n_regionkey")
+
+
+@query("subproperty", "SELECT 'nation/' || n_nationkey AS s, unnest(['n_regionkey', 'isIn']) AS p, 'region/' || n_regionkey AS o FROM nation")
+def subproperty(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.subproperties(reasoning.edges_of(triples(spark, d), "n_regionkey"), reasoning.small(spark, [("n_regionkey", "isIn")], "sub string, sup string"))
+
+
+@query("property_chain", "SELECT 'orders/' || o_orderkey AS s, 'hasParticipant' AS p, 'customer/' || o_custkey AS o FROM orders")
+def property_chain(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.chain(triples(spark, d), "hasParticipant", "isFeatureOf", "hasParticipant")
+
+
+@query("all_values_from", "SELECT DISTINCT 'nation/' || c_nationkey AS s, 'SpatialObject' AS c FROM customer")
+def all_values_from(spark: SparkSession, d: str) -> DataFrame:
+    view = triples(spark, d)
+    return reasoning.all_values(view, reasoning.types_of(view), "customer", "c_nationkey", "SpatialObject")
+
+
+@query("some_values_from", "SELECT 'orders/' || o_orderkey AS s, 'Sale' AS c FROM orders")
+def some_values_from(spark: SparkSession, d: str) -> DataFrame:
+    view = triples(spark, d)
+    return reasoning.some_values(view, reasoning.types_of(view), "hasParticipant", "BuyerRole", "Sale")
+
+
+@query("functional_check", "SELECT 'nation/' || c_nationkey AS s, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1")
+def functional_check(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.functional(reasoning.invert(triples(spark, d), "c_nationkey", "population"), "population")
+
+
+@query("inverse_functional_check", "SELECT 'customer/' || o_custkey AS o, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def inverse_functional_check(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.inverse_functional(triples(spark, d), "o_custkey")
+
+
+def _follows(spark: SparkSession, d: str) -> DataFrame:
+    """Nations in a graph with loops and pairs of opposite edges."""
+    n = _read(spark, d, "nation")
+    o = F.when(F.col("n_nationkey") % 5 == 0, F.col("n_nationkey")).otherwise(F.lit(24) - F.col("n_nationkey"))
+    return n.select(F.col("n_nationkey").cast("string").alias("s"), F.lit("follows").alias("p"), o.cast("string").alias("o"))
+
+
+_FOLLOWS = "WITH e AS (SELECT n_nationkey AS s, CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey ELSE 24 - n_nationkey END AS o FROM nation)"
+
+
+@query("asymmetric_check", f"{_FOLLOWS} SELECT CAST(a.s AS VARCHAR) AS s, CAST(a.o AS VARCHAR) AS o FROM e a JOIN e b ON a.s = b.o AND a.o = b.s")
+def asymmetric_check(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.asymmetric(_follows(spark, d), "follows")
+
+
+@query("irreflexive_check", f"{_FOLLOWS} SELECT CAST(s AS VARCHAR) AS s FROM e WHERE s = o")
+def irreflexive_check(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.irreflexive(_follows(spark, d), "follows")
+
+
+@query("property_disjoint_check", "SELECT DISTINCT 'orders/' || o_orderkey AS s, 'customer/' || o_custkey AS o FROM orders WHERE o_orderkey % 10 = 0")
+def property_disjoint_check(spark: SparkSession, d: str) -> DataFrame:
+    buys = reasoning.edges_of(triples(spark, d), "o_custkey")
+    gives = _read(spark, d, "orders").filter("o_orderkey % 10 = 0").select(individual("orders", "o_orderkey").alias("s"), F.lit("gives").alias("p"), individual("customer", "o_custkey").alias("o"))
+    return reasoning.disjoint_properties(buys.unionByName(gives), "o_custkey", "gives")
+
+
+@query("disjoint_class_check", "SELECT 'orders/' || o_orderkey AS s, 'Process' AS one, 'Object' AS other FROM orders WHERE o_orderstatus = 'F'")
+def disjoint_class_check(spark: SparkSession, d: str) -> DataFrame:
+    view = triples(spark, d, ["orders"])
+    process = reasoning.types_of(view).filter("c = 'orders'").select("s", F.lit("Process").alias("c"))
+    objects = reasoning.edges_of(view, "o_orderstatus").filter("o = 'F'").select("s", F.lit("Object").alias("c"))
+    return reasoning.disjoint_classes(process.unionByName(objects), reasoning.small(spark, [("Process", "Object")], "one string, other string"))
+
+
+# -- shapes ----------------------------------------------------------------------------------------------------------
+
+P = shapes.Property
+
+
+def _report(spark: SparkSession, d: str, *properties: shapes.Property, target: str = "customer") -> DataFrame:
+    view = triples(spark, d)
+    return shapes.violations(view, reasoning.types_of(view), shapes.Shape(target, properties))
+
+
+@query("shacl_min_count", "SELECT 'customer/' || c_custkey AS focus, 'o_custkey' AS path, 'minCount' AS kind, CAST(NULL AS VARCHAR) AS value, 'customer' AS shape FROM customer")
+def shacl_min_count(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d, P("o_custkey", 1), P("c_name", 1))
+
+
+@query("shacl_class", "SELECT 'customer/' || c_custkey AS focus, 'c_nationkey' AS path, 'class' AS kind, 'nation/' || c_nationkey AS value, 'customer' AS shape FROM customer")
+def shacl_class(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d, P("c_nationkey", classes=("region",)))
+
+
+@query("shacl_or", "SELECT 'customer/' || c_custkey AS focus, 'c_nationkey' AS path, 'or' AS kind, 'nation/' || c_nationkey AS value, 'customer' AS shape FROM customer")
+def shacl_or(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d, P("c_nationkey", classes=("region", "supplier")), P("c_nationkey", classes=("region", "nation")))
+
+
+@query("shacl_datatype", "SELECT 'documents/' || doc_id AS focus, 'lang' AS path, 'datatype' AS kind, lang AS value, 'documents' AS shape FROM documents")
+def shacl_datatype(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d, P("lang", datatype="integer"), P("source", datatype="string"), target="documents")
+
+
+@query(
+    "shacl_report",
+    """SELECT path, kind, count(*) AS n FROM (SELECT unnest([{'path': 'c_fax', 'kind': 'minCount'}, {'path': 'c_name', 'kind': 'datatype'}, {'path': 'c_nationkey', 'kind': 'class'}], recursive := true) FROM customer) GROUP BY ALL""",
+)
+def shacl_report(spark: SparkSession, d: str) -> DataFrame:
+    out = _report(spark, d, P("c_fax", 1), P("c_name", 1, datatype="date"), P("c_nationkey", 1, classes=("region",)))
+    return out.groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+# -- names and literals ----------------------------------------------------------------------------------------------
+
+
+@query("iri_local_name", "SELECT page_id, regexp_extract(url, '[^/#]*$') AS name FROM pages")
+def iri_local_name(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", iri.local_name(F.col("url")).alias("name"))
+
+
+@query("iri_shorten", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'ex:p' || p_partkey ELSE '<http://x.org/' || p_partkey || '>' END AS name FROM part")
+def iri_shorten(spark: SparkSession, d: str) -> DataFrame:
+    full = F.concat(F.lit("http://x.org/"), F.when(F.col("p_partkey") % 2 == 0, "p").otherwise(""), "p_partkey")
+    return _read(spark, d, "part").select("p_partkey", iri.shortened(full, {"ex": "http://x.org/"}).alias("name"))
+
+
+@query("curie_expand", "SELECT p_partkey, 'http://x.org/p' || p_partkey AS iri FROM part")
+def curie_expand(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "part").select("p_partkey", iri.expanded(F.concat(F.lit("ex:p"), "p_partkey"), {"ex": "http://x.org/"}).alias("iri"))
+
+
+@query("escape_literal", r"""SELECT conv_id, turn, replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') AS text FROM conversations""")
+def escape_literal(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "conversations").select("conv_id", "turn", iri.escaped(F.col("text")).alias("text"))
+
+
+@query("named_groups", "SELECT n_nationkey, 'year,n' || n_nationkey AS groups FROM nation")
+def named_groups(spark: SparkSession, d: str) -> DataFrame:
+    regex = F.concat(F.lit(r"(?<year>\d{4})-(?<n"), "n_nationkey", F.lit(">[a-z]+)"))
+    return _read(spark, d, "nation").select("n_nationkey", F.array_join(iri.group_names(regex), ",").alias("groups"))
+
+
+@query("regex_extract", "SELECT page_id, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) AS lang, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) AS number FROM pages")
+def regex_extract(spark: SparkSession, d: str) -> DataFrame:
+    value = lambda k: F.regexp_extract("url", "/(?<lang>[a-z]{2})/(?<number>[0-9]+)", k)
+    return _read(spark, d, "pages").select("page_id", value(1).alias("lang"), value(2).alias("number"))
+
+
+@query("version_compare", "SELECT p_partkey, CAST(CASE WHEN p_size = 7 THEN NULL ELSE sign(p_size - 12) END AS INTEGER) AS cmp FROM part")
+def version_compare(spark: SparkSession, d: str) -> DataFrame:
+    version = F.when(F.col("p_size") == 7, "draft").otherwise(F.concat(F.lit("0."), "p_size", F.lit(".0")))
+    return _read(spark, d, "part").select("p_partkey", iri.version_order(version, F.lit("0_12")).alias("cmp"))
+
+
+@query("base_uri_normalize", "SELECT page_id, CASE WHEN right(url, 1) IN ('/', '#') THEN url ELSE url || '/' END AS base FROM pages")
+def base_uri_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", iri.base_uri(F.col("url")).alias("base"))
+
+
+@query("markdown_strip", "SELECT page_id, 'see page ' || page_id || ' now' AS text, 'page ' || page_id AS label, url AS iri FROM pages")
+def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("see [page "), "page_id", F.lit("]("), "url", F.lit(") now"))
+    label, link = iri.first_link(text)
+    return _read(spark, d, "pages").select("page_id", iri.strip_links(text).alias("text"), label.alias("label"), link.alias("iri"))
+
+
+@query("sha256_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def sha256_digest(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
