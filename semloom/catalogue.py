@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.functions import iri
+from semloom.functions import export, iri
 from semloom.model import OWL, RDFS, TYPE, XSD
 from semloom.operators import concepts, reasoning, shapes
 from semloom.plans import pattern
@@ -494,3 +494,44 @@ def markdown_strip(spark: SparkSession, d: str) -> DataFrame:
 @query("sha256_digest", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def sha256_digest(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+# -- exports ---------------------------------------------------------------------------------------------------------
+
+UPPER = "https://w3id.org/sulo/"
+TABLES_MODEL = export.Model(
+    "Order model", "https://example.org/model/", upper=UPPER,
+    classes=(
+        export.Class("Order", "Order", "A purchase", UPPER + "Process"), export.Class("Customer", maps_to=UPPER + "SpatialObject"), export.Class("Supplier", maps_to=UPPER + "SpatialObject"),
+        export.Class("Buyer", parent="Customer"), export.Class("Place", maps_to="http://schema.org/Place"),
+    ),
+    properties=(
+        export.Property("hasCustomer", "object", "Order", "Customer", pattern=(T("?this", UPPER + "hasParticipant", "?o1"), T("?o1", TYPE, UPPER + "Role"), T("?o1", UPPER + "isFeatureOf", "?value")), features=("functional",)),
+        export.Property("orderedAt", "datatype", "Order", XSD + "dateTime", required=True), export.Property("partner", "object", "Order", "Customer"), export.Property("partner", "object", "Order", "Supplier"),
+    ),
+)
+
+
+@query("export_rdfs")
+def export_rdfs(spark: SparkSession, d: str) -> DataFrame:
+    return export.as_lines(spark, export.ontology(TABLES_MODEL, owl=False))
+
+
+@query("export_owl")
+def export_owl(spark: SparkSession, d: str) -> DataFrame:
+    return export.as_lines(spark, export.ontology(TABLES_MODEL, owl=True))
+
+
+@query("export_shacl")
+def export_shacl(spark: SparkSession, d: str) -> DataFrame:
+    return export.as_lines(spark, export.shacl(TABLES_MODEL))
+
+
+@query("export_mermaid")
+def export_mermaid(spark: SparkSession, d: str) -> DataFrame:
+    return export.as_lines(spark, export.mermaid(TABLES_MODEL))
+
+
+@query("uml_graph", "SELECT * FROM (VALUES ('Buyer', 'Customer', '', 'inherits'), ('Order', 'Customer', 'hasCustomer', 'property'), ('Order', 'Customer', 'partner', 'property'), ('Order', 'Supplier', 'partner', 'property')) t(source, target, label, kind)")
+def uml_graph(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(export.diagram(TABLES_MODEL)[1], "source string, target string, label string, kind string")

@@ -1,0 +1,204 @@
+"""One model as RDFS, OWL, SHACL and a class diagram. A model is metadata, bounded by what people write; its text is
+made on the driver and returned as ordered lines, so that a text sink can write it."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field, replace
+
+from pyspark.sql import DataFrame, SparkSession
+
+from semloom.functions.iri import FEATURES, escape, shorten
+from semloom.model import OWL, RDF, RDFS, SH, XSD
+from semloom.plans import pattern
+
+
+@dataclass(frozen=True)
+class Class:
+    name: str
+    label: str = ""
+    description: str = ""
+    maps_to: str | None = None
+    parent: str | None = None
+
+
+@dataclass(frozen=True)
+class Property:
+    """range is a class's name or an IRI."""
+
+    name: str
+    kind: str = "datatype"
+    domain: str | None = None
+    range: str | None = None
+    label: str = ""
+    description: str = ""
+    pattern: tuple[pattern.Template, ...] = ()
+    required: bool = False
+    features: tuple[str, ...] = ()
+    inverse: str | None = None
+    disjoint: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Model:
+    title: str
+    url: str
+    classes: tuple[Class, ...]
+    properties: tuple[Property, ...]
+    base_uri: str | None = None
+    upper: str | None = None
+    strict: bool = False
+    named: dict[str, Class] = field(default_factory=dict, compare=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "named", {c.name: c for c in self.classes})
+
+    @property
+    def base(self) -> str:
+        base = self.base_uri or self.url
+        return base if base[-1] in "/#" else base + "/"
+
+    @property
+    def upper_prefix(self) -> str | None:
+        return re.split("[/#]", self.upper.rstrip("/#"))[-1].lower() if self.upper else None
+
+    def prefixes(self, *, owl: bool, shacl: bool = False) -> dict[str, str]:
+        out = {"": self.base, "rdf": RDF, "rdfs": RDFS, "xsd": XSD}
+        if owl or self.strict:
+            out["owl"] = OWL
+        if shacl:
+            out["sh"] = SH
+        if self.upper and not (shacl and not self.strict):
+            out[self.upper_prefix] = self.upper
+        return out
+
+    def iri(self, name: str) -> str:
+        """A class that is mapped outside the upper ontology is what it is mapped to."""
+        c = self.named.get(name)
+        if c and c.maps_to and not (self.upper and c.maps_to.startswith(self.upper)):
+            return c.maps_to
+        return self.base + name if c else name
+
+
+def groups(properties: tuple[Property, ...]) -> list[list[Property]]:
+    """Properties by name and domain, in the order of their first."""
+    out: dict[tuple, list[Property]] = {}
+    for p in properties:
+        out.setdefault((p.name, p.domain), []).append(p)
+    return list(out.values())
+
+
+def block(subject: str, pairs: list[tuple[str, str]]) -> list[str]:
+    if not pairs:
+        return []
+    return [subject, *(f"    {p} {o} {'.' if k == len(pairs) - 1 else ';'}" for k, (p, o) in enumerate(pairs)), ""]
+
+
+def _texts(label: str, description: str) -> list[tuple[str, str]]:
+    return [(p, f'"{escape(t)}"') for p, t in (("rdfs:label", label), ("rdfs:comment", description)) if t]
+
+
+def _ranges(model: Model, group: list[Property]) -> list[str]:
+    """The distinct ranges that are classes of the model."""
+    return list(dict.fromkeys(p.range for p in group if p.range in model.named))
+
+
+def ontology(model: Model, owl: bool) -> list[str]:
+    """RDFS, or OWL with anchors: named classes that are equivalent to what a pattern says of its ends."""
+    prefixes = model.prefixes(owl=owl)
+    short = lambda iri: shorten(iri, prefixes)
+    ref = lambda name: short(name) if "://" in name else f":{name}"
+    lines = [f"@prefix {p}: <{iri}> ." for p, iri in prefixes.items()] + [""]
+    if owl:
+        imports = [("owl:imports", f"<{model.upper.rstrip('/#')}>")] if model.upper and any((c.maps_to or "").startswith(model.upper) for c in model.classes) else []
+        lines += block(f"<{model.url.rstrip('/')}>", [("a", "owl:Ontology"), *_texts(model.title, ""), *imports])
+    kind = "owl:Class" if owl else "rdfs:Class"
+    for c in model.classes:
+        above = [("rdfs:subClassOf", short(c.maps_to))] if c.maps_to and model.iri(c.name) != c.maps_to else []
+        above += [("rdfs:subClassOf", short(model.iri(c.parent)))] if c.parent in model.named else []
+        lines += block(short(model.iri(c.name)), [("a", kind), *_texts(c.label or c.name, c.description), *above])
+    for group in groups(model.properties):
+        p, ranges = group[0], _ranges(model, group)
+        kinds = [("owl:ObjectProperty" if p.kind == "object" else "owl:DatatypeProperty") if owl else "rdf:Property" if model.strict else "rdfs:Property"]
+        kinds += ["owl:" + FEATURES[f] for f in p.features if f in FEATURES]
+        pairs, anchors = [("a", ", ".join(kinds)), *_texts(p.label or p.name, p.description)], []
+        pairs += [("owl:inverseOf", ref(p.inverse))] if p.inverse else []
+        pairs += [("owl:propertyDisjointWith", ref(x)) for x in p.disjoint]
+        domain = model.iri(p.domain) if p.domain in model.named else None
+        end = model.iri(p.range) if p.range else domain
+        if domain and owl and p.pattern:
+            anchor = f"{model.base}{p.domain}_{p.name}_domain"
+            pairs.append(("rdfs:domain", short(anchor)))
+            anchors.append((anchor, pattern.forward(list(p.pattern), end, domain)))
+        elif domain:
+            pairs.append(("rdfs:domain", short(domain)))
+        if len(ranges) > 1:
+            pairs.append(("rdfs:range", f"[ a {kind} ; owl:unionOf ( {' '.join(short(model.iri(r)) for r in ranges)} ) ]"))
+        elif owl and p.pattern and p.kind == "object" and len(ranges) == 1 and domain:
+            anchor = f"{model.base}{p.domain}_{p.name}_range"
+            pairs.append(("rdfs:range", short(anchor)))
+            anchors.append((anchor, pattern.backward(list(p.pattern), domain, model.iri(ranges[0]))))
+        elif p.range:
+            pairs.append(("rdfs:range", short(model.iri(p.range))))
+        lines += block(f":{p.name}", pairs)
+        for anchor, expression in anchors:
+            lines += block(short(anchor), [("a", "owl:Class"), ("owl:equivalentClass", pattern.turtle(expression, prefixes))])
+    return lines
+
+
+def shacl(model: Model) -> list[str]:
+    prefixes = model.prefixes(owl=False, shacl=True)
+    short = lambda iri: shorten(iri, prefixes)
+    lines = [f"@prefix {p}: <{iri}> ." for p, iri in prefixes.items()] + [""]
+    for c in model.classes:
+        pairs = [("a", "sh:NodeShape"), ("sh:targetClass", short(model.iri(c.name)))]
+        if c.parent in model.named:
+            pairs.append(("rdfs:subClassOf", f":{c.parent}Shape"))
+        for group in groups(tuple(p for p in model.properties if p.domain == c.name)):
+            p, ranges = group[0], _ranges(model, group)
+            parts = [f"sh:path :{p.name}", f'sh:name "{escape(p.label or p.name)}"']
+            if len(ranges) > 1:
+                parts.append(f"sh:or ( {' '.join(f'[ sh:class {short(model.iri(r))} ]' for r in ranges)} )")
+            elif p.kind == "object" and p.range:
+                parts.append(f"sh:class {short(model.iri(p.range))}")
+            elif p.range:
+                parts.append(f"sh:datatype {short(p.range)}")
+            parts.append(f"sh:minCount {int(p.required)}")
+            if model.strict and "functional" in p.features:
+                parts.append("sh:maxCount 1")
+            pairs.append(("sh:property", f"[ {' ; '.join(parts)} ]"))
+        lines += block(f":{c.name}Shape", pairs)
+    return lines
+
+
+def mermaid(model: Model) -> list[str]:
+    local = lambda iri: re.split("[/#]", iri)[-1]
+    lines = ["classDiagram"]
+    for c in model.classes:
+        own = [p for p in model.properties if p.domain == c.name and p.range not in model.named]
+        stereotype = [f"    <<{local(c.maps_to)}>>"] if c.maps_to else []
+        members = [f"    +{p.name} {local(p.range) if p.range else ''}".rstrip() for p in own]
+        lines += [f"  class {c.name} {{", *stereotype, *members, "  }"] if stereotype or members else [f"  class {c.name}"]
+    lines += [f"  {c.parent} <|-- {c.name}" for c in model.classes if c.parent in model.named]
+    lines += [f"  {p.domain} --> {p.range} : {p.name}" for p in model.properties if p.domain in model.named and p.range in model.named]
+    return lines
+
+
+def diagram(model: Model) -> tuple[list[dict], list[dict]]:
+    """Nodes on a grid of five columns, and edges: inheritance, then properties."""
+    nodes = [{"id": c.name, "x": k % 5 * 260, "y": k // 5 * 220, "stereotype": c.maps_to} for k, c in enumerate(model.classes)]
+    edges = [{"source": c.name, "target": c.parent, "label": "", "kind": "inherits"} for c in model.classes if c.parent in model.named]
+    edges += [{"source": p.domain, "target": p.range, "label": p.name, "kind": "property"} for p in model.properties if p.domain in model.named and p.range in model.named]
+    return nodes, edges
+
+
+def as_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(lines)), "ord int, value string")
+
+
+def file_name(title: str, ending: str) -> str:
+    return re.sub(r"\s+", "_", title) + ending
+
+
+def lenient(model: Model) -> Model:
+    return replace(model, strict=False)
