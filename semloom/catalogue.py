@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from semloom.functions import export, iri
 from semloom.model import OWL, RDFS, TYPE, XSD
-from semloom.operators import concepts, reasoning, shapes
+from semloom.operators import concepts, consistency, reasoning, shapes
 from semloom.plans import pattern
 from semloom.plans.abox import individual, triples
 from semloom.sources import catalog, rdf
@@ -398,6 +398,21 @@ def disjoint_class_check(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.disjoint_classes(process.unionByName(objects), reasoning.small(spark, [("Process", "Object")], "one string, other string"))
 
 
+_CLASSES = [("Order", "Process"), ("Customer", "SpatialObject"), ("Invoice", "InformationObject")]
+_ROLE = [T("?this", "hasParticipant", "?o1"), T("?o1", TYPE, "Role"), T("?o1", "isFeatureOf", "?value")]
+
+
+@query("unsat_classes", "SELECT * FROM (VALUES ('Invoice_hasCustomer_domain'), ('Invoice_hasCustomer_range'), ('Order_mentions_domain')) t(anchor)")
+def unsat_classes(spark: SparkSession, d: str) -> DataFrame:
+    anchors = {
+        "Order_hasCustomer_domain": pattern.forward(_ROLE, "Customer", "Order"), "Order_hasCustomer_range": pattern.backward(_ROLE, "Order", "Customer"),
+        "Invoice_hasCustomer_domain": pattern.forward(_ROLE, "Customer", "Invoice"), "Invoice_hasCustomer_range": pattern.backward(_ROLE, "Invoice", "Customer"),
+        "Order_mentions_domain": pattern.forward([T("?this", "refersTo", "?value")], "Customer", "Order"),
+        "Invoice_mentions_domain": pattern.forward([T("?this", "refersTo", "?value")], "Customer", "Invoice"),
+    }
+    return consistency.unsatisfiable(spark, anchors, _CLASSES).select("anchor")
+
+
 # -- shapes ----------------------------------------------------------------------------------------------------------
 
 P = shapes.Property

@@ -1 +1 @@
-
+"""Extensions beyond batch work: validation of streams."""
