@@ -50,7 +50,8 @@ def _occurrences(docs: DataFrame, windows: DataFrame, size: int, most: int) -> D
     marks = hashed(docs, _words(F.col("text"))).filter(F.size("_h") >= size).withColumn("_g", _grams(F.col("_h"), k))
     marks = marks.select("key", F.explode(_winnowed(F.col("_g"), w)).alias("print"))
     hits = materialise(marks.join(prints, "print").groupBy("key").agg(F.collect_set("print").alias("prints")), "hits")
-    near = docs.join(hits, "key").withColumn("_w", _words(F.col("text")))
+    # hits grow with the documents and so are never broadcast
+    near = docs.join(hits.hint("merge"), "key").withColumn("_w", _words(F.col("text")))
     near = hashed(near, F.col("_w")).withColumn("_g", _grams(F.col("_h"), k))
     # a window holds its fingerprint in one of its w places
     places = F.filter(_each(F.size("_g"), lambda i: i), lambda i: F.array_contains("prints", F.get("_g", i)))
