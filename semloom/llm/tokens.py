@@ -9,8 +9,9 @@ what follows such a boundary is the same in both. Where two neighbours share non
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,30 +31,67 @@ LIMIT = 1024
 
 def load(name: str = TOKENIZER) -> Tokenizer:
     """The tokenizer of a vocabulary file, without truncation or padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
 
 
+#: Signs that a word often ends in; before each of them, after a Latin letter, a pre-token ends.
+_SIGNS = ".,;:!?*%$&#|"
+
+
 def units(text: str) -> list[str]:
-    """Cuts a text before each space that follows a character other than white space.
+    """Cuts a text where the byte-level pre-tokeniser ends a pre-token in any case, so that the tokens of the text are
+    those of its units, one after the other:
 
-    The byte-level pre-tokeniser starts a pre-token there in any case: none goes on from another character to a space.
-    So the tokens of a text are those of its units, one after the other.
+    - before a space that follows a character other than white space: no pre-token goes on from there to a space;
+    - on both sides of a single line feed between characters other than white space, which is a pre-token of its own;
+    - between a Latin letter and signs: a run of letters ends there. What holds the start of an added token stays whole.
     """
     out, open_ = [], False
+    add = out.append
     for k, part in enumerate(text.split(" ")):
         if k:
             part = " " + part
         if open_:
             out[-1] += part
+            part = out.pop()
+        if not part or part[-1].isspace():
+            add(part)
+            open_ = True
+            continue
+        open_ = False
+        if "<|" in part:
+            add(part)
+            continue
+        if "\n" in part:
+            lines = part.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines[1:]) and lines[0] and not lines[0][-1].isspace():
+                for line in lines[:-1]:
+                    _cut(line, add)
+                    add("\n")
+                part = lines[-1]
+            else:
+                add(part)
+                continue
+        if part[-1] in _SIGNS:
+            _cut(part, add)
         else:
-            out.append(part)
-        open_ = not part or part[-1].isspace()
+            add(part)
     return out
 
 
+def _cut(part: str, add: Callable[[str], None]) -> None:
+    word = part.rstrip(_SIGNS)
+    if len(word) < len(part) and word and word[-1].isalpha() and word[-1] < "\u0250":
+        add(word)
+        add(part[len(word) :])
+    else:
+        add(part)
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers; keeps the ids of up to limit units, which changes no result."""
 

@@ -5,7 +5,7 @@ from semloom.llm import tokens
 
 def texts():
     rng = random.Random(5)
-    bits = ["été", " ", "  ", "\n", "\t \n", "don't", "'re", "123", "<|endoftext|>", "<|endo", "ftext|>", "漢字かな", "!!", " ", " ", "\x1c", "word", "Ünï", "🙂", "a b"]
+    bits = ["été", " ", "  ", "\n", "\t \n", "don't", "'re", "123", "<|endoftext|>", "<|endo", "ftext|>", "漢字かな", "!!", " ", " ", "\x1c", "word", "Ünï", ".", ",", "***", "\n", "end.\nNew", "a<|endoftext|>.\nb", "ſ.", "x|", "\n\nz", "|>", "🙂", "a b"]
     return ["", " ", "   ", "x", *("".join(rng.choice(bits) for _ in range(rng.choice([3, 30, 300, 3000]))) for _ in range(120)), "a" * 5000, " " * 5000, "ab " * 3000 + "字" * 3000]
 
 
