@@ -20,7 +20,7 @@ from semloom.llm.common import WordHashes, drop_scratch, gram_hashes, materialis
 from semloom.llm.components import connected_components
 
 SHINGLE, ROWS, HALVES, PERCENT = 5, 3, 16, 75
-SAMPLE, BLOCK = 256, 2048
+SAMPLE, BLOCK, KEY = 256, 2048, 8
 _SEED = 20_240_229
 
 
@@ -44,7 +44,7 @@ class MinHashes:
     def __call__(self, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
         """The half keys of the two collections of a sorted set, and its sketch.
 
-        The sketch holds a byte of each minhash, then a sample of the set, see Sample.
+        The sketch holds the 2 x halves half keys as KEY bytes each, then a sample of the set, see Samples.
         """
         x = (elements >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
@@ -52,7 +52,7 @@ class MinHashes:
             part = x[None, at : at + (1 << 14)]
             np.minimum(least, ((part ^ self.b) * self.a).min(axis=1), out=least)
         keys = gram_hashes(least.astype(np.uint64), self.rows)[:: self.rows].view(np.int64)
-        return keys[: self.halves], keys[self.halves :], least.astype(np.uint8).tobytes() + sample(elements)
+        return keys[: self.halves], keys[self.halves :], keys.astype("<i8").tobytes() + sample(elements)
 
 
 def sample(elements: np.ndarray) -> bytes:
@@ -161,14 +161,14 @@ def compared(members: DataFrame, classes: DataFrame, rows: int, halves: int, per
     """Pairs (src, dst) of members (key, id, component, main) with equal keys, other components and likely sketches.
 
     In each key, the ids outside the main component meet all ids, in blocks of about BLOCK x BLOCK, so that no task
-    holds a large key. Of the tables that a pair shares, the first one by the minhashes' bytes reports it.
+    holds a large key. Of the tables that a pair shares, the first one by the half keys reports it.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("m"))
     blocks = materialise(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil(F.col("m") / BLOCK).cast("int").alias("few")), "blocks")
     cut = members.join(blocks, "key").join(classes.select("id", "n_shingles", "sketch"), "id")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.hash("id"), F.col(n))
-    skip = 2 * halves * rows
+    skip = 2 * halves * KEY
     keep = ["key", "at", "id", "component", "n_shingles", "sketch"]
     whole = cut.withColumn("x", own("all")).withColumn("y", other("few")).select(*keep, "x", "y", F.lit(False).alias("minor"))
     minor = cut.filter("component <> main").withColumn("y", own("few")).withColumn("x", other("all")).select(*keep, "x", "y", F.lit(True).alias("minor"))
@@ -181,7 +181,7 @@ def compared(members: DataFrame, classes: DataFrame, rows: int, halves: int, per
             at, comps, ids, n = (every[c].to_numpy() for c in ("at", "component", "id", "n_shingles"))
             where = {i: k for k, i in enumerate(ids)}
             samples = Samples([*every["sketch"], *(x for x, i in zip(few["sketch"], few["id"]) if i not in where)], skip)
-            mins = np.frombuffer(b"".join(x[:skip] for x in every["sketch"]), dtype=np.uint8).reshape(len(every), 2, halves, rows)
+            halfs = np.frombuffer(b"".join(x[:skip] for x in every["sketch"]), dtype="<i8").reshape(len(every), 2, halves)
             minors, extra = set(few["id"]), iter(range(len(every), len(every) + len(few)))
             both = np.fromiter((i in minors for i in ids), dtype=bool, count=len(ids))
             src, dst = [], []
@@ -191,7 +191,7 @@ def compared(members: DataFrame, classes: DataFrame, rows: int, halves: int, per
                 if fits.any():
                     fits &= samples.alike(mine, percent)[: len(ids)]
                 if fits.any():  # the first a and the first b that both share must be those of this table
-                    same = (mins[fits] == np.frombuffer(sketch[:skip], dtype=np.uint8).reshape(2, halves, rows)).all(axis=3)
+                    same = halfs[fits] == np.frombuffer(sketch[:skip], dtype="<i8").reshape(2, halves)
                     fits[fits] = same[:, 0].argmax(axis=1) * halves + same[:, 1].argmax(axis=1) == at[fits]
                     dst.append(ids[fits])
                     src.append(np.full(len(dst[-1]), i))
@@ -234,20 +234,20 @@ def links(docs: DataFrame, sigs: DataFrame, rows: int = ROWS, halves: int = HALV
     sets = materialise(shingle_sets(docs.select("doc_id", "text").join(met.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 
     first = materialise(members.filter("id <> lo").groupBy(F.col("id").alias("dst")).agg(F.min("lo").alias("src")).select("src", "dst"), "first")
-    edges = materialise(verified(first, classes, sets, 2 * halves * rows, percent), "edges")
+    edges = materialise(verified(first, classes, sets, 2 * halves * KEY, percent), "edges")
     tried = first
 
     comps = connected_components(edges)
     open_ = _open(members, comps)
     second = open_.filter("component <> main AND id <> lo").select(F.col("lo").alias("src"), F.col("id").alias("dst")).distinct()
     second = materialise(second.join(tried, ["src", "dst"], "left_anti"), "second")
-    edges = materialise(edges.unionByName(verified(second, classes, sets, 2 * halves * rows, percent)), "edges")
+    edges = materialise(edges.unionByName(verified(second, classes, sets, 2 * halves * KEY, percent)), "edges")
     tried = tried.unionByName(second)
 
     comps = connected_components(edges)
     open_ = materialise(_open(members, comps), "open")
     rest = compared(open_, classes, rows, halves, percent).distinct().join(tried, ["src", "dst"], "left_anti")
-    return edges.unionByName(verified(materialise(rest, "rest"), classes, sets, 2 * halves * rows, percent))
+    return edges.unionByName(verified(materialise(rest, "rest"), classes, sets, 2 * halves * KEY, percent))
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:

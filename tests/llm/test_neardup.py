@@ -1,6 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from semloom.llm import neardup
 from semloom.llm.neardup import near_duplicates
 
 
@@ -46,3 +51,25 @@ def test_edges_of_the_input(spark):
     rows = [(1, "x y z", 0), (1, "x y z", 0), (None, "x y z", 0), (3, "X Y Z", 0), (None, None, 0)]
     got = [tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, id int")).collect()]
     assert sorted(got, key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (None, 1, None, None), (None, 0, None, None)], key=str)
+
+
+def test_every_pair_that_shares_a_table_is_compared(spark):
+    rng, make, rows, want = np.random.default_rng(8), neardup.MinHashes(), [], set()
+    for _ in range(4000):  # pairs of similarity 0.75 to 0.8; those stay in which different minhashes look alike by a byte
+        both = 2 * int(rng.integers(86, 89))
+        own = (200 - both) // 2
+        x = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64)
+        pair, low, made = (np.sort(x[: both + own]), np.sort(np.concatenate([x[:both], x[both + own :]]))), [], []
+        for s in pair:
+            least = (((s >> np.uint64(32)).astype(np.uint32)[None, :] ^ make.b) * make.a).min(axis=1)
+            low.append((least & 255).reshape(2, neardup.HALVES, neardup.ROWS))
+            made.append(make(s))
+        keys = [np.array([a, b]) for a, b, _ in made]
+        if ((low[0] == low[1]).all(axis=2) & (keys[0] != keys[1])).any() and (keys[0] == keys[1]).any(axis=1).all():
+            want.add((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, len(s), a.tolist(), b.tolist(), sketch) for k, (s, (a, b, sketch)) in enumerate(zip(pair, made))]
+    classes = neardup.materialise(spark.createDataFrame(pd.DataFrame(rows, columns=["id", "n_shingles", "a", "b", "sketch"]), "id long, n_shingles long, a array<long>, b array<long>, sketch binary"), "test")
+    keys = neardup._tables(classes, neardup.HALVES)
+    members = keys.join(keys.groupBy("key").agg(F.min("id").alias("main"), F.max("id").alias("most")).filter("main < most").drop("most"), "key").withColumn("component", F.col("id"))
+    got = {(r.src, r.dst) for r in neardup.compared(members, classes, neardup.ROWS, neardup.HALVES).collect()}
+    assert len(want) > 10 and want <= got, (len(want), len(want - got))
