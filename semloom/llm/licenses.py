@@ -1,8 +1,8 @@
 """Fuzzy search for short licence notices.
 
 A notice that may hold up to e errors is split into e + 1 pieces: one of them must stand unchanged in any occurrence.
-All pieces are sought at once as exact seeds; around each seed the regex library's bounded-error matching verifies the
-notice and gives its span and errors. Texts and notices are compared as words with one space between.
+All pieces are sought at once as exact seeds; around each seed every span of whole words that can be the notice is
+verified by its edit distance. Texts and notices are compared as words with one space between.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +66,6 @@ class Scanner:
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.phrase)}){{e<={n.errors}}}") for n in notices]
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of each place in a text of words with one space between, by start.
@@ -75,31 +73,22 @@ class Scanner:
         Every exact place between word bounds is reported; of places with errors that overlap another place of the
         same notice, the one with the fewest errors, then the first. An approximate place too starts and ends with a word.
         """
-        exact: set[tuple[int, int]] = set()
-        areas: dict[int, list[list[int]]] = {}
+        starts: set[tuple[int, int]] = set()
         for end, (size, uses) in self.automaton.iter(text):
             for k, at in uses:
-                notice = self.notices[k]
-                start, n = end + 1 - size - at, len(notice.phrase)
-                if start >= 0 and text.startswith(notice.phrase, start) and _bounded(text, start, start + n):
-                    exact.add((k, start))
-                low, high = max(0, start - notice.errors), start + n + notice.errors
-                found = areas.setdefault(k, [])
-                for area in reversed(found[-(notice.errors + 2) :]):
-                    if low <= area[1] and high >= area[0]:
-                        area[0], area[1] = min(low, area[0]), max(high, area[1])
-                        break
+                start, most = end + 1 - size - at, self.notices[k].errors
+                starts.update((k, s) for s in range(max(0, start - most), start + most + 1) if s == 0 or text[s - 1] == " ")
+        out: list[tuple[int, int, int, int]] = []
+        places: dict[int, dict[tuple[int, int], int]] = {}
+        for k, s in starts:
+            notice = self.notices[k]
+            for e, n in _ends(text, s, notice.phrase, notice.errors):
+                if n:
+                    places.setdefault(k, {})[s, e] = n
                 else:
-                    found.append([low, high])
-        out = [(k, start, start + len(self.notices[k].phrase), 0) for k, start in exact]
-        for k, found in areas.items():
+                    out.append((k, s, e, 0))
+        for k, near in places.items():
             taken = sorted((s, e) for n, s, e, _ in out if n == k)
-            near: dict[tuple[int, int], int] = {}
-            for low, high in found:
-                for m in self.patterns[k].finditer(text, low, min(len(text), high), overlapped=True):
-                    s, e = m.span()
-                    if sum(m.fuzzy_counts) and _bounded(text, s, e) and not text[s:e].startswith(" ") and not text[s:e].endswith(" "):
-                        near[s, e] = min(sum(m.fuzzy_counts), near.get((s, e), 99))
             for (s, e), n in sorted(near.items(), key=lambda x: (x[1], x[0])):
                 if all(e <= a or s >= b for a, b in taken):
                     taken.append((s, e))
@@ -107,8 +96,20 @@ class Scanner:
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-def _bounded(text: str, start: int, end: int) -> bool:
-    return (start == 0 or text[start - 1] == " ") and (end >= len(text) or text[end] == " ")
+def _ends(text: str, start: int, phrase: str, most: int) -> list[tuple[int, int]]:
+    """(end, errors) of each span from start that ends with a word and is at most so many errors from the phrase."""
+    window, far = text[start : start + len(phrase) + most], most + 1
+    row = [min(j, far) for j in range(len(window) + 1)]
+    for i, c in enumerate(phrase, 1):
+        new = [far] * len(row)
+        new[0] = min(i, far)
+        for j in range(max(1, i - most), min(len(window), i + most) + 1):
+            new[j] = min(row[j - 1] + (window[j - 1] != c), row[j] + 1, new[j - 1] + 1)
+        if min(new) > most:
+            return []
+        row = new
+    ends = ((start + j, n) for j, n in enumerate(row) if n <= most)
+    return [(e, n) for e, n in ends if e >= len(text) or text[e] == " "]
 
 
 @lru_cache(maxsize=4)

@@ -60,3 +60,31 @@ def test_report_against_brute_force(spark):
     assert sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], key=str) == sorted(want, key=str)
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score == 1) >= (r.n_base > 0) for r in got)
     assert licenses.report(df.limit(0)).count() == 0
+
+
+def brute_places(text):
+    starts, ends = [m.start() for m in re.finditer(r"(?<![^ ])[^ ]", text)], [m.end() for m in re.finditer(r"[^ ](?![^ ])", text)]
+    out = []
+    for k, n in enumerate(licenses.NOTICES):
+        spans = [(s, e) for s in starts for e in ends if abs(e - s - len(n.phrase)) <= n.errors]
+        near = sorted((d, s, e) for s, e in spans if (d := distance(text[s:e], n.phrase)) <= n.errors)
+        taken = []
+        for d, s, e in near:
+            if not d or all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                out.append((k, s, e, d))
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_added_ends_and_neighbours_against_all_spans():
+    rng, look = random.Random(4), licenses.scanner()
+    for text, errors in (("mit licensed", [1]), ("general public licenses", [1]), ("all rights reservedd", [1]), ("mit licence mit license", [1, 0])):
+        assert [x[3] for x in look(text) if licenses.NOTICES[x[0]].phrase[:3] == text[:3]] == errors, text
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(licenses.NOTICES)
+            hit = edited(rng, notice.phrase, rng.randrange(notice.errors + 1))
+            parts += [rng.choice(["", "x"]) + hit + rng.choice(["", "d", "s"]), *["lorem"] * rng.randrange(2)]
+        text = " ".join(" ".join(parts).split())
+        assert look(text) == brute_places(text), text
