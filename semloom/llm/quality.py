@@ -6,6 +6,7 @@ thresholds cut the scale. The model gives a text's expected grade and the probab
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semloom.llm.common import gram_hashes
+
 BUCKETS = 1 << 16
+#: Tokens of more characters than this, or of scripts without spaces between words, are read as character n-grams.
+LONG = 24
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: The fit takes at most so many rated documents, those of least hash of doc_id, so that its cost has a bound.
 RATED = 6000
 RIDGE, ROUNDS = 1e-5, 80
@@ -26,7 +32,7 @@ LEAST_TAIL = 0.75
 def _shape(token: str) -> str:
     """Runs of capitals, small letters, digits and of each other sign, as one sign each."""
     out = []
-    for c in token[:64]:
+    for c in token:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)
@@ -34,8 +40,9 @@ def _shape(token: str) -> str:
 
 
 class Features:
-    """Hashed features of texts: of each token three beginnings of its word and its shape, and whether it
-    repeats the one before. A feature's value is the root of its share, so the length of a text doesn't matter."""
+    """Hashed features of texts: of each token three beginnings of its word, the whole word and its shape, and whether it
+    repeats the one before; of long and unspaced tokens, instead of the whole word, the n-grams of all characters, which
+    share one token's count. A feature's value is the root of its share, so the length of a text doesn't matter."""
 
     def __init__(self, limit: int = 300_000):
         self.limit, self.seen = limit, {}
@@ -48,7 +55,20 @@ class Features:
     def _of(self, token: str) -> tuple[int, ...]:
         low = token.lower()
         word = "".join(c for c in low if c.isalnum()) or low
-        return tuple(map(self._bucket, ("3:" + word[:3], "4:" + word[:4], "5:" + word[:5], "s:" + _shape(token))))
+        whole = ("w:" + word,) if len(word) > 5 and not self._split(token) else ()
+        return tuple(map(self._bucket, ("3:" + word[:3], "4:" + word[:4], "5:" + word[:5], "s:" + _shape(token), *whole)))
+
+    @staticmethod
+    def _split(token: str) -> bool:
+        return len(token) > LONG or not token.isascii() and _UNSPACED.search(token) is not None
+
+    @staticmethod
+    def _grams(token: str) -> tuple[list[int], list[float]]:
+        """The buckets of a token's character n-grams and their shares of it: of two characters in unspaced scripts, else three."""
+        codes = np.frombuffer(token.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        k = min(2 if _UNSPACED.search(token) else 3, len(codes))
+        buckets, counts = np.unique(gram_hashes(codes, k) % np.uint64(BUCKETS), return_counts=True)
+        return buckets.tolist(), (counts / counts.sum()).tolist()
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         tokens = (text or "").split()
@@ -60,7 +80,12 @@ class Features:
         for token, n in counts.items():
             found = seen.get(token)
             if found is None:
-                found = seen[token] = self._of(token)
+                found = self._of(token)
+                if self._split(token):
+                    for b, share in zip(*self._grams(token)):
+                        sums[b] = sums.get(b, 0) + n * share
+                else:
+                    seen[token] = found
             for b in found:
                 sums[b] = sums.get(b, 0) + n
         again = sum(map(str.__eq__, tokens, tokens[1:]))

@@ -39,3 +39,19 @@ def test_held_out_and_edges(spark):
     assert all(0 <= x.expected_grade <= 2 and 0 <= x.tail_probability <= 1 for x in rows)
     assert all(x.kept for x in quality.assess(d, r.limit(0)).collect())
     assert quality.assess(d.limit(0), r).count() == 0
+
+
+def test_whole_words_and_unspaced_texts_are_read():
+    features = quality.Features()
+
+    def differ(one, other):
+        (i, v), (j, w) = features(one), features(other)
+        return dict(zip(i.tolist(), v.tolist())) != dict(zip(j.tolist(), w.tolist()))
+
+    assert differ("assassin", "assassinate")
+    assert differ("harmlesscompound", "harmlesspoisoned")
+    assert differ("\u6587" * 100 + "\u597d\u4eba", "\u6587" * 100 + "\u574f\u4eba")
+    assert differ("x" * 100 + "good", "x" * 100 + "evil") and differ("a" * 70, "a" * 70 + "1")
+    for text in ("\u6587\u5b57\u5f88\u597d" * 500, "\u0e01\u0e02\u0e04" * 9, "\u6587", "https://" + "abc" * 50):
+        _, v = features(text)
+        assert np.isclose((v**2).sum(), 6)  # three beginnings, the shape, the n-grams together and no repeat
