@@ -2,7 +2,7 @@
 
 A notice that may hold up to e errors is split into e + 1 pieces: one of them must stand unchanged in any occurrence.
 All pieces are sought at once as exact seeds; around each seed every span of whole words that can be the notice is
-verified by its edit distance. Texts and notices are compared as words with one space between.
+verified by a bounded-error match of the whole span. Texts and notices are compared as words with one space between.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,12 +67,15 @@ class Scanner:
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
+        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase)}){{e<={n.errors}}}") for n in notices]
+        self.seen: dict[tuple[int, str], int | None] = {}
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of each place in a text of words with one space between, by start.
 
         Every exact place between word bounds is reported; of places with errors that overlap another place of the
-        same notice, the one with the fewest errors, then the first. An approximate place too starts and ends with a word.
+        same notice, the one with the fewest errors, then the first. An approximate place too starts and ends with a
+        word. What a text costs grows with its seeds, not with their square.
         """
         starts: set[tuple[int, int]] = set()
         for end, (size, uses) in self.automaton.iter(text):
@@ -79,37 +83,34 @@ class Scanner:
                 start, most = end + 1 - size - at, self.notices[k].errors
                 starts.update((k, s) for s in range(max(0, start - most), start + most + 1) if s == 0 or text[s - 1] == " ")
         out: list[tuple[int, int, int, int]] = []
-        places: dict[int, dict[tuple[int, int], int]] = {}
+        near: list[tuple[int, int, int, int]] = []
         for k, s in starts:
-            notice = self.notices[k]
-            for e, n in _ends(text, s, notice.phrase, notice.errors):
-                if n:
-                    places.setdefault(k, {})[s, e] = n
-                else:
-                    out.append((k, s, e, 0))
-        for k, near in places.items():
-            taken = sorted((s, e) for n, s, e, _ in out if n == k)
-            for (s, e), n in sorted(near.items(), key=lambda x: (x[1], x[0])):
-                if all(e <= a or s >= b for a, b in taken):
-                    taken.append((s, e))
-                    out.append((k, s, e, n))
+            size, most = len(self.notices[k].phrase), self.notices[k].errors
+            for e in range(max(s + 1, s + size - most), min(len(text), s + size + most) + 1):
+                if e == len(text) or text[e] == " ":
+                    n = self.errors(k, text[s:e])
+                    if n is not None:
+                        (near if n else out).append((k, s, e, n))
+        taken: dict[int, bytearray] = {}
+        for k, s, e, _ in out:
+            taken.setdefault(k, bytearray(len(text)))[s:e] = b"\1" * (e - s)
+        for k, s, e, n in sorted(near, key=lambda x: (x[0], x[3], x[1], x[2])):
+            mine = taken.setdefault(k, bytearray(len(text)))
+            if mine.find(1, s, e) < 0:
+                mine[s:e] = b"\1" * (e - s)
+                out.append((k, s, e, n))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
-
-def _ends(text: str, start: int, phrase: str, most: int) -> list[tuple[int, int]]:
-    """(end, errors) of each span from start that ends with a word and is at most so many errors from the phrase."""
-    window, far = text[start : start + len(phrase) + most], most + 1
-    row = [min(j, far) for j in range(len(window) + 1)]
-    for i, c in enumerate(phrase, 1):
-        new = [far] * len(row)
-        new[0] = min(i, far)
-        for j in range(max(1, i - most), min(len(window), i + most) + 1):
-            new[j] = min(row[j - 1] + (window[j - 1] != c), row[j] + 1, new[j - 1] + 1)
-        if min(new) > most:
-            return []
-        row = new
-    ends = ((start + j, n) for j, n in enumerate(row) if n <= most)
-    return [(e, n) for e, n in ends if e >= len(text) or text[e] == " "]
+    def errors(self, k: int, span: str) -> int | None:
+        """The least number of errors that make a span of a notice; none where it takes more than the notice may hold.
+        Spans are verified by bounded-error matching of the whole span; those seen last are kept, which changes no result."""
+        known = self.seen.get((k, span), -1)
+        if known == -1:
+            if len(self.seen) >= 100_000:
+                self.seen.clear()
+            match = self.patterns[k].fullmatch(span)
+            known = self.seen[k, span] = None if match is None else sum(match.fuzzy_counts)
+        return known
 
 
 @lru_cache(maxsize=4)
@@ -124,7 +125,9 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """(doc_id, n_words, spans) for each row of docs (doc_id, text): of each place of a notice its label, whether it is
     one of the base places, the first and the last of its words (from 0), its errors and 1 - errors / length.
 
-    A null text has no words. Repeated rows come back repeated; other columns are not read.
+    A null or empty text has no words and no spans; a very long one is read whole. Of places of a notice with equally
+    many errors that overlap, the first is given; places of different notices may overlap, and all are given. Repeated
+    rows come back repeated, an empty table gives no row, and other columns are not read.
     """
 
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 
 from semloom.llm import licenses
 
@@ -88,3 +90,37 @@ def test_added_ends_and_neighbours_against_all_spans():
             parts += [rng.choice(["", "x"]) + hit + rng.choice(["", "d", "s"]), *["lorem"] * rng.randrange(2)]
         text = " ".join(" ".join(parts).split())
         assert look(text) == brute_places(text), text
+
+
+def test_all_places_of_edited_neighbours():
+    look = licenses.scanner()
+    labels = lambda text: sorted((licenses.NOTICES[k].label, n) for k, _, _, n in look(text) if licenses.NOTICES[k].base)
+    assert labels("mit licens mit license") == [("mit", 0), ("mit", 1)]
+    assert labels("apache licens mit licens apache license") == [("apache", 0), ("apache", 1), ("mit", 1)]
+    assert len(look("mit licens " * 500)) == 500
+    assert len(look(" ".join(["mit licens"] * 90_000))) == 90_000  # about 1 MB of near places alone
+
+
+def test_a_long_text_of_different_near_places_takes_seconds():
+    rng = random.Random(3)
+    notices = [n for n in licenses.NOTICES if n.errors > 1]
+    text = " ".join(" ".join([edited(rng, rng.choice(notices).phrase, 2), "lorem"]) for _ in range(25_000))
+    began = time.process_time()
+    found = licenses.Scanner()(text)
+    assert len(found) >= 25_000 and time.process_time() - began < 60
+
+
+def test_labels_with_errors_against_all_spans(spark):
+    rng, rows = random.Random(12), []
+    for i in range(120):
+        hits = [edited(rng, n.phrase, rng.randrange(n.errors + 2)) for n in rng.choices(licenses.NOTICES, k=rng.randrange(4))]
+        rows.append((i, " ".join(" ".join([h, *["Lorem"] * rng.randrange(3)]) for h in hits)))
+    rows += [(200, None), (201, ""), (202, "mit licence, MIT licence"), (202, "mit licence, MIT licence")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.labels, r.n_fuzzy) for r in licenses.report(df).collect())
+    want = Counter()
+    for i, t in rows:
+        places = brute_places(" ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())))
+        names = {licenses.NOTICES[k].label + ("-like" if d else "") for k, _, _, d in places}
+        want[i, ",".join(sorted(names)), sum(d > 0 for *_, d in places)] += 1
+    assert got == want
