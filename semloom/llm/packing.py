@@ -3,8 +3,8 @@
 A document's ids are cut after every WINDOW; the full windows are sequences of their own, and what remains is a piece
 of 1 to WINDOW - 1 ids. Of these only the histogram matters: the combinations of up to three lengths that fill a
 window exactly are enumerated, how often each is to be used is solved as non-negative least squares against the
-histogram, the solution is rounded down and cut to what there is, and the residual is packed greedily. All this is
-bounded by the window. The pieces then look up their places by their rank among the pieces of their length.
+histogram by an active set, the solution is rounded within what there is, and the residual is packed greedily. All this
+is bounded by the window. The pieces then look up their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from semloom.llm.common import materialise
 from semloom.llm.tokens import TOKENIZER, encoder
 
 WINDOW, END = 1024, 0
+#: A length's weight is its share of the window to this power: a long piece left over needs a sequence of its own, short
+#: ones fit in anywhere.
+POWER = 6
 
 
 def combinations(window: int) -> np.ndarray:
@@ -32,46 +35,90 @@ def combinations(window: int) -> np.ndarray:
     return np.stack([a[fits], b[fits], c[fits]], axis=1)
 
 
-def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeats >= 0 of the combos whose lengths come near the histogram: projected gradient steps with momentum, each
-    length weighed by what it fills."""
-    lengths = np.arange(len(histogram), dtype=float)
-    weight = lengths / max(1, len(histogram) - 1)
-    weight[0] = 0
+def solve(histogram: np.ndarray, combos: np.ndarray, batch: int = 96, rounds: int = 40, enough: float = 1e-3) -> np.ndarray:
+    """Repeats >= 0 of the combos whose lengths come near the histogram, by weighted least squares and an active set, so
+    that no more combos are in use than there are lengths.
 
-    def times(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(combos[:, k], weights=x, minlength=len(histogram)) for k in range(3))
-
-    share = times(np.ones(len(combos)))
-    # each column meets few rows: a step by the column's own bound keeps every step a descent
-    bound = sum((weight**2 * share)[combos[:, k]] * (combos[:, k] > 0) for k in range(3))
-    x = np.zeros(len(combos))
-    ahead, t = x, 1.0
+    Each round takes in the columns of steepest descent, of which no two share a length, solves for the set, and lets
+    those go that would be negative. It ends when so little of the squared histogram is left, or no column helps.
+    """
+    weight = (np.arange(len(histogram)) / max(1, len(histogram) - 1)) ** POWER
+    target = histogram * weight
+    norms = np.sqrt(sum(weight[combos[:, k]] ** 2 for k in range(3)))
+    used, matrix, gap = np.empty(0, dtype=np.int64), np.empty((len(target), 0)), target
+    least, kept, repeats, stale = np.inf, used, np.empty(0), 0
     for _ in range(rounds):
-        gap = weight**2 * (times(ahead) - histogram)
-        new = np.maximum(0, ahead - sum(gap[combos[:, k]] for k in range(3)) / np.maximum(bound, 1e-12))
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        ahead = new + (before - 1) / t * (new - x)
-        x = new
-    return x
+        pull = weight * gap
+        gain = sum(pull[combos[:, k]] for k in range(3)) / norms
+        gain[used] = 0
+        free, new = np.ones(len(target), dtype=bool), []
+        for c in np.argsort(-gain, kind="stable")[: 40 * batch]:
+            rows = combos[c][combos[c] > 0]
+            if gain[c] <= 1e-7 or len(new) == batch:
+                break
+            if free[rows].all():
+                free[rows] = False
+                new.append(c)
+        if not new:
+            break
+        more = np.zeros((len(target), len(new)))
+        for k in range(3):
+            np.add.at(more, (combos[new, k], np.arange(len(new))), weight[combos[new, k]])
+        used, matrix = np.concatenate([used, new]).astype(np.int64), np.hstack([matrix, more])
+        square, right = matrix.T @ matrix, matrix.T @ target
+        while True:
+            x = np.linalg.solve(square + 1e-9 * np.eye(len(square)), right)
+            good = x > 1e-9
+            if good.all():
+                break
+            used, matrix, square, right = used[good], matrix[:, good], square[np.ix_(good, good)], right[good]
+        gap = target - matrix @ x
+        left = gap @ gap
+        stale = 0 if left < least else stale + 1
+        if left < least:
+            least, kept, repeats = left, used, x
+        if stale == 3 or left <= enough * (target @ target):
+            break
+    out = np.zeros(len(combos))
+    out[kept] = repeats
+    return out
+
+
+def rounded(left: np.ndarray, combos: np.ndarray, repeats: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeats of combos, taken from what is left: first what each has in full, then by largest remainder one more
+    wherever its lengths are still there."""
+    out, whole = [], np.floor(repeats + 1e-9).astype(np.int64)
+    rest = repeats - whole
+    for order, times in ((np.argsort(-whole, kind="stable"), whole), (np.argsort(-rest, kind="stable"), (rest > 1e-6).astype(np.int64))):
+        for k in order:
+            if not times[k]:
+                break
+            out += _take(left, tuple(int(v) for v in combos[k] if v), int(times[k]))
+    return out
+
+
+def solution(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Solves and rounds, again for what rounding leaves while that places a twentieth of them."""
+    every, out = combinations(window), []
+    while True:
+        combos = every[(left[every] > 0).sum(axis=1) >= (every > 0).sum(axis=1)]
+        before = int(left.sum())
+        if not len(combos) or not before:
+            return out
+        out += rounded(left, combos, solve(left.astype(float), combos))
+        if (before - int(left.sum())) * 20 < before:
+            return out
 
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats): sequences that hold every piece of the histogram (pieces by length) once."""
-    left, out = histogram.astype(np.int64).copy(), []
+    left = histogram.astype(np.int64).copy()
     left[0] = 0
-    if left.sum():
-        combos = combinations(window)
-        combos = combos[(left[combos] > 0).sum(axis=1) >= (combos > 0).sum(axis=1)]
-        if len(combos):
-            repeats = np.floor(solve(left.astype(float), combos)).astype(np.int64)
-            for k in np.argsort(-repeats, kind="stable"):
-                if not repeats[k]:
-                    break
-                out += _take(left, tuple(int(v) for v in combos[k] if v), int(repeats[k]))
-            for k in np.flatnonzero((left[combos] > 0).sum(axis=1) >= (combos > 0).sum(axis=1)):
-                out += _take(left, tuple(int(v) for v in combos[k] if v), window * int(left.sum()))
-    # the residual: the longest piece first, then again and again the longest that still fits
+    out = solution(left, window)
+    # the residual: what still fills a window exactly, then the longest piece, and again and again the longest that fits
+    combos = combinations(window)
+    for k in np.flatnonzero((left[combos] > 0).sum(axis=1) >= (combos > 0).sum(axis=1)):
+        out += _take(left, tuple(int(v) for v in combos[k] if v), window * int(left.sum()))
     while (longest := np.flatnonzero(left)).size:
         lengths, room, used = [int(longest[-1])], window - int(longest[-1]), {int(longest[-1]): 1}
         while room > 0:

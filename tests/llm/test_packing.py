@@ -47,3 +47,31 @@ def test_pieces_round_trip(spark):
         assert at <= 1024
     assert sorted(sequences) == list(range(len(sequences)))
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_the_solution_packs_most_remainders_of_real_texts():
+    import pyarrow.parquet as pq
+
+    encode = tokens.Encoder()
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    sizes = [len(encode(t)) // 4 + 1 for t in texts]
+    histogram = np.bincount([n % 1024 for n in sizes if n % 1024], minlength=1025)
+    left = histogram.copy()
+    packing.solution(left, 1024)
+    assert left.sum() <= 0.2 * histogram.sum()
+    sequences = sum(n // 1024 for n in sizes) + sum(n for _, n in packing.plan(histogram))
+    assert sequences <= 1.011 * (sum(sizes) / 1024), sequences
+
+
+def test_the_solver_comes_near_a_histogram_that_combos_fill():
+    rng, combos = np.random.default_rng(7), packing.combinations(48)
+    some = rng.choice(len(combos), 20, replace=False)
+    histogram = np.zeros(49)
+    for c in some:
+        for v in combos[c]:
+            histogram[v] += 50 * (v > 0)
+    x = packing.solve(histogram, combos)
+    made = sum(np.bincount(combos[:, k], weights=x, minlength=49) for k in range(3))
+    weight = (np.arange(49) / 48) ** packing.POWER
+    assert (x >= 0).all() and (x > 0).sum() <= 48
+    assert ((weight * (made - histogram)) ** 2).sum() <= 1e-3 * ((weight * histogram) ** 2).sum()
