@@ -53,6 +53,9 @@ def units(text: str) -> list[str]:
     out, open_ = [], False
     add = out.append
     for k, part in enumerate(text.split(" ")):
+        if k and not open_ and part.isalpha():
+            add(" " + part)
+            continue
         if k:
             part = " " + part
         if open_:
@@ -92,25 +95,34 @@ def _cut(part: str, add: Callable[[str], None]) -> None:
         add(part)
 
 
+class _Units(dict):
+    """The ids of units, made when first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = np.array(self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers; keeps the ids of up to limit units, which changes no result."""
 
     def __init__(self, name: str = TOKENIZER, limit: int = 500_000):
-        self.tokenizer, self.limit, self.seen = load(name), limit, {}
+        self.tokenizer, self.limit = load(name), limit
+        self.seen = _Units(self.tokenizer)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(self._slice(s) for s in _slices(text))
+        return b"".join(map(self._slice, _slices(text)))
 
     def _slice(self, text: str) -> bytes:
-        seen, parts = self.seen, units(text)
-        new = [*set(parts).difference(seen)]
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            seen[unit] = np.array(found.ids, dtype="<u4").tobytes()
-        out = b"".join(map(seen.__getitem__, parts))
-        if len(seen) > self.limit:
-            seen.clear()
+        out = b"".join(map(self.seen.__getitem__, units(text)))
+        if len(self.seen) > self.limit:
+            self.seen.clear()
         return out
 
 
@@ -158,7 +170,7 @@ def chunked_counts(texts: DataFrame, name: str = TOKENIZER, chunk: int = CHUNK,
     chunk that spans the text needs no splice, so rounds end.
     """
     spark, done = texts.sparkSession, None
-    left = texts.withColumn("len", F.length("text"))
+    left = texts
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load(name)
@@ -171,13 +183,22 @@ def chunked_counts(texts: DataFrame, name: str = TOKENIZER, chunk: int = CHUNK,
                 rows.append((key, k, last, n, head, tail))
             yield pd.DataFrame(rows, columns=["key", "k", "last", "n", "head", "tail"])
 
+    def cutter(chunk: int, overlap: int):
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, text in zip(batch["key"], batch["text"]):
+                    # a text is walked through once, and goes out in rows of few chunks
+                    n = max(1, -(-(len(text) - overlap) // chunk))
+                    for first in range(0, n, 64):
+                        ks = range(first, min(n, first + 64))
+                        rows = [(key, k, k * chunk, text[k * chunk : (k + 1) * chunk + overlap], k == n - 1, overlap) for k in ks]
+                        yield pd.DataFrame(rows, columns=["key", "k", "start", "part", "last", "lap"])
+
+        return cut
+
     spots = "array<struct<at:long,n:long>>"
     while True:
-        n = F.greatest(F.lit(1), F.ceil((F.col("len") - overlap) / chunk)).cast("int")
-        cut = left.select("key", "text", "len", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-        start = F.col("k") * chunk
-        last = start + chunk + overlap >= F.col("len")
-        parts = cut.select("key", "k", start.alias("start"), F.expr(f"substring(text, int(k * {chunk} + 1), {chunk + overlap})").alias("part"), last.alias("last"), F.lit(overlap).alias("lap"))
+        parts = left.select("key", "text").mapInPandas(cutter(chunk, overlap), "key binary, k int, start long, part string, last boolean, lap int")
         coded = parts.repartition("key", "k").mapInPandas(encode, f"key binary, k int, last boolean, n long, head {spots}, tail {spots}")
         order = Window.partitionBy("key").orderBy("k")
         before = F.lag("tail").over(order)
