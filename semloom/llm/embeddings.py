@@ -1,38 +1,61 @@
 """Embedding near-duplicates: random-hyperplane signs in several tables, exact cosines, connected components.
 
-A table's key is the signs of a vector's products with `bits` random directions. Two vectors at an angle of a radians
-share a table's key with probability (1 - a / pi) ** bits. There are about log2(rows) - 4 bits, so that keys stay small
-as the input grows, and as many tables as make a pair at the least cosine share one with probability RECALL.
+A vector's sketch is the signs of its products with SKETCH random directions. A table's key is a fixed choice of `bits`
+of them, so that a sketch holds the keys of all tables; a pair is dealt with in the first table whose key it shares.
+Only sketches are dealt into the tables: a pair meets there, and goes on if its sketches differ in few enough signs.
+Vectors are sent only to blocks in which they have such a partner, and there cosines decide. Equal vectors are one class.
+
+Keys grow with the logarithm of the rows, so that about 1,000 vectors share one, and the number of tables with the
+0.22nd power of the rows: those that make a pair at the least cosine go on with probability RECALL.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semloom.llm.common import materialise, runs
+from semloom.llm.common import drop_scratch, materialise, runs
 from semloom.llm.components import connected_components
 
-LEAST, RECALL, BLOCK, SEED = 0.9, 0.998, 1024, 20_240_811
+LEAST, RECALL, SEED = 0.9, 0.998, 20_240_811
+SKETCH, BLOCK, TILE = 128, 8192, 512
+#: So many of the pairs at the least cosine may be lost by the number of differing signs alone.
+_FAR = 1e-4
+
 
+@lru_cache(maxsize=8)
+def layout(rows: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int, int]:
+    """Bits of a table's key, the number of tables, and the most signs in which a pair's sketches may differ."""
+    bits = min(24, max(6, math.ceil(math.log2(max(rows, 2))) - 10))
+    p = math.acos(least) / math.pi
+    chance = [math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d) for d in range(SKETCH + 1)]
+    most = next(d for d in range(SKETCH + 1) if sum(chance[: d + 1]) >= 1 - _FAR)
+    same = [math.comb(SKETCH - d, bits) / math.comb(SKETCH, bits) for d in range(most + 1)]
+    for tables in range(1, 1 << 14):
+        if sum(c * (1 - (1 - s) ** tables) for c, s in zip(chance, same)) >= recall:
+            return bits, tables, most
+    raise ValueError("no number of tables reaches this recall")
 
-def layout(rows: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a table's key and the number of tables for so many rows."""
-    bits = min(30, max(8, math.ceil(math.log2(max(rows, 2))) - 4))
-    same = (1 - math.acos(least) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
+@lru_cache(maxsize=8)
+def _masks(bits: int, tables: int) -> np.ndarray:
+    """Of each table, the signs that make its key, as two 64-bit numbers."""
+    rng, out = np.random.default_rng([SEED, bits]), np.zeros((tables, 2), dtype=np.uint64)
+    for t in range(tables):
+        for k in rng.choice(SKETCH, bits, replace=False):
+            out[t, k // 64] |= np.uint64(1) << np.uint64(k % 64)
+    return out
 
-def _keys(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A key of each vector in each table."""
-    planes = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], tables * bits))
-    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+@lru_cache(maxsize=8)
+def _planes(dims: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dims]).standard_normal((dims, SKETCH))
 
 
 def _matrix(embeddings: pd.Series) -> np.ndarray:
@@ -44,95 +67,158 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def hashed(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(tab, key, dims) for each table and row of vectors (vec_id, embedding), with these columns."""
+def sketched(vectors: DataFrame) -> DataFrame:
+    """(vec_id, h1, h2, dims, s1, s2) for each row of vectors (vec_id, h1, h2, embedding)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["embedding"].map(len).to_numpy()
             for d in np.unique(sizes):
                 part = batch[sizes == d]
-                for at in range(0, len(part), 4096 // tables + 1):
-                    few = part.iloc[at : at + 4096 // tables + 1]
-                    keys = _keys(_unit(_matrix(few["embedding"])), bits, tables)
-                    row, tab = np.divmod(np.arange(keys.size), tables)
-                    yield pd.DataFrame({"tab": tab, "key": keys.ravel(), "dims": d, "vec_id": few["vec_id"].to_numpy()[row], "embedding": few["embedding"].to_numpy()[row]})
+                signs = _unit(_matrix(part["embedding"])) @ _planes(int(d)) > 0
+                s = np.packbits(signs, axis=1, bitorder="little").view("<i8")
+                yield pd.DataFrame({"vec_id": part["vec_id"], "h1": part["h1"], "h2": part["h2"], "dims": d, "s1": s[:, 0], "s2": s[:, 1]})
+
+    return vectors.mapInPandas(make, "vec_id long, h1 long, h2 long, dims long, s1 long, s2 long")
 
-    return vectors.mapInPandas(make, "tab int, key long, dims int, vec_id long, embedding array<float>")
+
+def dealt(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(tab, key, dims, id, s1, s2) for each table and row of classes (id, dims, s1, s2)."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        masks, step = _masks(bits, tables), max(1, 65_536 // tables)
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                few = batch.iloc[at : at + step]
+                s = few[["s1", "s2"]].to_numpy().view(np.uint64)
+                own = s[:, None, :] & masks[None, :, :]
+                keys = ((own[..., 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (own[..., 1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))).view(np.int64)
+                row, tab = np.divmod(np.arange(keys.size), tables)
+                yield pd.DataFrame({"tab": tab, "key": keys.ravel()} | {c: few[c].to_numpy()[row] for c in ("dims", "id", "s1", "s2")})
+
+    return classes.select("id", "dims", "s1", "s2").mapInPandas(make, "tab int, key long, dims long, id long, s1 long, s2 long")
+
+
+def _meeting(group: pd.DataFrame, bits: int, tables: int, most: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Of a block, tile after tile, which rows meet which: those of like sketches that share no earlier table, and in
+    a block of two halves only rows of different halves."""
+    tab, masks = int(group["tab"].iat[0]), _masks(bits, tables)
+    s = np.ascontiguousarray(group[["s1", "s2"]].to_numpy()).view(np.uint64)
+    own = group["own"].to_numpy() if group["x"].iat[0] != group["y"].iat[0] else None
+    for at in range(0, len(s), TILE):
+        here = slice(at, min(len(s), at + TILE))
+        x, y = s[here, 0][:, None] ^ s[None, :, 0], s[here, 1][:, None] ^ s[None, :, 1]
+        meets = np.bitwise_count(x) + np.bitwise_count(y) <= most
+        meets[np.arange(here.stop - at), np.arange(at, here.stop)] = False
+        if own is not None:
+            meets &= own[here, None] != own[None, :]
+        i, j = np.nonzero(meets)
+        if len(i):
+            dx, dy = x[i, j], y[i, j]
+            # two different keys can have one hash: then this table is not shared either
+            good = ((dx & masks[tab, 0]) | (dy & masks[tab, 1])) == 0
+            for t in range(tab):
+                good &= ((dx & masks[t, 0]) | (dy & masks[t, 1])) != 0
+            meets[i[~good], j[~good]] = False
+        yield here, meets
 
 
-def _spread(group: np.ndarray) -> np.ndarray:
-    """Of a block's links (a boolean matrix), the smallest index that each row is connected with."""
-    label = np.arange(len(group))
+def _root(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after linking the rows i with the rows j: the smallest label that each is connected with."""
     while True:
-        least = np.where(group, label[None, :], len(group)).min(axis=1)
-        new = np.minimum(label, least)
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
-def linked(vectors: DataFrame, least: float = LEAST, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Counts (vec_id, n_links) and edges (src, dst) that connect what is linked; vec_id must be unique.
+_BLOCKS = ["tab", "key", "dims", "x", "y"]
+
+
+def linked(classes: DataFrame, vectors: DataFrame, least: float = LEAST, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Counts (id, n_links) and edges (src, dst) that connect what is linked, of classes (id, h1, h2, n, dims, s1, s2) of
+    n equal vectors each; vectors (vec_id, h1, h2, embedding) hold those of the ids.
 
-    Vectors with a common key meet in blocks of about BLOCK x BLOCK, so that no task holds a large key. A pair is
-    counted in the first table that it shares. No pair leaves a block: it reports counts, and an edge for each vector.
+    Ids with a common key meet in blocks of about BLOCK x BLOCK, so that no task holds a large key. No pair leaves a
+    block: it reports who takes part, then counts, and an edge for each vector.
     """
-    vectors = materialise(vectors, "vectors")
-    bits, tables = layout(vectors.count(), least, recall)
-    flat = hashed(vectors, bits, tables)
+    bits, tables, most = layout(classes.count(), least, recall)
+    flat = dealt(classes, bits, tables)
     sizes = materialise(flat.groupBy("tab", "key", "dims").agg(F.count("*").alias("n")).filter(f"n > {BLOCK}"), "sizes")
     # only keys that are large need their number of blocks; those are few
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
-    cut = flat.join(sizes, ["tab", "key", "dims"], "left").withColumn("b", blocks).withColumn("own", F.pmod(F.hash("vec_id"), F.col("b")))
+    cut = flat.join(sizes, ["tab", "key", "dims"], "left").withColumn("b", blocks).withColumn("own", F.pmod(F.hash("id"), F.col("b")))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    dealt = cut.select("tab", "key", "dims", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "vec_id", "embedding")
-    keys = ["tab", "key", "dims", "x", "y"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    placed = cut.select("tab", "key", "dims", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "s1", "s2")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(batches, keys):
+        for group in runs(batches, _BLOCKS):
+            some = np.zeros(len(group), dtype=bool)
+            for here, meets in _meeting(group, bits, tables, most) if len(group) > 1 else ():
+                some[here] = meets.any(axis=1)
+            if some.any():
+                yield group[some]
+
+    schema = "tab int, key long, dims long, x int, y int, own int, id long, s1 long, s2 long"
+    members = materialise(placed.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS).mapInPandas(meet, schema), "members")
+    wanted = members.select("id").distinct().join(classes.select("id", "h1", "h2", "n"), "id")
+    wanted = materialise(wanted, "wanted")
+    # equal rows of an id may repeat: one of them is taken
+    found = vectors.join(wanted.withColumnRenamed("id", "vec_id"), ["vec_id", "h1", "h2"]).groupBy(F.col("vec_id").alias("id")).agg(F.first("n").alias("n"), F.first("embedding").alias("embedding"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, _BLOCKS):
             if len(group) < 2:
                 continue
-            x, y, own, tab = group["x"].iat[0], group["y"].iat[0], group["own"].to_numpy(), group["tab"].iat[0]
-            ids, unit = group["vec_id"].to_numpy(), _unit(_matrix(group["embedding"]))
-            if x == y:
-                meets = np.ones((len(ids), len(ids)), dtype=bool)
-            else:  # each half has its own block for what lies within it
-                meets = own[:, None] != own[None, :]
-            np.fill_diagonal(meets, False)
-            meets &= unit @ unit.T >= least
-            some = np.flatnonzero(meets.any(axis=1))
-            if not len(some):
-                continue
-            near = meets[np.ix_(some, some)]
-            mine, root = _keys(unit[some], bits, tables), _spread(near)
-            earlier = np.zeros_like(near)
-            for t in range(tab):
-                earlier |= mine[:, t][:, None] == mine[:, t][None, :]
-            yield pd.DataFrame({"src": ids[some], "dst": ids[some][root], "n": (near & ~earlier).sum(axis=1)})
-
-    found = materialise(dealt.mapInPandas(meet, "src long, dst long, n long"), "found")
-    return found.groupBy("src").agg(F.sum("n").alias("n_links")).withColumnRenamed("src", "vec_id"), found.filter("src <> dst").select("src", "dst")
+            ids, n, unit = group["id"].to_numpy(), group["n"].to_numpy(), _unit(_matrix(group["embedding"]))
+            sums, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+            for here, meets in _meeting(group, bits, tables, most):
+                near = meets & (unit[here] @ unit.T >= least)
+                sums[here] = near @ n
+                i, j = np.nonzero(near)
+                if len(i):
+                    label = _root(label, i + here.start, j)
+            some = sums > 0
+            if some.any():
+                yield pd.DataFrame({"src": ids[some], "dst": ids[label[some]], "n": sums[some]})
+
+    full = members.join(found, "id").repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS)
+    pairs = materialise(full.mapInPandas(verify, "src long, dst long, n long"), "pairs")
+    drop_scratch(members)
+    return pairs.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n_links")), pairs.filter("src <> dst").select("src", "dst")
 
 
 def near_duplicates(table: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of a table (vec_id, embedding).
 
     Vectors of the same length are linked if their cosine, in double precision, is at least `least`; a pair at just
-    that is found with probability `recall`, nearer ones with a higher one. Vectors that are null, empty or zero or
-    have null or non-finite components, and rows with a null vec_id, are linked with nothing. component_id is the
-    smallest vec_id reachable by links, kept is vec_id = component_id. Of rows that share a vec_id, one vector (the
-    least) is compared, and all get its results. Other columns are not read.
+    that is found with probability `recall`, nearer ones with a higher one, equal ones in any case. Vectors that are
+    null, empty or zero or have null or non-finite components, and rows with a null vec_id, are linked with nothing.
+    component_id is the smallest vec_id reachable by links, kept is vec_id = component_id. Of rows that share a vec_id,
+    one vector is compared, chosen by its digest, and all get its results. Equal vectors are one class that is compared
+    once. Other columns are not read.
     """
     table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = table.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)))
-    counts, edges = linked(sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), least, recall)
-    comps = connected_components(edges).withColumnRenamed("node", "vec_id")
-    facts = materialise(counts.join(comps, "vec_id", "full"), "facts")
-    out = table.select("vec_id").join(facts, "vec_id", "left")
+    sound = sound.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
+    rows = materialise(sketched(sound), "sketches")
+    facts = ("h1", "h2", "dims", "s1", "s2")
+    own = rows.groupBy("vec_id").agg(F.min(F.struct(*facts)).alias("v")).select("vec_id", "v.*")
+    classes = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in facts[2:]))
+    classes = materialise(classes, "classes")
+    counts, edges = linked(classes, sound, least, recall)
+    comps = connected_components(edges).withColumnRenamed("node", "id")
+    known = classes.join(counts, "id", "left").join(comps, "id", "left")
+    known = known.select("h1", "h2", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    # only what has a link is looked up
+    known = materialise(known.filter("n_links > 0"), "known")
+    linked_ids = materialise(own.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component"), "linked")
+    out = table.select("vec_id").join(linked_ids, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
