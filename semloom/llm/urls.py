@@ -1,9 +1,9 @@
 """URL filters with redirect equivalence.
 
-Rules name a host and the beginning of a path. A page without a rule of its own takes the decision of its aliases:
-URLs that differ only in what servers redirect away (scheme, www. and m., a closing slash, .html, index files, tracking
-parameters, fragments) are one node, and pages' canonical links and refresh redirects are edges between nodes. In a
-connected component an explicit allow outweighs an explicit block.
+Rules name a host and the beginning of a path. A page without a rule of its own takes the decision of its aliases. URLs
+are nodes. Edges are pages' canonical links and refresh redirects, redirects that are given, and the rewrites that
+servers answer with a redirect (scheme, www. and m., a closing slash, .html, index files, tracking parameters,
+fragments), one edge a rewrite. Connected components carry decisions: in each, an explicit allow outweighs a block.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from semloom.llm.components import connected_components
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 _TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host(url: Column) -> Column:
@@ -29,13 +29,24 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def alias_key(url: Column) -> Column:
-    """What aliases of a URL have in common; null where it names no host."""
-    own = F.regexp_replace(host(url), r"^(www|m)\.", "")
-    short = F.regexp_replace(F.regexp_replace(path(url), r"/index(\.[a-z]+)?$|\.html?$", ""), r"/+$", "")
-    query = F.regexp_extract(url, r"://[^?#]*\?([^#]*)", 1)
-    kept = F.sort_array(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(_TRACKING)))
-    return F.when(own != "", F.concat(own, short, F.lit("?"), F.array_join(kept, "&")))
+def rewrites(url: Column) -> list[Column]:
+    """A URL and what servers redirect it to, step by step: https and a small-letter host without fragment, no www. or
+    m., no tracking or empty parameters and the rest sorted, no index file or .html, no closing slash. All are null where
+    it names no host. URLs that end in the same rewritten one are aliases."""
+    own, place, query = host(url), path(url), F.regexp_extract(url, r"://[^?#]*\?([^#]*)", 1)
+    bare = F.regexp_replace(own, r"^(www|m)\.", "")
+    kept = F.array_join(F.sort_array(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(_TRACKING))), "&")
+    file = F.regexp_replace(place, r"/index(\.[a-z]+)?$|\.html?$", "")
+    whole = lambda h, p, q: F.when(bare != "", F.concat(F.lit("https://"), h, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
+    steps = [whole(own, place, query), whole(bare, place, query), whole(bare, place, kept), whole(bare, file, kept), whole(bare, F.regexp_replace(file, "/+$", ""), kept)]
+    return [F.when(bare != "", url), *steps]
+
+
+def rewrite_edges(urls: DataFrame) -> DataFrame:
+    """(src, dst) for each rewrite that changes one of urls (url)."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.get("_steps", i).alias("src"), F.get("_steps", i + 1).alias("dst")))
+    flat = urls.select("url").distinct().withColumn("_steps", F.array(*rewrites(F.col("url"))))
+    return flat.select(F.explode(steps).alias("e")).select("e.*").filter("src IS NOT NULL AND src <> dst")
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -67,35 +78,42 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("action", F.col("_best.action")).drop("_met", "_best")
 
 
+def _targets(html: Column, url: Column) -> Column:
+    """The whole URLs of all canonical links and refresh redirects of a page."""
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(p), 1) for p in (_CANONICAL, _REFRESH)))
+    plain = F.transform(found, lambda t: F.regexp_replace(t, "&(amp|#38|#x26);", "&"))
+    return F.transform(plain, lambda t: resolved(t, url))
+
+
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url, html), with rules (action, host, path)
     and, if given, redirects (src, dst) between URLs.
 
     verdict is the action of the page's own longest rule. Without one it is, over all URLs in the page's component,
     allow if a rule allows one, else block if a rule blocks one, else allow. Host and path of a URL that is null or has
-    no :// are empty, and such a page is allowed. A null html has no links. Repeated rows come back repeated; other
-    columns are not read.
+    no :// are empty, and such a page is allowed. A null html has no links; all links of a very long one are read. Of
+    equally long rules that fit, the first by host and path counts. Repeated rows come back repeated, an empty table
+    gives no row, and other columns are not read.
     """
-    spark = pages.sparkSession
-    found = [F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), p, 1) for p in (_CANONICAL, _REFRESH)]
-    flat = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("key"), F.array(*(resolved(t, F.col("url")) for t in found)).alias("to"))
+    flat = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), _targets(F.col("html"), F.col("url")).alias("to"))
     flat = materialise(flat, "pages")
     links = flat.select(F.col("url").alias("src"), F.explode("to").alias("dst"))
     if redirects is not None:
         links = links.unionByName(redirects.select("src", "dst"))
     links = materialise(links.filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
-    edges = links.select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"))
-    comps = materialise(connected_components(edges).withColumnRenamed("node", "key"), "components")
-
-    mine = materialise(ruled(flat.select("page_id", "host", "path", "key"), rules), "ruled")
-    ends = links.select(F.explode(F.array("src", "dst")).alias("url")).distinct()
-    others = ruled(ends.select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), alias_key(F.col("url")).alias("key")), rules)
-    votes = mine.select("key", "action").unionByName(others.select("key", "action")).filter("action IS NOT NULL AND key IS NOT NULL")
-    named = votes.join(comps, "key", "left").select(F.coalesce("component", "key").alias("component"), "action")
-    decided = named.groupBy("component").agg(F.bool_or(F.col("action") == "allow").alias("allowed"))
+    ends = links.select(F.explode(F.array("src", "dst")).alias("url"))
+    named = flat.select("url").unionByName(ends).filter("url IS NOT NULL").distinct()
+    # a rewritten URL is a node of its own; links meet it through the rewrites of their ends
+    comps = connected_components(links.filter("src RLIKE '://[^/?#]' AND dst RLIKE '://[^/?#]'").unionByName(rewrite_edges(named)))
+    comps = materialise(comps.withColumnRenamed("node", "url"), "components")
+
+    mine = materialise(ruled(flat.select("page_id", "url", "host", "path"), rules), "ruled")
+    others = ruled(ends.distinct().select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
+    votes = mine.select("url", "action").unionByName(others.select("url", "action")).filter("action IS NOT NULL AND url IS NOT NULL").distinct()
+    decided = votes.join(comps, "url", "left").groupBy(F.coalesce("component", "url").alias("component")).agg(F.bool_or(F.col("action") == "allow").alias("allowed"))
     decided = materialise(decided, "decided")
 
-    out = mine.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key")).join(decided, "component", "left")
+    out = mine.join(comps, "url", "left").withColumn("component", F.coalesce("component", "url")).join(decided, "component", "left")
     alias = F.when(F.coalesce("allowed", F.lit(True)), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", alias).alias("verdict"))
 
@@ -104,7 +122,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.createDataFrame(RULES, "action string, host string, path string"))
 
 
-#: Pages of the tables have no canonical links and no refreshes, so that a component is one alias key.
+#: Pages of the tables have no canonical links and no refreshes, so that rewrites are the only edges and
+#: a component holds the URLs of one alias key.
 ORACLE_SQL = r"""
 WITH p AS (
   SELECT page_id, url, lower(coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,

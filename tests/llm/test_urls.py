@@ -1,3 +1,4 @@
+import random
 import re
 
 from semloom.llm import urls
@@ -40,3 +41,53 @@ def test_rules_and_aliases(spark):
     lone = spark.createDataFrame([(1, "https://www.lone.net", None)], "page_id long, url string, html string")
     assert urls.judge(lone, rules, more).first().verdict == "block"
     assert urls.judge(df.limit(0), rules).count() == 0
+
+
+def alias(url):
+    """Where all rewrites of a URL end, and every step before."""
+    m = re.search(r"://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url)
+    if not m or not m[1]:
+        return []
+    host, path, query = m[1].lower(), m[2], m[3] or ""
+    steps, bare = [url], re.sub(r"^(www|m)\.", "", host)
+    kept = "&".join(sorted(p for p in query.split("&") if p and not re.match(r"(utm_[^=]*|ref|fbclid|gclid)(=|$)", p)))
+    file = re.sub(r"/index(\.[a-z]+)?$|\.html?$", "", path)
+    for h, p, q in ((host, path, query), (bare, path, query), (bare, path, kept), (bare, file, kept), (bare, file.rstrip("/"), kept)):
+        steps.append(f"https://{h}{p}{'?' if q else ''}{q}")
+    return steps
+
+
+def test_verdicts_against_union_find(spark):
+    rng, hosts = random.Random(4), ["example.org", "www.example.org", "a.net", "m.a.net", "b.net", "B.net", "x.com", "t.x.com", "c.io"]
+    paths = ["", "/", "/es/1", "/en/1", "/q", "/q/", "/q.html", "/q/index.html", "/de/2", "/fr/2", "/z?ref=1&b=2&a=1", "/z?a=1&b=2#top"]
+    url = lambda: rng.choice(["http", "https"]) + "://" + rng.choice(hosts) + rng.choice(paths)
+    pages, redirects = [], []
+    for i in range(160):
+        own, to, kind = url(), url(), rng.randrange(8)
+        html = {0: f'<link rel="canonical" href="{to.replace("&", "&amp;")}">', 1: f"""<meta http-equiv="refresh" content="0; url='{to}'">"""}.get(kind, "")
+        edges = [to] if html else []
+        if kind == 0 and i % 3 == 0:  # a second link counts too
+            more = url()
+            html, edges = html + f"<LINK href='{more}' rel=canonical>", [*edges, more]
+        pages.append((i, own, html))
+        redirects += [(own, e) for e in edges]
+    given = [(url(), url()) for _ in range(6)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    nodes = {u for _, u, _ in pages} | {u for e in redirects + given for u in e}
+    for a, b in [e for u in nodes for e in zip(alias(u), alias(u)[1:])] + redirects + given:
+        root[find(a)] = find(b)
+    action = {u: brute([(0, u, None)])[0][3] for u in nodes}
+    votes = {}
+    for u in nodes:
+        votes.setdefault(find(u), set()).add(action[u])
+    want = {i: action[u] or ("allow" if "allow" in votes[find(u)] or "block" not in votes[find(u)] else "block") for i, u, _ in pages}
+    rules = spark.createDataFrame(urls.RULES, "action string, host string, path string")
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, spark.createDataFrame(given, "src string, dst string")).collect()
+    assert {r.page_id: r.verdict for r in got} == want and len(got) == len(pages)
+    assert {want[i] for i, u, _ in pages if not action[u]} == {"allow", "block"}
