@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from semloom.llm.common import ascii_lower, materialise, scratch_path
 
-BLOCK, LEAST_PAYLOAD, LARGEST_FILE = 1000, 1000, 1 << 30
+BLOCK, LEAST_PAYLOAD, LARGEST_FILE, SALTS = 1000, 1000, 1 << 30, 16
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = "entry string, file string, offset long, size long"
@@ -227,15 +227,21 @@ def archive(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> tuple[
 
     The payload is the html in UTF-8, nothing where it is null. Of records with equal payloads of at least so many
     bytes, those with the largest page_id are responses and the others revisit it; a null page_id is never the largest.
-    Repeated rows are records of their own. Other columns are not read.
+    Repeated rows are records of their own, a very long html is one record, and an empty table gives empty archives.
+    Other columns are not read.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    large = base.filter(F.octet_length("payload") >= least).select("digest", "page_id", "url")
+    whole = F.octet_length("payload") >= least
+    large = base.filter(whole).select("digest", "page_id", "url")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count("*").alias("n"))
     groups = materialise(groups.filter("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
+    # copies of a payload go to SALTS tasks, each of which has their group; small payloads need none
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = base.filter(whole).withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted.hint("merge"), ["digest", "salt"], "left").drop("salt")
+    alone = base.filter(~whole).withColumns({"refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")})
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    captures = write_archives(base.join(groups.hint("merge"), "digest", "left").withColumn("revisit", revisit), folder)
+    captures = write_archives(found.unionByName(alone).withColumn("revisit", revisit), folder)
     return captures, write_index(captures, folder)
 
 
