@@ -58,12 +58,12 @@ def alias(url):
 
 
 def test_verdicts_against_union_find(spark):
-    rng, hosts = random.Random(4), ["example.org", "www.example.org", "a.net", "m.a.net", "b.net", "B.net", "x.com", "t.x.com", "c.io"]
+    rng, hosts = random.Random(4), ["example.org", "www.example.org", "a.net", "m.a.net", "b.net", "B.net", "x.com", "t.x.com", *(f"{w}h{k}.net" for k in range(40) for w in ("", "www."))]
     paths = ["", "/", "/es/1", "/en/1", "/q", "/q/", "/q.html", "/q/index.html", "/de/2", "/fr/2", "/z?ref=1&b=2&a=1", "/z?a=1&b=2#top"]
     url = lambda: rng.choice(["http", "https"]) + "://" + rng.choice(hosts) + rng.choice(paths)
     pages, redirects = [], []
-    for i in range(160):
-        own, to, kind = url(), url(), rng.randrange(8)
+    for i in range(240):
+        own, to, kind = url(), url(), rng.randrange(12)
         html = {0: f'<link rel="canonical" href="{to.replace("&", "&amp;")}">', 1: f"""<meta http-equiv="refresh" content="0; url='{to}'">"""}.get(kind, "")
         edges = [to] if html else []
         if kind == 0 and i % 3 == 0:  # a second link counts too
@@ -71,6 +71,10 @@ def test_verdicts_against_union_find(spark):
             html, edges = html + f"<LINK href='{more}' rel=canonical>", [*edges, more]
         pages.append((i, own, html))
         redirects += [(own, e) for e in edges]
+    for k in range(5):  # blocked by a link, one alias further
+        to = f"https://x.com/de/{k + 10}"
+        pages += [(500 + k, f"http://lone{k}.net/p.html", f'<link rel="canonical" href="{to}">'), (600 + k, f"https://www.lone{k}.net/p/", "")]
+        redirects.append((f"http://lone{k}.net/p.html", to))
     given = [(url(), url()) for _ in range(6)]
     root = {}
 
