@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from semloom.llm.common import WORD_SEPARATORS, ascii_lower, materialise
 
 WINDOW = 10
-#: Benchmark tables of up to so many rows, counted first, are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Benchmark tables of up to so many bytes, summed first, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def _words(text: Column) -> Column:
@@ -36,8 +36,9 @@ def _winnowed(grams: Column, w: int) -> Column:
 
 
 def _bounded(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than that."""
-    return F.broadcast(df) if df.count() <= most else df
+    """df, of one column, with a broadcast hint if it takes no more bytes than that, 32 of them for each row."""
+    used = df.agg(F.sum(F.octet_length(F.col(df.columns[0]).cast("string")) + 32)).first()[0] or 0
+    return F.broadcast(df) if used <= most else df
 
 
 def _occurrences(docs: DataFrame, windows: DataFrame, size: int, most: int) -> DataFrame:
@@ -50,8 +51,10 @@ def _occurrences(docs: DataFrame, windows: DataFrame, size: int, most: int) -> D
     marks = hashed(docs, _words(F.col("text"))).filter(F.size("_h") >= size).withColumn("_g", _grams(F.col("_h"), k))
     marks = marks.select("key", F.explode(_winnowed(F.col("_g"), w)).alias("print"))
     hits = materialise(marks.join(prints, "print").groupBy("key").agg(F.collect_set("print").alias("prints")), "hits")
-    # hits grow with the documents and so are never broadcast
-    near = docs.join(hits.hint("merge"), "key").withColumn("_w", _words(F.col("text")))
+    # copies of a text become one row before they are dealt, and its partitioning serves the join; hits grow with the
+    # documents and so are never broadcast
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))
+    near = texts.join(hits.hint("merge"), "key").withColumn("_w", _words(F.col("text")))
     near = hashed(near, F.col("_w")).withColumn("_g", _grams(F.col("_h"), k))
     # a window holds its fingerprint in one of its w places
     places = F.filter(_each(F.size("_g"), lambda i: i), lambda i: F.array_contains("prints", F.get("_g", i)))
@@ -61,14 +64,14 @@ def _occurrences(docs: DataFrame, windows: DataFrame, size: int, most: int) -> D
     return found.join(_bounded(windows, most), "window").select("key", "at", F.lit(size).alias("size"), "window")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs (doc_id, text).
 
     Words are lower-cased runs of ASCII letters and digits and of characters beyond ASCII. A window is so many
     consecutive words of a benchmark item (item_id, text); an item with fewer words, but not none, is one window. A
     word of a document is hit if it lies in an occurrence of a window; n_items counts the items that have occurring
-    windows, items_sha256 is of their ids, sorted as strings and comma-joined. A null text has no words. Repeated rows
-    come back repeated; a null item_id counts with the empty string as its id. Other columns are not read.
+    windows, items_sha256 is of their ids, sorted as strings and comma-joined. A null or empty text has no words; a very
+    long one is read whole. Repeated rows come back repeated, an empty table gives no row or no hit; a null item_id counts with the empty string as its id. Other columns are not read.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     spark = docs.sparkSession

@@ -37,7 +37,21 @@ def test_against_brute_force(spark):
     docs += [(200, None), (None, items[6][1]), (201, items[7][1].upper()), (201, items[7][1].upper()), (202, "only once-here")]
     d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, key string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for most in (100_000, 0):
+    for most in (1 << 20, 0):
         assert sorted(map(tuple, contamination(d, b, most=most).collect()), key=str) == sorted(brute(docs, items), key=str)
     assert contamination(d, b.limit(0)).filter("contaminated").count() == 0
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_many_copies_of_a_text_and_repeated_passages(spark):
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(500)}" for _ in range(30))
+    items = [(1, passage), (2, "Other words " * 8)]
+    copy, clean = f"start {passage} middle {passage} end", "nothing of it " * 40
+    docs = [(k, copy) for k in range(300)] + [(1000 + k, clean) for k in range(300)] + [(2000, passage + " other words" * 5)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: tuple(r) for r in contamination(d, b).collect()}
+    want = {r[0]: r for r in brute([(0, copy), (1000, clean), (2000, docs[-1][1])], items)}
+    assert len(got) == len(docs)
+    for i, row in got.items():
+        assert row[1:] == want[0 if i < 1000 else 1000 if i < 2000 else 2000][1:]
