@@ -174,7 +174,7 @@ def fit(index: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray) ->
 
 def train(docs: DataFrame, ratings: DataFrame, rated: int = RATED) -> Ordinal:
     """Fits on documents (doc_id, text) with ratings (doc_id, grade): at most so many, those of least hash of doc_id.
-    Of several ratings of a document the lowest counts; null ids and grades are left out."""
+    Of several ratings of a document the lowest counts, of several texts the least; null ids and grades are left out."""
     known = ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rated)  # the limit bounds what is broadcast
 
@@ -184,7 +184,8 @@ def train(docs: DataFrame, ratings: DataFrame, rated: int = RATED) -> Ordinal:
             found = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "grade": batch["grade"], "i": [x[0] for x in found], "v": [x[1] for x in found]})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # of repeated rows of a document one text counts, the least: what reaches the driver is bounded by the ids
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text"))
     table = joined.mapInPandas(make, "doc_id long, grade double, i array<int>, v array<float>").toArrow()
     order = np.lexsort((table["grade"].to_numpy(), table["doc_id"].to_numpy()))  # the same fit whatever the partitions
     index, value = ([c[k].values.to_numpy() for k in order] for c in (table["i"], table["v"]))

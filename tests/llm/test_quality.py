@@ -55,3 +55,31 @@ def test_whole_words_and_unspaced_texts_are_read():
     for text in ("\u6587\u5b57\u5f88\u597d" * 500, "\u0e01\u0e02\u0e04" * 9, "\u6587", "https://" + "abc" * 50):
         _, v = features(text)
         assert np.isclose((v**2).sum(), 6)  # three beginnings, the shape, the n-grams together and no repeat
+
+
+def test_repeats_of_a_rated_document_change_no_weight(spark):
+    docs = [(i, f"good{i % 7} word{i % 3} " * 20 if i % 2 else f"bad{i % 5} word{i % 3} " * 20) for i in range(60)]
+    rated = spark.createDataFrame([(i, float(i % 2)) for i in range(60)], "doc_id long, grade double")
+    once, often = (spark.createDataFrame(docs + docs[:1] * n, "doc_id long, text string").repartition(3) for n in (0, 500))
+    one, other = quality.train(once, rated), quality.train(often, rated)
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.thresholds, other.thresholds)
+
+
+def test_scores_of_given_documents_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rated = quality.ratings(labels)
+    model, features = quality.train(docs.select("doc_id", "text"), rated), quality.Features()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id: r.grade == 2 for r in rated.collect()}
+    rows = quality.op1_quality_classifier(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        i, v = features(texts[r.doc_id])
+        score = sum(model.weights[a] * b for a, b in zip(i, v))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert np.isclose(r.tail_probability, tails[-1], atol=1e-4) and np.isclose(r.expected_grade, sum(tails), atol=1e-3)
+    train, test = (rated.filter(f"pmod(hash(doc_id), 2) = {k}") for k in (0, 1))
+    kept = {r.doc_id: r.kept for r in quality.assess(docs, train).collect()}
+    held = [kept[r.doc_id] == good[r.doc_id] for r in test.collect() if r.doc_id in kept]
+    assert len(held) > 20 and np.mean(held) > 0.75
