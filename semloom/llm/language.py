@@ -91,11 +91,9 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(samples: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their prototypes, from samples (doc_id, text, lang): about per_language texts of each."""
     known = samples.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], np.zeros((0, DIMENSIONS), dtype=np.float32)
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
-    some = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    # a row a language: joined, however many there are
+    share = known.groupBy(F.col("lang").alias("_lang")).agg((F.lit(1_000_000.0) * per_language / F.count("*")).alias("_share"))
+    some = known.join(share, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < F.col("_share"))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}

@@ -38,3 +38,10 @@ def test_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"} and all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", df.lang.substr(9, 1).cast("string")).filter("lang IS NULL")).collect()} <= {"und"}
     assert language.identify(df.limit(0)).count() == 0
+
+
+def test_held_out_accuracy_on_given_documents(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").filter("lang IS NOT NULL").collect()}
+    held = [r for r in language.op6_language_id(spark, d).collect() if r.held_out and r.doc_id in truth and r.lang_pred != "und"]
+    assert len(held) > 100 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.98
