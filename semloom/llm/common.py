@@ -24,10 +24,13 @@ _WORD_TABLE = bytes(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, as in tests, a local one is made."""
+    """The folder that driver and executors share. Only in local mode, as in tests, one is made where the session names
+    none; a cluster's executors would not see the driver's folder."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="semloom-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
