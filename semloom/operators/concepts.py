@@ -40,11 +40,13 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy(F.collate(F.coalesce("label", "localName"), "UNICODE"), "iri")
 
 
-def search(found: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """The first concepts whose local name, label or IRI holds the query, cases alike; an empty query is in all."""
+def search(found: DataFrame, query: str, limit: int | None = SEARCH_LIMIT) -> DataFrame:
+    """The first concepts whose local name, label or IRI holds the query, cases alike, or all of them where no limit is
+    given; an empty query is in all."""
     q = query.strip().lower()
     hit = [F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)) for c in ("localName", "label", "iri")]
-    return ranked(found.filter(hit[0] | hit[1] | hit[2]) if q else found).limit(limit)
+    hits = found.filter(hit[0] | hit[1] | hit[2]) if q else found
+    return hits if limit is None else ranked(hits).limit(limit)
 
 
 def adoptable(triples: DataFrame, least: int = 10) -> DataFrame:

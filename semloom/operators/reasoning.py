@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semloom.model import TYPE
+from semloom.plans.abox import edges_of
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a round by a table in the session's checkpoint folder; a local one only where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Cuts the lineage of a round by a table in the session's checkpoint folder; one of its own only in local mode, where none is set."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="semloom-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="semloom-"))
+        root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,10 +41,6 @@ def transitive(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 
-def edges_of(triples: DataFrame, p: str) -> DataFrame:
-    return triples.filter(F.col("p") == p)
-
-
 def propagate_types(types: DataFrame, closure: DataFrame) -> DataFrame:
     """types (s, c) with all superclasses, by a closure (sub, sup)."""
     up = types.join(closure, F.col("c") == F.col("sub")).select("s", F.col("sup").alias("c"))
@@ -68,11 +67,16 @@ def symmetric(triples: DataFrame, p: str) -> DataFrame:
 
 
 def subproperties(triples: DataFrame, spo: DataFrame) -> DataFrame:
-    """triples with what superproperties spo (sub, sup) add."""
-    up = triples.join(spo, F.col("p") == F.col("sub")).select("s", F.col("sup").alias("p"), "o")
+    """triples with what all superproperties, direct and further up, add; spo (sub, sup) holds the direct ones."""
+    up = triples.join(transitive(spo), F.col("p") == F.col("sub")).select("s", F.col("sup").alias("p"), "o")
     return triples.select("s", "p", "o").unionByName(up).distinct()
 
 
+def reflexive(individuals: DataFrame, p: str) -> DataFrame:
+    """Triples of a reflexive property: every individual (s) with itself."""
+    return individuals.select("s").distinct().select("s", F.lit(p).alias("p"), F.col("s").alias("o"))
+
+
 def chain(triples: DataFrame, first: str, second: str, result: str) -> DataFrame:
     a = edges_of(triples, first).select("s", F.col("o").alias("mid"))
     b = edges_of(triples, second).select(F.col("s").alias("mid"), "o")
@@ -120,8 +124,8 @@ def disjoint_properties(triples: DataFrame, one: str, other: str) -> DataFrame:
     return edges_of(triples, one).select("s", "o").intersect(edges_of(triples, other).select("s", "o"))
 
 
-def types_of(triples: DataFrame) -> DataFrame:
-    return triples.filter(F.col("p") == TYPE).select("s", F.col("o").alias("c"))
+def types_of(triples: DataFrame, *classes: str) -> DataFrame:
+    return edges_of(triples, TYPE, objects=classes).select("s", F.col("o").alias("c"))
 
 
 def small(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semloom.model import XSD_TYPES
+from semloom.operators.reasoning import propagate_types
+from semloom.plans.abox import View, edges_of
 
 
 @dataclass(frozen=True)
@@ -35,25 +38,28 @@ def lexical(value: Column, datatype: str) -> Column:
     return value.try_cast(XSD_TYPES[datatype]).isNotNull()
 
 
-def violations(triples: DataFrame, types: DataFrame, shape: Shape) -> DataFrame:
-    """types (s, c) should hold superclasses already. A path's values are read once for each constraint on it."""
+def violations(triples: View | DataFrame, types: DataFrame, shape: Shape, closure: DataFrame | None = None) -> DataFrame:
+    """The target's individuals, and those of its subclasses by a closure (sub, sup) if one is given, are the focus; a
+    value belongs to a class in the same way. A path's values are met with the focus once for all its constraints."""
+    types = propagate_types(types, closure) if closure is not None else types.select("s", "c").distinct()
     focus = types.filter(F.col("c") == shape.target).select(F.col("s").alias("focus")).distinct()
-    out = []
-
-    def add(rows: DataFrame, path: str, kind: str, value: Column) -> None:
-        out.append(rows.select("focus", F.lit(path).alias("path"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(shape.target).alias("shape")))
-
-    for p in shape.properties:
-        values = triples.filter(F.col("p") == p.path).select(F.col("s").alias("focus"), F.col("o").alias("value")).join(focus, "focus", "left_semi")
-        if p.least:
-            counts = values.groupBy("focus").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= p.least)
-            add(focus.join(counts, "focus", "left_anti"), p.path, "minCount", F.lit(None))
-        if p.classes:
-            allowed = types.filter(F.col("c").isin(*p.classes)).select(F.col("s").alias("value"))
-            add(values.join(allowed, "value", "left_anti"), p.path, "class" if len(p.classes) == 1 else "or", F.col("value"))
-        if p.datatype:
-            add(values.filter(~lexical(F.col("value"), p.datatype)), p.path, "datatype", F.col("value"))
-    report = out[0]
-    for part in out[1:]:
-        report = report.unionByName(part)
-    return report
+    parts = []
+    for path in dict.fromkeys(p.path for p in shape.properties):
+        own = [p for p in shape.properties if p.path == path]
+        values = edges_of(triples, path).select(F.col("s").alias("focus"), F.col("o").alias("value")).distinct()
+        met = focus.join(values, "focus", "left")
+        wrong = [F.when(F.col("value").isNotNull() & ~lexical(F.col("value"), p.datatype), F.lit("datatype")) for p in own if p.datatype]
+        for k, p in enumerate(p for p in own if p.classes):
+            allowed = types.filter(F.col("c").isin(*p.classes)).select(F.col("s").alias("value"), F.lit(True).alias(f"_in{k}")).distinct()
+            met = met.join(allowed, "value", "left")
+            wrong.append(F.when(F.col("value").isNotNull() & F.col(f"_in{k}").isNull(), F.lit("class" if len(p.classes) == 1 else "or")))
+        row = lambda kind, value: (F.col("focus"), F.lit(path).alias("path"), kind.alias("kind"), value.cast("string").alias("value"), F.lit(shape.target).alias("shape"))
+        if wrong:
+            parts.append(met.withColumn("_kind", F.explode(F.array_compact(F.array(*wrong)))).select(*row(F.col("_kind"), F.col("value"))))
+        least = max(p.least for p in own)
+        if least:
+            counts = focus.join(values, "focus", "left").groupBy("focus").agg(F.count("value").alias("n")).filter(F.col("n") < least)
+            parts.append(counts.select(*row(F.lit("minCount"), F.lit(None))))
+    if not parts:
+        return focus.limit(0).select("focus", *(F.lit(None).cast("string").alias(c) for c in ("path", "kind", "value", "shape")))
+    return reduce(DataFrame.unionByName, parts)

@@ -1,7 +1,7 @@
 """Relational tables as one virtual triples view (s, p, o).
 
-Every branch of the view is a projection of one table's column with a literal predicate. A filter on p prunes all
-other branches when the plan is optimised, so a pattern reads just the columns that its predicates come from.
+Every branch of the view is a projection of one table's column with a literal predicate, so a pattern reads just the
+columns that its predicates come from.
 """
 
 from __future__ import annotations
@@ -22,20 +22,51 @@ def branch(df: DataFrame, s: Column, p: str, o: Column) -> DataFrame:
     return df.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o")).filter("s IS NOT NULL AND o IS NOT NULL")
 
 
+class View:
+    """The triples of tables with a key, branch by branch: a type, an edge for each object column, a literal for each
+    data column; for orders also the role that a customer plays and the instant of the order.
+
+    only() makes the branches that are asked for and no others, so that planning takes what the question takes and not
+    what the model holds.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, tables: list[str] | None = None):
+        self.spark, self.sf_dir, self.read = spark, sf_dir, {}
+        #: (predicate, object where it is a constant, table, subject, object)
+        self.branches: list[tuple[str, str | None, str, Column, Column]] = []
+        for t in (TABLES[n] for n in tables or TABLES):
+            me = individual(t.name, t.key)
+            self.branches.append((TYPE, t.name, t.name, me, F.lit(t.name)))
+            self.branches += [(c, None, t.name, me, individual(other, c)) for c, other in t.objects.items()]
+            self.branches += [(c, None, t.name, me, F.col(c)) for c in t.data]
+            if t.name == "orders":
+                role, time = individual("buyer", t.key), individual("time", t.key)
+                self.branches += [
+                    ("hasParticipant", None, t.name, me, role), (TYPE, "BuyerRole", t.name, role, F.lit("BuyerRole")), ("isFeatureOf", None, t.name, role, individual("customer", "o_custkey")),
+                    ("atTime", None, t.name, me, time), (TYPE, "TimeInstant", t.name, time, F.lit("TimeInstant")), ("hasValue", None, t.name, time, F.date_format("o_orderdate", "yyyy-MM-dd")),
+                ]
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.read[name]
+
+    def only(self, *predicates: str, objects: tuple[str, ...] = ()) -> DataFrame:
+        """The triples (s, p, o) of predicates, all of them where none is named; of constant objects only those given."""
+        wanted = [b for b in self.branches if (not predicates or b[0] in predicates) and (not objects or b[1] is None or b[1] in objects)]
+        parts = [branch(self._table(name), s, p, o) for p, _, name, s, o in wanted]
+        found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
+        return found.filter(F.col("o").isin(*objects)) if objects else found
+
+
+def edges_of(triples: View | DataFrame, *predicates: str, objects: tuple[str, ...] = ()) -> DataFrame:
+    """Triples of predicates, of given objects if there are any, from a view or a table (s, p, o)."""
+    if isinstance(triples, View):
+        return triples.only(*predicates, objects=objects)
+    found = triples.filter(F.col("p").isin(*predicates))
+    return found.filter(F.col("o").isin(*objects)) if objects else found
+
+
 def triples(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> DataFrame:
-    """The view over the tables with a key: a type, an edge for each object column, a literal for each data column; for
-    orders also the role that a customer plays and the instant of the order."""
-    parts = []
-    for t in (TABLES[n] for n in tables or TABLES):
-        df = spark.read.parquet(f"{sf_dir}/{t.name}.parquet")
-        me = individual(t.name, t.key)
-        parts.append(branch(df, me, TYPE, F.lit(t.name)))
-        parts += [branch(df, me, c, individual(other, c)) for c, other in t.objects.items()]
-        parts += [branch(df, me, c, F.col(c)) for c in t.data]
-        if t.name == "orders":
-            role, time = individual("buyer", t.key), individual("time", t.key)
-            parts += [
-                branch(df, me, "hasParticipant", role), branch(df, role, TYPE, F.lit("BuyerRole")), branch(df, role, "isFeatureOf", individual("customer", "o_custkey")),
-                branch(df, me, "atTime", time), branch(df, time, TYPE, F.lit("TimeInstant")), branch(df, time, "hasValue", F.date_format("o_orderdate", "yyyy-MM-dd")),
-            ]
-    return reduce(DataFrame.unionByName, parts)
+    """All triples of the tables as one table."""
+    return View(spark, sf_dir, tables).only()

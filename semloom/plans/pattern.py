@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from semloom.functions.iri import shorten
 from semloom.model import TYPE
+from semloom.plans.abox import View, edges_of
 
 THIS, VALUE = "?this", "?value"
 
@@ -24,7 +25,7 @@ def is_variable(term: str) -> bool:
     return term.startswith("?")
 
 
-def evaluate(pattern: list[Template], view: DataFrame) -> DataFrame:
+def evaluate(pattern: list[Template], view: View | DataFrame) -> DataFrame:
     """The distinct pairs (this, value) for which every template holds in a triples view (s, p, o).
 
     Templates without predicate are left out. Each next template shares a variable with those before it where one
@@ -40,10 +41,10 @@ def evaluate(pattern: list[Template], view: DataFrame) -> DataFrame:
                 raise ValueError("the templates are not connected")
             todo = left[0]
         left.remove(todo)
-        step = view.filter(F.col("p") == todo.predicate)
+        step = edges_of(view, todo.predicate, objects=() if is_variable(todo.object) else (todo.object,))
         names = [(c, term) for c, term in (("s", todo.subject), ("o", todo.object))]
         for c, term in names:
-            if not is_variable(term):
+            if not is_variable(term) and c == "s":
                 step = step.filter(F.col(c) == term)
         if todo.subject == todo.object and is_variable(todo.subject):
             step = step.filter("s = o")

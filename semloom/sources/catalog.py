@@ -21,6 +21,11 @@ def by_id(table: DataFrame, id_: str) -> DataFrame:
     return found
 
 
+def value_of(table: DataFrame, key: str) -> DataFrame:
+    """One row (value) of a table (key, value): null where the key isn't bound."""
+    return table.filter(F.col("key") == key).agg(F.first("value").alias("value"))
+
+
 def listed(table: DataFrame, *order: str) -> DataFrame:
     """In binary order, upper case before lower case; ids break ties."""
     return table.orderBy(*order, "id")
@@ -37,9 +42,9 @@ def nested(parents: DataFrame, kids: DataFrame, key: str, parent: str, fields: l
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """For each key the row that is last by order; of changes and table at one place, the change."""
+    """For each key its last change by order, else its row of the table: a change counts, however old the order says it is."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc(), F.col("_new").desc()))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_new").desc(), F.col(order).desc()))
     return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_new")
 
 

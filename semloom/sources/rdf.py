@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semloom.plans.abox import View, edges_of
+
 _TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)'
 _LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+<([^>]*)>\s+{_TERM}\s*\.\s*(?:#.*)?$"
 
 
+#: What a letter stands for after a backslash; any other sign stands for itself.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
+
+
+def unescaped(text: Column) -> Column:
+    """A literal's text with its escapes decoded, in one pass from left to right."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), 0)
+
+    def plain(t: Column) -> Column:
+        letter = F.substring(t, 2, 1)
+        code = F.when(t.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), F.decode(F.unhex(F.lpad(F.substring(t, 3, 8), 8, "0")), "UTF-32"))
+        known = F.coalesce(*(F.when(letter == k, F.lit(v)) for k, v in _ESCAPES.items()), letter)
+        return F.when(~t.startswith("\\"), t).otherwise(F.coalesce(code, known))
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(tokens, plain), "")).otherwise(text)
+
+
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     """Triples (ord, s, s_kind, p, o, o_kind, o_lang, o_dtype) of lines (ord, value) of N-Triples, in expressions only.
 
     Blank lines and comments give none; a line that is no triple is dropped, so a broken document is read as far as it
-    holds. Escapes of literals are decoded but for \\u ones.
+    holds. All escapes of literals are decoded.
     """
     part = lambda k: F.regexp_extract("value", _LINE, k)
     s, o = part(1), part(3)
     kind = lambda t: F.when(t.startswith("<"), "iri").when(t.startswith("_:"), "blank").otherwise("literal")
     bare = lambda t: F.when(t.startswith("<"), F.regexp_replace(t, "^<|>$", "")).when(t.startswith("_:"), t)
-    text = F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for code, char in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(code), F.lit(char))
+    text = unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
     null = lambda c: F.nullif(c, F.lit(""))
     return lines.filter(F.col("value").rlike(_LINE)).select(
         "ord", bare(s).alias("s"), kind(s).alias("s_kind"), part(2).alias("p"), F.coalesce(bare(o), text).alias("o"), kind(o).alias("o_kind"),
@@ -35,9 +52,10 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(lines)
 
 
-def star(triples: DataFrame, required: str, optional: dict[str, str]) -> DataFrame:
-    """A basic graph pattern on one subject: a row for each subject with the required predicate, and the values of the
-    optional ones where there are any. One shuffle, however many optional predicates."""
-    wanted = triples.filter(F.col("p").isin(required, *optional.values()))
-    columns = [F.min(F.when(F.col("p") == p, F.col("o"))).alias(name) for name, p in optional.items()]
-    return wanted.groupBy("s").agg(F.bool_or(F.col("p") == required).alias("_has"), *columns).filter("_has").drop("_has")
+def star(triples: View | DataFrame, required: str, optional: dict[str, str]) -> DataFrame:
+    """A basic graph pattern on one subject: the subjects with the required predicate, and a row for each combination of
+    the values of the optional ones; null where there is none. All joins share the subject's partitioning."""
+    out = edges_of(triples, required).select("s").distinct()
+    for name, p in optional.items():
+        out = out.join(edges_of(triples, p).select("s", F.col("o").alias(name)).distinct(), "s", "left")
+    return out

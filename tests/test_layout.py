@@ -1,4 +1,5 @@
 import ast
+import os
 import pathlib
 import subprocess
 import sys
@@ -20,5 +21,10 @@ def test_the_rest_stands_alone(tmp_path):
 
     shutil.copytree(ROOT / "semloom", tmp_path / "semloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "assert all(q[n](s, '/root/testdata/sf0.001').count() for n in ('list_sorted', 'pattern_role_bearer', 'shacl_report')); s.stop()"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})

@@ -30,9 +30,9 @@ def test_evaluation(spark):
 
 def test_only_needed_columns_are_read(spark):
     from semloom.catalogue import PATTERNS
-    from semloom.plans.abox import triples
+    from semloom.plans.abox import View
 
-    plan = evaluate(PATTERNS["role_bearer"], triples(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = evaluate(PATTERNS["role_bearer"], View(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 3 and "Union" not in plan
 
 
