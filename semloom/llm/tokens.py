@@ -10,11 +10,11 @@ what follows such a boundary is the same in both. Where two neighbours share non
 from __future__ import annotations
 
 import os
+import struct
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -103,7 +103,8 @@ class _Units(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = np.array(self.tokenizer.encode_batch_fast([unit], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        found = self[unit] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
