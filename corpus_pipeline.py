@@ -60,7 +60,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The first stages are fitted models: no SQL gives their rows. tests/llm compares the stages with brute force instead.
+#: The first stages are fitted models: no SQL gives their rows. tests/llm compares token counts with the library
+#: and the operators' own tests compare duplicates and contamination with brute force.
 ORACLE_SQL = None
 
 
