@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.functions import export, iri
+from semloom.functions import explain, export, iri
 from semloom.model import OWL, RDFS, TYPE, XSD
-from semloom.operators import concepts, consistency, reasoning, shapes
+from semloom.operators import concepts, consistency, reasoning, shapes, views
 from semloom.plans import pattern
 from semloom.plans.abox import View, edges_of, individual, triples
 from semloom.sources import catalog, rdf
@@ -478,6 +478,267 @@ def shacl_report(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
+# -- views of model rows ---------------------------------------------------------------------------------------------
+
+
+def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Models by region: nations as classes, every second one below the first of its kind; customers as properties with a
+    text, a class or nothing as range, and a pattern for every second one."""
+    n, at = _read(spark, d, "nation"), F.col("n_nationkey")
+    up = F.when(at >= 5, F.concat(F.lit("c"), at - 5))
+    classes = n.select(
+        F.concat(F.lit("m"), "n_regionkey").alias("schema_id"), at.cast("int").alias("ord"), F.concat(F.lit("c"), at).alias("id"), F.concat(F.lit("http://x.org/c"), at).alias("url"), F.col("n_name").alias("name"),
+        F.when(at % 2 == 0, F.concat(F.lit("The \""), "n_name", F.lit('"'))).alias("label"), F.lit("").alias("description"), F.when(at % 3 == 0, "http://up.org/Place").alias("maps_to_concept_iri"), up.alias("super_class_id"),
+    )
+    c = _read(spark, d, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+    k = F.col("c_custkey")
+    range_ = F.when(k % 3 == 0, XSD + "string").when(k % 3 == 1, F.concat(F.lit("http://x.org/c"), k % 30))
+    triple = lambda i, s, p, o: F.struct(F.lit(i).alias("ord"), F.lit(s).alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+    through = F.concat(F.lit("http://x.org/c"), k % 7 * 2)
+    steps = F.array(triple(0, "?this", "http://up.org/has", F.lit("?o1")), triple(1, "?o1", TYPE, through), triple(2, "?o1", "http://up.org/of", F.lit("?value")))
+    properties = c.select(
+        F.concat(F.lit("m"), "n_regionkey").alias("schema_id"), k.cast("int").alias("ord"), F.concat(F.lit("p"), k).alias("id"), F.concat(F.lit("has"), k % 4).alias("name"), F.concat(F.lit("c"), "c_nationkey").alias("domain_class_id"),
+        range_.alias("range_class_iri"), F.when(k % 2 == 0, steps).alias("pattern"),
+    )
+    return classes, properties
+
+
+_MODEL = """WITH cls AS (SELECT 'm' || n_regionkey AS schema_id, n_nationkey AS k, 'c' || n_nationkey AS id, 'http://x.org/c' || n_nationkey AS url, n_name AS name,
+    CASE WHEN n_nationkey % 2 = 0 THEN 'The "' || n_name || '"' END AS label, CASE WHEN n_nationkey >= 5 THEN 'c' || (n_nationkey - 5) END AS up FROM nation),
+  prop AS (SELECT 'm' || n_regionkey AS schema_id, c_custkey AS k, 'has' || c_custkey % 4 AS name, 'c' || c_nationkey AS domain,
+    CASE c_custkey % 3 WHEN 0 THEN 'xsd' WHEN 1 THEN 'http://x.org/c' || c_custkey % 30 END AS range FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+@query(
+    "class_view",
+    f"{_MODEL} SELECT 'c' || k AS id, 'http://api/' || id AS url, name, label, '' AS description, CASE WHEN k % 3 = 0 THEN 'http://up.org/Place' END AS \"mapsToConceptIri\", up AS \"superClassId\" FROM cls",
+)
+def class_view(spark: SparkSession, d: str) -> DataFrame:
+    return views.class_view(_model(spark, d)[0], "http://api/")
+
+
+@query(
+    "property_view",
+    """SELECT p_partkey AS id, p_partkey % 5 = 1 AS required, CASE WHEN p_partkey % 2 = 0 THEN 'functional,symmetric' ELSE '' END AS features, CASE WHEN p_partkey % 3 = 0 THEN '?this' ELSE '' END AS subjects FROM part""",
+)
+def property_view(spark: SparkSession, d: str) -> DataFrame:
+    """JSON texts that are right, broken and null."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    rows = _read(spark, d, "part").select(
+        k.alias("id"), F.col("p_name").alias("name"), none.alias("label"), F.lit("object").alias("property_type"), none.alias("domain_class_id"), none.alias("range_class_iri"),
+        F.when(k % 3 == 0, '[{"subject":"?this","predicate":"p","object":"?value"}]').when(k % 3 == 1, "[{").alias("mapping_pattern"),
+        F.when(k % 5 > 1, 0).when(k % 5 == 1, 1).alias("is_required"), F.when(k % 2 == 0, '["functional","symmetric"]').alias("property_features"), none.alias("disjoint_property_iris"),
+    )
+    out = views.property_view(rows, "http://api/")
+    return out.select("id", F.col("isRequired").alias("required"), F.array_join("propertyFeatures", ",").alias("features"), F.array_join("mappingPattern.subject", ",").alias("subjects"))
+
+
+@query("property_concepts", f"WITH c AS ({_CONCEPTS}) SELECT iri, \"localName\", label FROM c WHERE type = 'property' UNION ALL SELECT '{TYPE}', 'type', 'a (rdf:type)'")
+def property_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return views.property_concepts(concepts.concepts(_part_triples(spark, d))).select("iri", "localName", "label")
+
+
+@query(
+    "pattern_preview",
+    f"""{_MODEL} SELECT 'p' || c_custkey AS id, '?this has ?o1 .' || chr(10) || '?o1 a ' || CASE c_custkey % 7 * 2 WHEN 12 THEN 'Twelve' ELSE label END || ' .' || chr(10) || '?o1 of ?value' AS preview
+    FROM customer JOIN cls ON k = c_custkey % 7 * 2 WHERE c_custkey % 2 = 0""",
+)
+def pattern_preview(spark: SparkSession, d: str) -> DataFrame:
+    """One of the classes is known as a concept of the upper ontology only."""
+    classes, properties = _model(spark, d)
+    upper = spark.createDataFrame([("http://x.org/c12", "c12", "class", "Twelve"), ("http://x.org/c2", "c2", "class", "hidden by the class")], "iri string, localName string, type string, label string")
+    return views.previews(properties, classes.filter("id <> 'c12'"), upper)
+
+
+@query("intermediate_classes", f"{_MODEL} SELECT id, id IN (SELECT 'c' || c_custkey % 7 * 2 FROM customer WHERE c_custkey % 2 = 0) AS intermediate FROM cls")
+def intermediate_classes(spark: SparkSession, d: str) -> DataFrame:
+    return views.intermediate(*_model(spark, d)).select("id", "intermediate")
+
+
+@query(
+    "property_cards",
+    f"""{_MODEL} SELECT p.name, domain AS domain_class_id, string_agg(CASE WHEN range = 'xsd' THEN 'xsd:string' ELSE coalesce(c.name, replace(range, 'http://x.org/', '')) END, ' | ' ORDER BY p.k) AS ranges
+    FROM prop p LEFT JOIN cls c ON c.url = range GROUP BY p.name, domain""",
+)
+def property_cards(spark: SparkSession, d: str) -> DataFrame:
+    classes, properties = _model(spark, d)
+    return views.property_cards(properties, classes)
+
+
+@query("property_names", f"{_MODEL} SELECT DISTINCT name FROM prop")
+def property_names(spark: SparkSession, d: str) -> DataFrame:
+    return views.property_names(_model(spark, d)[1])
+
+
+@query("unchosen_names", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'a,b' WHEN n_nationkey % 3 = 1 THEN 'b' ELSE '' END AS free FROM nation")
+def unchosen_names(spark: SparkSession, d: str) -> DataFrame:
+    k, text = F.col("n_nationkey"), lambda *x: F.array(*map(F.lit, x))
+    chosen = F.when(k % 3 == 1, text("a", "z")).when(k % 3 == 2, text("b", "a"))
+    return _read(spark, d, "nation").select("n_nationkey", F.array_join(views.unchosen(text("a", "b"), chosen), ",").alias("free"))
+
+
+@query("check_due", "SELECT event_id, event_id % 10 < 2 OR date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(event_id % 48 AS INTEGER))) <= 23 AS due FROM events")
+def check_due(spark: SparkSession, d: str) -> DataFrame:
+    """Times on either side of a day ago, a text that is no time, and null."""
+    k = F.col("event_id")
+    then = F.date_format(F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=(k % 48).cast("int")), "yyyy-MM-dd HH:mm:ss")
+    last = F.when(k % 10 == 1, "yesterday").when(k % 10 > 1, then)
+    return _read(spark, d, "events").select("event_id", views.is_due(last, F.to_timestamp(F.lit("2024-01-02 23:00:00"))).alias("due"))
+
+
+@query(
+    "characteristics",
+    """SELECT n_nationkey, ':p' || n_nationkey || ' a owl:ObjectProperty' || CASE WHEN n_nationkey % 2 = 0 THEN ', owl:FunctionalProperty' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN ' ; owl:inverseOf <http://x.org/q>' ELSE '' END
+    || ' ; owl:propertyDisjointWith :other .' AS text FROM nation""",
+)
+def characteristics(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    features = F.when(k % 2 == 0, F.array(F.lit("functional"), F.lit("unheard of"))).otherwise(F.array().cast("array<string>"))
+    text = views.characteristics(F.concat(F.lit("p"), k), features, F.when(k % 3 == 0, "http://x.org/q"), F.array(F.lit("other")))
+    return _read(spark, d, "nation").select("n_nationkey", text.alias("text"))
+
+
+@query(
+    "diagram_edges",
+    f"""{_MODEL} SELECT a.schema_id, a.name AS source, b.name AS target, '' AS label, 'inherits' AS kind FROM cls a JOIN cls b ON a.up = b.id AND a.schema_id = b.schema_id
+    UNION ALL SELECT p.schema_id, a.name, b.name, p.name, 'property' FROM prop p JOIN cls a ON p.domain = a.id AND p.schema_id = a.schema_id JOIN cls b ON p.range = b.url AND p.schema_id = b.schema_id""",
+)
+def diagram_edges(spark: SparkSession, d: str) -> DataFrame:
+    return views.diagram_edges(*_model(spark, d))
+
+
+_BLOCK = """SELECT a.schema_id, CAST(a.k AS INTEGER) AS ord, ':c' || a.k || chr(10) || '    a {kind}:Class' || CASE WHEN a.label IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:label "The \\"' || a.name || '\\""' ELSE '' END
+  || CASE WHEN b.id IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:subClassOf :' || b.id ELSE '' END || {more} || ' .' AS value FROM cls a LEFT JOIN cls b ON a.up = b.id AND a.schema_id = b.schema_id"""
+
+
+@query("class_blocks_rdfs", f"{_MODEL} " + _BLOCK.format(kind="rdfs", more="''"))
+def class_blocks_rdfs(spark: SparkSession, d: str) -> DataFrame:
+    return views.class_blocks(_model(spark, d)[0], {"": "http://x.org/"}, owl=False)
+
+
+@query("class_blocks_owl", f"{_MODEL} " + _BLOCK.format(kind="owl", more="CASE WHEN a.k % 3 = 0 THEN ' ;' || chr(10) || '    rdfs:subClassOf up:Place' ELSE '' END"))
+def class_blocks_owl(spark: SparkSession, d: str) -> DataFrame:
+    return views.class_blocks(_model(spark, d)[0], {"": "http://x.org/", "up": "http://up.org/"}, owl=True)
+
+
+@query(
+    "shape_counts",
+    f"""{_MODEL}, s AS (SELECT p.schema_id, p.domain, p.name, count(DISTINCT b.url) AS n FROM prop p LEFT JOIN cls b ON p.range = b.url AND p.schema_id = b.schema_id GROUP BY 1, 2, 3)
+    SELECT c.schema_id, node_shapes, coalesce(property_shapes, 0) AS property_shapes, coalesce(unions, 0) AS unions FROM (SELECT schema_id, count(*) AS node_shapes FROM cls GROUP BY 1) c
+    LEFT JOIN (SELECT schema_id, count(*) AS property_shapes, count(*) FILTER (WHERE n > 1) AS unions FROM s GROUP BY 1) x ON c.schema_id = x.schema_id""",
+)
+def shape_counts(spark: SparkSession, d: str) -> DataFrame:
+    return views.shape_counts(*_model(spark, d))
+
+
+# -- explanations ----------------------------------------------------------------------------------------------------
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with two explanations, with one of the empty class, with none, and null."""
+    k = F.col("p_partkey")
+    two = F.concat(
+        F.lit("preface\n## [Part "), k, F.lit("](http://x.org/"), k, F.lit(") SubClassOf [Nothing](n) ##\n\n  - [a](http://x.org/a) Type [Part](http://x.org/P)\n  - [b](http://x.org/b) Type [Part](http://x.org/P)\n"),
+        F.lit("  - [a](http://x.org/a) Type [Brand](http://x.org/B)\n\n## [Brand](http://x.org/B) ##\nby [size](http://x.org/s)\n# Axiom Impact\n## [After](http://x.org/end) ##\nno\n"),
+    )
+    text = F.when(k % 4 == 0, two).when(k % 4 == 1, f"## [owl:Nothing]({OWL}Nothing) ##\n[x](http://x.org/x) SubClassOf [y](http://x.org/y)").when(k % 4 == 2, "No explanations found.")
+    return _read(spark, d, "part").select(k.alias("report"), text.alias("md"))
+
+
+_WHY = "'- a Type Part' || chr(10) || '  - b Type Part' || chr(10) || '  - a Type Brand'"
+_UNSAT = f"""SELECT p_partkey AS report, CAST(0 AS INTEGER) AS ord, 'http://x.org/' || p_partkey AS iri, 'Part ' || p_partkey AS label, {_WHY} AS explanation FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, 1, 'http://x.org/B', 'Brand', 'by size' FROM part WHERE p_partkey % 4 = 0"""
+
+
+@query("explained_unsatisfiable", _UNSAT)
+def explained_unsatisfiable(spark: SparkSession, d: str) -> DataFrame:
+    return explain.unsatisfiable(_reports(spark, d))
+
+
+_INCON = f"""SELECT p_partkey AS report, CASE WHEN p_partkey % 4 = 0 THEN 'a, b' ELSE '' END AS involved, CASE WHEN p_partkey % 4 = 0 THEN {_WHY} ELSE 'x SubClassOf y' END AS explanation FROM part WHERE p_partkey % 4 < 2"""
+
+
+@query("explained_inconsistent", _INCON)
+def explained_inconsistent(spark: SparkSession, d: str) -> DataFrame:
+    return explain.inconsistent(_reports(spark, d))
+
+
+@query(
+    "inconsistency_first",
+    f"""SELECT report, 'inconsistent' AS kind, CAST(NULL AS VARCHAR) AS iri, CAST(NULL AS VARCHAR) AS label, explanation FROM ({_INCON}) WHERE report % 3 = 0
+    UNION ALL SELECT report, 'unsatisfiable', iri, label, explanation FROM ({_UNSAT}) WHERE report % 3 <> 0""",
+)
+def inconsistency_first(spark: SparkSession, d: str) -> DataFrame:
+    reports = _reports(spark, d)
+    return explain.verdicts(reports.filter("report % 3 = 0"), reports)
+
+
+# -- further rules and changes ---------------------------------------------------------------------------------------
+
+
+@query("reflexive_materialize", "SELECT 'nation/' || n_nationkey AS s, 'near' AS p, 'nation/' || n_nationkey AS o FROM nation")
+def reflexive_materialize(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.reflexive(reasoning.types_of(View(spark, d), "nation"), "near")
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in none, one or both of two classes."""
+    part, s = _read(spark, d, "part"), individual("part", "p_partkey").alias("s")
+    return part.filter("p_partkey % 2 = 0").select(s, F.lit("Even").alias("c")).unionByName(part.filter("p_size > 25").select(s, F.lit("Big").alias("c")))
+
+
+@query("intersection_membership", "SELECT 'part/' || p_partkey AS s, 'BigEven' AS c FROM part WHERE p_partkey % 2 = 0 AND p_size > 25")
+def intersection_membership(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.intersections(_kinds(spark, d), reasoning.small(spark, [("BigEven", "Big"), ("BigEven", "Even"), ("Never", "Big"), ("Never", "None")], "whole string, c string"))
+
+
+@query("union_membership", "SELECT 'part/' || p_partkey AS s, 'Either' AS c FROM part WHERE p_partkey % 2 = 0 OR p_size > 25")
+def union_membership(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.unions(_kinds(spark, d), reasoning.small(spark, [("Either", "Big"), ("Either", "Even")], "whole string, c string"))
+
+
+@query(
+    "existential_witness",
+    """SELECT 'customer/' || c_custkey AS s, 'placed' AS p, 'customer/' || c_custkey || '#placed:Order' AS o, 'Order' AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+)
+def existential_witness(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with an order of the class need no witness; those with other orders, or none, do."""
+    view = View(spark, d)
+    ordered = _read(spark, d, "orders").filter("o_orderstatus = 'F'").select(individual("orders", "o_orderkey").alias("s"), F.lit("Order").alias("c"))
+    types = reasoning.types_of(view, "customer").unionByName(ordered)
+    placed = reasoning.invert(view, "o_custkey", "placed")
+    return reasoning.exist(types, placed, reasoning.small(spark, [("customer", "placed", "Order")], "c string, p string, filler string"))
+
+
+@query(
+    "datatype_clash",
+    """SELECT 'part/' || p_partkey AS s, 'size' AS p, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE CAST(-p_size AS VARCHAR) END AS o FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 5 = 1""",
+)
+def datatype_clash(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are no number, and numbers below the least that the range allows."""
+    k = F.col("p_partkey")
+    value = F.when(k % 5 == 0, F.col("p_brand")).when(k % 5 == 1, (-F.col("p_size")).cast("string")).otherwise(F.col("p_size").cast("string"))
+    literals = _read(spark, d, "part").select(individual("part", "p_partkey").alias("s"), F.lit("size").alias("p"), value.alias("o"))
+    return shapes.out_of_range(literals, {"size": shapes.Range(("decimal",), least=0), "other": shapes.Range(("dateTime", "dateTimeStamp"))})
+
+
+@query("kv_get", "SELECT CASE WHEN (SELECT count(*) FROM region WHERE r_name = 'NOWHERE') > 0 THEN '' END AS unbound, (SELECT CAST(r_regionkey AS VARCHAR) FROM region WHERE r_name = 'ASIA') AS bound")
+def kv_get(spark: SparkSession, d: str) -> DataFrame:
+    settings = _read(spark, d, "region").select(F.col("r_name").alias("key"), F.col("r_regionkey").cast("string").alias("value"))
+    get = lambda key, name: catalog.value_of(settings, key).select(F.lit(0).alias("at"), F.col("value").alias(name))
+    return get("NOWHERE", "unbound").join(get("ASIA", "bound"), "at").drop("at")
+
+
+@query("insert_rows", "SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS empty_lists, count(*) FILTER (WHERE p_partkey % 2 = 0) AS lists, true AS stamped FROM part")
+def insert_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("functional"))).otherwise(F.array().cast("array<string>")).alias("features"))
+    table = spark.createDataFrame([], "id string, name string, features array<string>, created_at timestamp, modified_at timestamp")
+    return catalog.insert(table, rows).agg(
+        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.size("features") == 0).alias("empty_lists"), F.count("features").alias("lists"),
+        F.bool_and((F.length("id") == 36) & (F.col("created_at") == F.col("modified_at"))).alias("stamped"),
+    )
+
+
 # -- names and literals ----------------------------------------------------------------------------------------------
 
 

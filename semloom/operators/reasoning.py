@@ -95,6 +95,27 @@ def some_values(triples: DataFrame, types: DataFrame, p: str, filler: str, ancho
     return edges_of(triples, p).join(theirs, "o", "left_semi").select("s", F.lit(anchor).alias("c")).distinct()
 
 
+def intersections(types: DataFrame, parts: DataFrame) -> DataFrame:
+    """Types (s, c) of the individuals that are in every part c of a whole, for parts (whole, c)."""
+    n = parts.distinct().groupBy("whole").agg(F.count("*").alias("parts"))
+    mine = types.select("s", "c").distinct().join(parts.distinct(), "c").groupBy("s", "whole").agg(F.count("*").alias("n"))
+    return mine.join(n, "whole").filter("n = parts").select("s", F.col("whole").alias("c"))
+
+
+def unions(types: DataFrame, parts: DataFrame) -> DataFrame:
+    """Types (s, c) of the individuals that are in any part c of a whole, for parts (whole, c)."""
+    return types.join(parts, "c").select("s", F.col("whole").alias("c")).distinct()
+
+
+def exist(types: DataFrame, triples: DataFrame, axioms: DataFrame) -> DataFrame:
+    """(s, p, o, c): a witness o of class c for each individual of a class that must have a value of p in the class filler,
+    by axioms (c, p, filler), and has none. Both the triple and the type of o follow from a row."""
+    due = types.join(axioms, "c").select("s", "p", "filler").distinct()
+    met = triples.join(types.select(F.col("s").alias("o"), F.col("c").alias("filler")), "o").select("s", "p", "filler")
+    name = F.concat("s", F.lit("#"), "p", F.lit(":"), "filler")
+    return due.join(met, ["s", "p", "filler"], "left_anti").select("s", "p", name.alias("o"), F.col("filler").alias("c"))
+
+
 def disjoint_classes(types: DataFrame, disjoint: DataFrame) -> DataFrame:
     """(s, one, other) for individuals in two classes that are disjoint (one, other)."""
     a, b = types.select("s", F.col("c").alias("one")), types.select("s", F.col("c").alias("other"))

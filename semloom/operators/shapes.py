@@ -38,6 +38,24 @@ def lexical(value: Column, datatype: str) -> Column:
     return value.try_cast(XSD_TYPES[datatype]).isNotNull()
 
 
+@dataclass(frozen=True)
+class Range:
+    """The XSD types of which a value must have one, and the least number that it may be."""
+
+    datatypes: tuple[str, ...]
+    least: float | None = None
+
+    def holds(self, value: Column) -> Column:
+        typed = reduce(lambda a, b: a | b, (lexical(value, t) for t in self.datatypes))
+        return typed if self.least is None else typed & F.coalesce(value.try_cast("decimal(38,18)") >= self.least, F.lit(False))
+
+
+def out_of_range(literals: DataFrame, ranges: dict[str, Range]) -> DataFrame:
+    """The literals (s, p, o) that the range of their property excludes; properties without one exclude nothing."""
+    wrong = [(F.col("p") == p) & ~F.coalesce(r.holds(F.col("o")), F.lit(False)) for p, r in ranges.items()]
+    return literals.filter(reduce(lambda a, b: a | b, wrong, F.lit(False))).select("s", "p", "o")
+
+
 def violations(triples: View | DataFrame, types: DataFrame, shape: Shape, closure: DataFrame | None = None) -> DataFrame:
     """The target's individuals, and those of its subclasses by a closure (sub, sup) if one is given, are the focus; a
     value belongs to a class in the same way. A path's values are met with the focus once for all its constraints."""

@@ -48,6 +48,14 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFr
     return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_new")
 
 
+def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """table with rows added, each under a new id and stamped with the time; empty lists become null, columns that a row
+    lacks are null. Ids are random: write the result before it is read twice."""
+    lists = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array"]
+    new = rows.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in lists} | {"id": F.expr("uuid()"), "created_at": F.current_timestamp(), "modified_at": F.current_timestamp()})
+    return table.unionByName(new, allowMissingColumns=True)
+
+
 def patch(table: DataFrame, id_: str, values: dict[str, object], clearable: bool = True) -> DataFrame:
     """The row's given fields changed; an empty string clears a field where that is allowed. An unknown id changes nothing."""
     out = table
