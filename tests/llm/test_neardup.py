@@ -45,6 +45,23 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_large_groups_in_small_blocks(spark, monkeypatch):
+    """Chains of near copies, which share keys with many and links with their neighbours only, compared block by block."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng, rows = random.Random(5), []
+    for g in range(3):
+        text = [f"g{g}w{k}" for k in range(150)]
+        for _ in range(40):
+            rows.append((rng.randrange(1 << 40), " ".join(text)))
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                text[rng.randrange(150)] = f"g{g}n{rng.randrange(1000)}"
+    rng.shuffle(rows)
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert len({r[2] for r in want}) < len(rows) / 2
+    assert got == want
+
+
 def test_edges_of_the_input(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_shingles string, component_id int")
     assert near_duplicates(empty).count() == 0

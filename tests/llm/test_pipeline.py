@@ -1,5 +1,10 @@
+import re
+
 import corpus_pipeline
 from semloom.llm import tokens
+from tests.llm import test_decontaminate, test_neardup
+
+PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def test_stages_on_the_smallest_tables(spark):
@@ -26,6 +31,36 @@ def test_stages_on_the_smallest_tables(spark):
     assert have == want
 
 
+def test_duplicates_and_contamination_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    for k, row in enumerate(rows[:30]):  # copies with one word changed, and texts with a passage of an item inside them
+        words = row["text"].split(" ")
+        rows.append(row | {"doc_id": 10_000 + k, "text": " ".join([*words[: len(words) // 2], f"changed{k}", *words[len(words) // 2 + 1 :]])})
+        loud = re.sub("[a-z]", lambda x: x[0].upper(), items[k % len(items)][1])
+        rows.append(row | {"doc_id": 20_000 + k, "text": f"own{k} {row['text']} {loud} end{k}"})
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, d).select("doc_id").collect()}
+    want = {i for i, _, _, stays in test_neardup.brute([(r["doc_id"], r["text"]) for r in rows]) if stays}
+    assert kept == want and len(want) < len(rows) - 20
+
+    windows = {}
+    for _, text in items:
+        w = test_decontaminate.words(text)
+        n = min(10, len(w))
+        windows.setdefault(n, set()).update(tuple(w[s : s + n]) for s in range(len(w) - n + 1) if n)
+    hit = set()
+    for r in rows:
+        w = test_decontaminate.words(r["text"])
+        if any(tuple(w[s : s + n]) in found for n, found in windows.items() if n for s in range(len(w) - n + 1)):
+            hit.add(r["doc_id"])
+    kept = {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, d).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in rows} - hit and len(hit) >= 30
+
+
 def test_edges(spark):
     d = "/root/testdata/sf0.001"
     schema = "doc_id long, text string, lang string, source string, n_chars long, quality string, language string"
@@ -33,3 +68,7 @@ def test_edges(spark):
     for docs in (some, some.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.materialise(stage(spark, docs, d), "edge")
+            if name == "minhash_near_dedup":  # one row an id stays, and rows without an id do
+                ids = [r.doc_id for r in docs.select("doc_id").collect()]
+                assert len(ids) == len(set(ids))
+        assert docs.columns[: len(PIECES)] == PIECES
