@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semloom.functions import iri
-from semloom.model import RDF, TEMPLATE, TYPE, XSD
+from semloom.model import TEMPLATE, TYPE, XSD
 from semloom.sources.catalog import json_array
 
 #: The property that types a node, offered beside those of an upper ontology.
@@ -132,7 +132,3 @@ def shape_counts(classes: DataFrame, properties: DataFrame) -> DataFrame:
     per = shapes.groupBy("schema_id").agg(F.count("*").alias("property_shapes"), F.count_if(F.col("n") > 1).alias("unions"))
     nodes = classes.groupBy("schema_id").agg(F.count("*").alias("node_shapes"))
     return nodes.join(per, "schema_id", "left").na.fill(0, ["property_shapes", "unions"])
-
-
-#: Prefixes that every export declares.
-COMMON = {"rdf": RDF, "xsd": XSD}
