@@ -231,7 +231,7 @@ def links(docs: DataFrame, sigs: DataFrame, rows: int = ROWS, halves: int = HALV
     members = materialise(keys.join(materialise(buckets, "buckets"), "key"), "members")
     drop_scratch(keys)
     met = members.select("id").distinct()
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(met.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(met.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").distinct()), "sets")
 
     first = materialise(members.filter("id <> lo").groupBy(F.col("id").alias("dst")).agg(F.min("lo").alias("src")).select("src", "dst"), "first")
     edges = materialise(verified(first, classes, sets, 2 * halves * KEY, percent), "edges")
@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, rows: int = ROWS, halves: int = HALVES, per
     Documents are linked whose sets have 100 * intersection >= percent * union. component_id is the smallest doc_id
     reachable by links, kept is doc_id = component_id. Null and blank texts have no set and are linked with nothing.
     Equal sets are one class from the start, so copies are never compared with each other. Repeated rows come back
-    repeated; rows that share a doc_id count as one document when links are followed. A null doc_id is linked with
-    nothing and has a null component. Other columns are not read.
+    repeated; rows that share a doc_id count as one document when links are followed, linked by any of its texts. A null
+    doc_id is linked with nothing and has a null component. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = materialise(signatures(docs, rows, halves), "signatures")

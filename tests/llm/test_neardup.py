@@ -70,6 +70,16 @@ def test_edges_of_the_input(spark):
     assert sorted(got, key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (None, 1, None, None), (None, 0, None, None)], key=str)
 
 
+def test_texts_that_share_an_id(spark):
+    """Links are found by any of an id's texts, whichever row comes first."""
+    one, other = ([f"{k}{i}" for i in range(80)] for k in "ab")
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = [(1, " ".join(one)), (1, " ".join(other)), (2, near(one)), (3, near(other)), (4, "x y z")]
+    for some in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_every_pair_that_shares_a_table_is_compared(spark):
     rng, make, rows, want = np.random.default_rng(8), neardup.MinHashes(), [], set()
     for _ in range(4000):  # pairs of similarity 0.75 to 0.8; those stay in which different minhashes look alike by a byte

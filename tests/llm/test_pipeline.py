@@ -72,3 +72,9 @@ def test_edges(spark):
                 ids = [r.doc_id for r in docs.select("doc_id").collect()]
                 assert len(ids) == len(set(ids))
         assert docs.columns[: len(PIECES)] == PIECES
+
+
+def test_different_texts_of_an_id_stay(spark):
+    rows = [(1, "one text of this id"), (1, "one text of this id"), (1, "and another that nobody else has"), (2, "one text of this id")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, out.collect())) == sorted(set(rows[:3]))
