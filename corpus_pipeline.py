@@ -33,10 +33,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id stays; of its repeated rows, one."""
+    """Of documents that links connect, the one with the smallest doc_id stays; of its rows with equal texts, one."""
     found = neardup.near_duplicates(docs)
     gone = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id IS NOT NULL").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
