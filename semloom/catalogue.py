@@ -419,6 +419,24 @@ def unsat_classes(spark: SparkSession, d: str) -> DataFrame:
     return consistency.unsatisfiable(spark, anchors, _CLASSES).select("anchor")
 
 
+@query("data_clashes", "SELECT 'orders/' || o_orderkey AS s FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 7 = 0")
+def data_clashes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as processes: a role of a customer is no contradiction; a dose as a part is one, and an amount that must be
+    of two types."""
+    one = lambda p: [T("?this", p, "?value")]
+    mapped = [
+        consistency.Mapped("buyer", pattern.forward(_ROLE, "Customer", "Order"), pattern.backward(_ROLE, "Order", "Customer")),
+        consistency.Mapped("dose", pattern.forward(one("hasPart"), "Quantity", "Order"), pattern.backward(one("hasPart"), "Order", "Quantity")),
+        consistency.Mapped("amount", pattern.Named("Order"), datatype="float"), consistency.Mapped("amount", pattern.Named("Order"), datatype="decimal"),
+    ]
+    orders = _read(spark, d, "orders").withColumn("s", individual("orders", "o_orderkey"))
+    dose = F.col("o_orderstatus") == "P"
+    linked = orders.select("s", F.when(dose, "dose").otherwise("buyer").alias("p"), F.when(dose, F.concat(F.lit("dose/"), F.col("o_orderkey"))).otherwise(individual("customer", "o_custkey")).alias("o"))
+    amounts = orders.filter("o_orderkey % 7 = 0").select("s", F.lit("amount").alias("p"), F.col("o_totalprice").cast("string").alias("o"))
+    found = consistency.data_clashes(spark, orders.select("s", F.lit("Order").alias("c")), linked.unionByName(amounts), _CLASSES, mapped)
+    return found.filter(F.startswith("s", F.lit("orders/"))).select("s").distinct()
+
+
 # -- shapes ----------------------------------------------------------------------------------------------------------
 
 P = shapes.Property

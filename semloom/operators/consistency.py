@@ -8,6 +8,8 @@ is sound, and incomplete where a proof needs case distinctions or successors tha
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,59 @@ def unsatisfiable(spark: SparkSession, anchors: dict[str, Named | Some | All], c
     return clashes(*saturated(t, e, o), o).groupBy("anchor").agg(F.count("*").alias("clashes"))
 
 
-def consistent(spark: SparkSession, types: DataFrame, edges: DataFrame, classes: list[tuple[str, str]] = ()) -> bool:
+@dataclass(frozen=True)
+class Mapped:
+    """A model's property: what its subjects must be, and its values; of literal values, the XSD type. A property that is
+    mapped several times must meet all of them, as an ontology reads several domains and ranges."""
+
+    name: str
+    domain: Named | Some | All
+    range: Named | Some | All | None = None
+    datatype: str | None = None
+
+
+#: XSD types whose values are decimals too. Other types share no value with another.
+DECIMALS = ("decimal", "integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger")
+
+
+def unfolded(spark: SparkSession, edges: DataFrame, mapped: list[Mapped]) -> tuple[DataFrame, DataFrame]:
+    """Types (s, c) and edges (s, p, o) that follow from data edges (s, p, o) of mapped properties: the tree of a
+    property's domain grows at the subject, that of its range at the value, with individuals of their own below.
+
+    Those are called like the one they grow at, a space and their place. What is added grows with the edges and with
+    the size of the model's patterns, never with pairs of rows.
+    """
+    sides = [(m.name, "s", f"{k}s", m.domain) for k, m in enumerate(mapped)] + [(m.name, "o", f"{k}o", m.range) for k, m in enumerate(mapped) if m.range]
+    types, links = witnesses({anchor: expression for _, _, anchor, expression in sides})
+    uses = small(spark, [x[:3] for x in sides], "p string, side string, anchor string")
+    members = edges.join(uses, "p").select(F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("root"), "anchor").distinct()
+    place = lambda at: F.when(F.col(at) == F.concat("anchor", F.lit(":0")), F.col("root")).otherwise(F.concat("root", F.lit(" "), at))
+    t = members.join(small(spark, types, "anchor string, at string, c string"), "anchor").select(place("at").alias("s"), "c")
+    e = members.join(small(spark, links, "anchor string, at string, p string, to string"), "anchor").select(place("at").alias("s"), "p", place("to").alias("o"))
+    return t, e
+
+
+def datatype_clashes(spark: SparkSession, edges: DataFrame, mapped: list[Mapped]) -> DataFrame:
+    """(s, one, other) for individuals with a value of a property whose mappings ask for types that share no value."""
+    asked: dict[str, set[str]] = {}
+    for m in mapped:
+        if m.datatype:
+            asked.setdefault(m.name, set()).add("decimal" if m.datatype in DECIMALS else m.datatype)
+    bad = small(spark, [(p, min(x), max(x)) for p, x in sorted(asked.items()) if len(x) > 1], "p string, one string, other string")
+    return edges.join(bad, "p").select("s", "one", "other").distinct()
+
+
+def data_clashes(spark: SparkSession, types: DataFrame, edges: DataFrame, classes: list[tuple[str, str]] = (), mapped: list[Mapped] = ()) -> DataFrame:
+    """(s, one, other) for what contradicts itself in instance data (s, c) and (s, p, o), with what a model's classes and
+    mapped properties say of it. An individual that a pattern only implies is reported as the one that it was grown at."""
+    o, mapped = Ontology(spark, list(classes)), list(mapped)
+    more, links = unfolded(spark, edges, mapped)
+    all_types, all_edges = types.select("s", "c").unionByName(more), edges.select("s", "p", "o").unionByName(links)
+    whole = saturated(all_types.select(F.lit("data").alias("anchor"), "s", "c"), all_edges.select(F.lit("data").alias("anchor"), "s", "p", "o"), o)
+    found = clashes(*whole, o).select(F.substring_index("s", " ", 1).alias("s"), "one", "other")
+    return found.unionByName(datatype_clashes(spark, edges, mapped)).distinct()
+
+
+def consistent(spark: SparkSession, types: DataFrame, edges: DataFrame, classes: list[tuple[str, str]] = (), mapped: list[Mapped] = ()) -> bool:
     """Whether instance data (s, c) and (s, p, o) meet no clash."""
-    o = Ontology(spark, list(classes))
-    whole = saturated(types.select(F.lit("data").alias("anchor"), "s", "c"), edges.select(F.lit("data").alias("anchor"), "s", "p", "o"), o)
-    return clashes(*whole, o).isEmpty()
+    return data_clashes(spark, types, edges, classes, mapped).isEmpty()
