@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.llm import decontaminate, embeddings, language, licenses, neardup, packing, quality, tokens, urls, warc
+from semloom.llm import audit, decontaminate, embeddings, infill, language, licenses, neardup, packing, quality, scoring, tokens, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
         "op10_warc": warc.op10_warc,
+        "op11_filter_audit": audit.op11_filter_audit,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_lm_scoring": scoring.op13_lm_scoring,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filters": urls.ORACLE_SQL,
         "op8_minhash_near_dedup": neardup.ORACLE_SQL,
         "op10_warc": warc.ORACLE_SQL,
+        "op11_filter_audit": audit.ORACLE_SQL,
+        "op12_fill_in_middle": infill.ORACLE_SQL,
+        "op13_lm_scoring": scoring.ORACLE_SQL,
     }
