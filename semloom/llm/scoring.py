@@ -31,7 +31,7 @@ from semloom.llm.common import materialise, mixed, space_words
 #: Words of an n-gram, and K by the length of an n-gram, from two on.
 ORDER, STRENGTH = 3, (30.0, 10.0)
 #: A chunk ends with the document that brings it to so many tokens or bytes of text.
-CHUNK_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 26
+CHUNK_TOKENS, CHUNK_BYTES = 1 << 20, 1 << 26
 #: About so many tokens' n-grams are added up in one group.
 BUCKET_TOKENS = 1 << 20
 #: Texts are traversed in stretches of so many tokens, side by side.
@@ -103,6 +103,17 @@ def _encoder(schema: pa.Schema, most_tokens: int, most_bytes: int):
     return encode
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in ascending order, where each stands, and for each place which of them is there."""
+    order = np.argsort(x, kind="stable").astype(np.int32)
+    x = x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    back = np.empty(len(x), dtype=np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], order[new], back
+
+
 @dataclass
 class Level:
     """The distinct n-grams of one length in a chunk: the n-gram without its last token, and without its first, each as a
@@ -129,25 +140,27 @@ class Texts:
         inside = np.ones(total, dtype=bool)
         inside[self.starts] = False
         inside[self.starts + sizes + 1] = False
-        self.tokens = np.zeros(total, dtype=np.int64)
+        self.tokens = np.zeros(total, dtype=np.int32)
         self.tokens[inside] = _unpacked(tokens, np.uint32)
         self.tokens[self.starts] = _START
         self.tokens[self.starts + sizes + 1] = _END
         train = np.repeat(~held, sizes + 2)
-        place = np.arange(total) - np.repeat(self.starts, sizes + 2)
-        none = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int32)
         key = (mixed(self.hashes) & ~_LEVEL_BITS) | np.uint64(1)
         trained = np.bincount(self.tokens[train], minlength=self.width)
-        self.levels = [Level(none, none, np.arange(self.width), key, self.tokens, trained)]
+        self.levels = [Level(none, none, np.arange(self.width, dtype=np.int32), key, self.tokens, trained.astype(np.uint32))]
         for k in range(2, order + 1):
             below = self.levels[-1]
-            spots = np.flatnonzero(place >= k - 1)
-            pairs, first, back = np.unique(below.at[spots - 1] * self.width + self.tokens[spots], return_index=True, return_inverse=True)
-            at = np.full(total, -1, dtype=np.int64)
+            whole = below.at[:-1] >= 0  # an n-gram of this length ends at the next place of the same text
+            whole &= self.tokens[1:] != _START
+            spots = np.flatnonzero(whole).astype(np.int32) + 1
+            pairs = below.at[spots - 1].astype(np.int64) * self.width + self.tokens[spots]
+            pairs, first, back = _distinct(pairs)
+            at = np.full(total, -1, dtype=np.int32)
             at[spots] = back
-            prefix, word = pairs // self.width, pairs % self.width
+            prefix, word = (pairs // self.width).astype(np.int32), (pairs % self.width).astype(np.int32)
             key = mixed(below.key[prefix] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
-            trained = np.bincount(back[train[spots]], minlength=len(pairs))
+            trained = np.bincount(back[train[spots]], minlength=len(pairs)).astype(np.uint32)
             self.levels.append(Level(prefix, below.at[spots[first]], word, (key & ~_LEVEL_BITS) | np.uint64(k), at, trained))
 
     def sorted_keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +182,7 @@ def _asker(order: int, buckets: int):
             for row in _rows(batch):
                 texts = Texts(row["sizes"], row["held"], row["words"], row["tokens"], order)
                 keys, by_key = texts.sorted_keys()
-                counts = np.concatenate([x.trained for x in texts.levels])[by_key].astype(np.uint32)
+                counts = np.concatenate([x.trained for x in texts.levels])[by_key]
                 cuts = [0, *np.searchsorted(keys, edges), len(keys)]
                 out = [(b, row["chunk"], _packed(_gaps(keys[x:y])), _packed(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
@@ -239,7 +252,7 @@ class Automaton:
             self.state.append(own)
             there = known if k else np.ones(len(n[0]), dtype=bool)
             start = self.state[k - 1][level.prefix[there]] if k else np.zeros(len(n[0]), dtype=np.int64)
-            arcs.append(start * self.width + level.word[there])
+            arcs.append(start.astype(np.int64) * self.width + level.word[there])
             targets.append(own[there])
             logs.append(np.log10(p[k][there]))
         arc = np.concatenate(arcs)
