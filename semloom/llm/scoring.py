@@ -37,7 +37,9 @@ BUCKET_TOKENS = 1 << 20
 #: Texts are traversed in stretches of so many tokens, side by side.
 STRETCH = 256
 _START, _END = 0, 1
-_LEVEL_BITS = np.uint64(3)
+#: A key is a hash but for its last bits, which tell the length; those of n-grams of several words are shorter, since
+#: they are most of what is sent.
+_LEVEL_BITS, _SHORT_BITS = np.uint64(3), np.uint64(1023)
 
 
 def _digest(word: bytes) -> int:
@@ -51,10 +53,10 @@ _FIXED = np.array([_digest(b" start"), _digest(b" end")], dtype=np.uint64)
 # -- blocks of numbers -----------------------------------------------------------------------------------------------
 
 
-def _packed(x: np.ndarray) -> bytes:
+def _packed(x: np.ndarray, effort: int = 1) -> bytes:
     """Integers, byte plane by byte plane, compressed."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), effort)
 
 
 def _unpacked(block: bytes, kind: type) -> np.ndarray:
@@ -85,7 +87,7 @@ def _encoder(schema: pa.Schema, most_tokens: int, most_bytes: int):
             words = np.fromiter(map(_digest, ids), dtype=np.uint64, count=len(ids))
             tokens = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
             doc_ids, held, sizes = zip(*docs)
-            row = (number, list(doc_ids), list(held), list(sizes), words.tobytes(), _packed(tokens))
+            row = (number, list(doc_ids), list(held), list(sizes), words.tobytes(), _packed(tokens, 3))
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -161,7 +163,7 @@ class Texts:
             prefix, word = (pairs // self.width).astype(np.int32), (pairs % self.width).astype(np.int32)
             key = mixed(below.key[prefix] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
             trained = np.bincount(back[train[spots]], minlength=len(pairs)).astype(np.uint32)
-            self.levels.append(Level(prefix, below.at[spots[first]], word, (key & ~_LEVEL_BITS) | np.uint64(k), at, trained))
+            self.levels.append(Level(prefix, below.at[spots[first]], word, (key & ~_SHORT_BITS) | np.uint64(k), at, trained))
 
     def sorted_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """All n-grams' hashes in ascending order, and the order that sorts them."""
@@ -333,7 +335,8 @@ def scores(
     A null or empty text is its end alone; a null doc_id counts as the empty text when rows are held out. Without training
     rows every probability is 1 and both scores are 0. Repeated rows are read, and come back, each time; an empty table
     gives no row; other columns are not read. A very long text makes a chunk of its own and is read whole, in one task.
-    Words are told apart by 64-bit hashes, n-grams by 62-bit ones: equal hashes of two would add up their counts.
+    Words are told apart by 62 bits of a hash, n-grams of several words by 54: where two have the same, their counts add
+    up, of 10^9 distinct n-grams some thirty pairs.
     """
     if not 1 <= order <= 3 or len(strength) < order - 1:
         raise ValueError("order is 1 to 3, with a strength for each length from two on")
