@@ -182,12 +182,15 @@ def _asker(order: int, buckets: int):
         edges = _edges(buckets)
         for batch in batches:
             for row in _rows(batch):
-                texts = Texts(row["sizes"], row["held"], row["words"], row["tokens"], order)
-                keys, by_key = texts.sorted_keys()
-                counts = np.concatenate([x.trained for x in texts.levels])[by_key]
-                cuts = [0, *np.searchsorted(keys, edges), len(keys)]
-                out = [(b, row["chunk"], _packed(_gaps(keys[x:y])), _packed(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
+                yield blocks(row, edges)
+
+    def blocks(row: dict, edges: np.ndarray) -> pa.RecordBatch:
+        texts = Texts(row["sizes"], row["held"], row["words"], row["tokens"], order)
+        keys, by_key = texts.sorted_keys()
+        counts = np.concatenate([x.trained for x in texts.levels])[by_key]
+        cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+        out = [(b, row["chunk"], _packed(_gaps(keys[x:y])), _packed(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "keys", "counts"])
 
     return ask
 
@@ -231,36 +234,37 @@ class Automaton:
     ORDER tokens. Arcs are sorted by state and token; every token of the chunk has an arc at the root."""
 
     def __init__(self, texts: Texts, counts: list[np.ndarray], n_tokens: int, n_types: int, strength: tuple[float, ...]):
-        order = len(texts.levels)
-        self.width = texts.width
-        n = [c.astype(np.float64) for c in counts]
-        p = [(n[0] + 1) / (n_tokens + n_types + 1)]
-        self.unigrams = np.log10(p[0])
+        order, self.width = len(texts.levels), texts.width
         #: By level and n-gram: the state of its longest known ending.
         self.state: list[np.ndarray] = []
-        fails, weights, arcs, targets, logs, states = [np.zeros(1, dtype=np.int64)], [np.zeros(1)], [], [], [], 1
-        for k in range(order):
-            level, known = texts.levels[k], n[k] > 0
-            shorter = self.state[k - 1][level.suffix] if k else np.zeros(len(n[0]), dtype=np.int64)
+        fails, weights, arcs, targets, logs, states = [np.zeros(1, dtype=np.int32)], [np.zeros(1)], [], [], [], 1
+        for k, level in enumerate(texts.levels):
+            n, known = counts[k].astype(np.float64), counts[k] > 0
             if k:
-                p.append((n[k] + strength[k - 1] * p[k - 1][level.suffix]) / (n[k - 1][level.prefix] + strength[k - 1]))
+                shorter = self.state[k - 1][level.suffix]
+                p = (n + strength[k - 1] * p[level.suffix]) / (counts[k - 1][level.prefix] + strength[k - 1])
+            else:
+                shorter = np.zeros(len(n), dtype=np.int32)
+                p = (n + 1) / (n_tokens + n_types + 1)
+                self.unigrams = np.log10(p)
+            own = shorter
             if k + 1 < order:
-                own = np.where(known, states + np.cumsum(known) - 1, shorter)
+                own = np.where(known, states - 1 + np.cumsum(known, dtype=np.int32), shorter)
                 states += int(known.sum())
                 fails.append(shorter[known])
-                weights.append(np.log10(strength[k] / (n[k][known] + strength[k])))
-            else:
-                own = shorter
+                weights.append(np.log10(strength[k] / (n[known] + strength[k])))
             self.state.append(own)
-            there = known if k else np.ones(len(n[0]), dtype=bool)
-            start = self.state[k - 1][level.prefix[there]] if k else np.zeros(len(n[0]), dtype=np.int64)
-            arcs.append(start.astype(np.int64) * self.width + level.word[there])
+            there = known if k else np.ones(len(n), dtype=bool)
+            start = self.state[k - 1][level.prefix[there]].astype(np.int64) if k else np.zeros(len(n), dtype=np.int64)
+            arcs.append(start * self.width + level.word[there])
             targets.append(own[there])
-            logs.append(np.log10(p[k][there]))
-        arc = np.concatenate(arcs)
-        by = np.argsort(arc, kind="stable")
-        self.arc, self.target, self.log = arc[by], np.concatenate(targets)[by], np.concatenate(logs)[by]
+            logs.append(np.log10(p[there]))
         self.fail, self.weight = np.concatenate(fails), np.concatenate(weights)
+        arcs = np.concatenate(arcs)
+        by = np.argsort(arcs, kind="stable")
+        self.arc = arcs[by]
+        del arcs
+        self.target, self.log = np.concatenate(targets)[by], np.concatenate(logs)[by]
 
     def traversed(self, texts: Texts, stretch: int = STRETCH) -> np.ndarray:
         """The log-probability of each text, from left to right: a token takes the state's arc, or else failure arcs until
@@ -303,18 +307,25 @@ def _scorer(schema: pa.Schema, order: int, n_tokens: int, n_types: int, strength
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, row in enumerate(_rows(batch)):
-                texts = Texts(row["sizes"], row["held"], row["words"], row["tokens"], order)
-                _, by_key = texts.sorted_keys()
-                totals = np.empty(len(by_key), dtype=np.uint64)
-                totals[by_key] = np.concatenate([_unpacked(x["counts"].as_py(), np.uint64) for x in batch.column("answers")[k]])
-                counts = np.split(totals, np.cumsum([len(x.key) for x in texts.levels])[:-1])
-                model = Automaton(texts, counts, n_tokens, n_types, strength)
-                predicted = np.ones(len(texts.tokens), dtype=bool)
-                predicted[texts.starts] = False
-                known = ((counts[0] > 0)[texts.tokens] & predicted).astype(np.int64)
-                base = np.where(predicted, model.unigrams[texts.tokens], 0.0)
-                out = [row["doc_ids"], pa.array(row["held"]), pa.array(texts.lengths), pa.array(np.add.reduceat(known, texts.starts)), pa.array(np.full(len(texts.lengths), n_tokens, dtype=np.int64)), pa.array(np.add.reduceat(base, texts.starts)), pa.array(model.traversed(texts))]
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
+                yield scored(row, batch.column("answers")[k])
+
+    def scored(row: dict, answers: pa.Scalar) -> pa.RecordBatch:
+        texts = Texts(row["sizes"], row["held"], row["words"], row["tokens"], order)
+        by_key = texts.sorted_keys()[1]
+        sizes = [len(x.key) for x in texts.levels]
+        for level in texts.levels:  # what only the keys were made for
+            level.key = level.trained = None
+        totals = np.empty(len(by_key), dtype=np.uint64)
+        totals[by_key] = np.concatenate([_unpacked(x["counts"].as_py(), np.uint64) for x in answers])
+        del by_key
+        counts = np.split(totals, np.cumsum(sizes)[:-1])
+        model = Automaton(texts, counts, n_tokens, n_types, strength)
+        predicted = np.ones(len(texts.tokens), dtype=bool)
+        predicted[texts.starts] = False
+        known = np.add.reduceat((counts[0] > 0)[texts.tokens] & predicted, texts.starts, dtype=np.int64)
+        base = np.add.reduceat(np.where(predicted, model.unigrams[texts.tokens], 0.0), texts.starts)
+        out = [row["doc_ids"], pa.array(row["held"]), pa.array(texts.lengths), pa.array(known), pa.array(np.full(len(known), n_tokens, dtype=np.int64)), pa.array(base), pa.array(model.traversed(texts))]
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
 
     return score
 
