@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semloom.functions import explain, export, iri
-from semloom.model import OWL, RDFS, TYPE, XSD
-from semloom.operators import concepts, consistency, reasoning, shapes, views
+from semloom.functions import explain, iri
+from semloom.model import OWL, RDFS, SH, TYPE, XSD
+from semloom.operators import concepts, consistency, exports, reasoning, shapes, views
 from semloom.plans import pattern
 from semloom.plans.abox import View, edges_of, individual, triples
 from semloom.sources import catalog, rdf
@@ -818,40 +818,106 @@ def sha256_digest(spark: SparkSession, d: str) -> DataFrame:
 
 # -- exports ---------------------------------------------------------------------------------------------------------
 
-UPPER = "https://w3id.org/sulo/"
-TABLES_MODEL = export.Model(
-    "Order model", "https://example.org/model/", upper=UPPER,
-    classes=(
-        export.Class("Order", "Order", "A purchase", UPPER + "Process"), export.Class("Customer", maps_to=UPPER + "SpatialObject"), export.Class("Supplier", maps_to=UPPER + "SpatialObject"),
-        export.Class("Buyer", parent="Customer"), export.Class("Place", maps_to="http://schema.org/Place"),
-    ),
-    properties=(
-        export.Property("hasCustomer", "object", "Order", "Customer", pattern=(T("?this", UPPER + "hasParticipant", "?o1"), T("?o1", TYPE, UPPER + "Role"), T("?o1", UPPER + "isFeatureOf", "?value")), features=("functional",)),
-        export.Property("orderedAt", "datatype", "Order", XSD + "dateTime", required=True), export.Property("partner", "object", "Order", "Customer"), export.Property("partner", "object", "Order", "Supplier"),
-    ),
-)
-
-
-@query("export_rdfs")
+
+def _models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The models of regions with all that their texts tell; every second one has an upper ontology."""
+    classes, properties = _model(spark, d)
+    region, k, none = _read(spark, d, "region"), F.col("ord"), F.lit(None).cast("string")
+    schema = F.concat(F.lit("m"), "r_regionkey")
+    schemas = region.select(
+        schema.alias("id"), F.concat(F.lit("http://x.org/model/"), schema, F.lit("/")).alias("url"), F.concat(F.lit("Model  of "), "r_name").alias("title"), F.when(F.col("r_regionkey") % 2 == 1, 'A "model"').alias("description"),
+        F.lit("http://x.org").alias("base_uri"), F.when(F.col("r_regionkey") % 2 == 0, "http://up.org").alias("upper_ontology_iri"),
+    )
+    text = lambda *x: F.array(*map(F.lit, x))
+    properties = properties.withColumns({
+        "label": F.when(k % 5 == 0, F.concat(F.lit("No "), k)), "description": none, "property_type": F.when(k % 3 == 0, "datatype").otherwise("object"), "is_required": k % 2 == 1,
+        "features": F.when(k % 4 == 1, text("functional", "unheard of", "transitive")), "inverse": F.when(k % 7 == 0, "back"), "disjoint": F.when(k % 11 == 0, text("http://x.org/q", "r")),
+    })
+    return schemas, classes, properties
+
+
+_TEXTS = f"""{_MODEL}, s AS (SELECT 'm' || r_regionkey AS schema_id, r_regionkey % 2 = 0 AS upper, r_name AS title, CASE WHEN r_regionkey % 2 = 0 THEN 'up.org:' ELSE '<http://up.org/' END AS o, CASE WHEN r_regionkey % 2 = 0 THEN '' ELSE '>' END AS e FROM region),
+  c AS (SELECT *, CASE WHEN k % 3 = 0 THEN '<http://up.org/Place>' ELSE ':' || name END AS ref FROM cls),
+  rn AS (SELECT schema_id, name, domain, count(*) AS n, string_agg(ref, ' ' ORDER BY m) AS refs, list(ref ORDER BY m) AS each_ref FROM
+    (SELECT p.schema_id, p.name, p.domain, c.id, any_value(c.ref) AS ref, min(p.k) AS m FROM prop p JOIN c ON c.url = p.range AND c.schema_id = p.schema_id GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+  g AS (SELECT p.*, coalesce(n, 0) AS n, refs, each_ref, p.k % 2 = 0 AS mapped, p.k % 3 <> 0 AS object, dc.name AS dname, dc.ref AS dref, coalesce(tc.ref, ':c' || p.k % 7 * 2) AS through,
+      CASE WHEN range = 'xsd' THEN 'xsd:string' ELSE coalesce(ec.ref, ':' || replace(range, 'http://x.org/', '')) END AS end
+    FROM (SELECT schema_id, name, domain, min(k) AS k FROM prop GROUP BY 1, 2, 3) JOIN prop p USING (schema_id, name, domain, k) LEFT JOIN rn USING (schema_id, name, domain)
+    JOIN c dc ON dc.id = p.domain AND dc.schema_id = p.schema_id LEFT JOIN c tc ON tc.id = 'c' || p.k % 7 * 2 AND tc.schema_id = p.schema_id LEFT JOIN c ec ON ec.url = p.range AND ec.schema_id = p.schema_id)"""
+_NUMBERED = "SELECT schema_id, CAST(unnest(range(len(t))) AS INTEGER) AS ord, unnest(t) AS value FROM (SELECT schema_id, string_split(string_agg(text, chr(10) ORDER BY part, k), chr(10)) AS t FROM {parts} GROUP BY schema_id)"
+
+
+def _ontology_sql(owl: bool) -> str:
+    nl, name = "' ;' || chr(10) || '    ", lambda side: f"'<http://x.org/' || dname || '_' || name || '_{side}>'"
+    some = lambda p, x, inverse: f"'[ a owl:Restriction ; owl:onProperty {'[ owl:inverseOf ' if inverse else ''}' || o || '{p}' || e || '{' ]' if inverse else ''} ; owl:someValuesFrom ' || {x} || ' ]'"
+    both = lambda x, y: f"'[ a owl:Class ; owl:intersectionOf ( ' || {x} || ' ' || {y} || ' ) ]'"
+    ahead = both("dref", some("has", both("through", some("of", 'coalesce("end", dref)', False)), False))
+    back = both('"end"', some("of", both("through", some("has", "dref", True)), True))
+    patterned, prefix = ("mapped", "'@prefix owl: <http://www.w3.org/2002/07/owl#> .' || chr(10) ||") if owl else ("false", "")
+    domain = f"CASE WHEN {patterned} THEN {name('domain')} ELSE ':' || dname END"
+    single = f"CASE WHEN {patterned} AND object AND range IS NOT NULL THEN {name('range')} ELSE refs END"
+    kind = "CASE WHEN object THEN 'owl:ObjectProperty' ELSE 'owl:DatatypeProperty' END" if owl else "'rdfs:Property'"
+    anchored = f"""UNION ALL SELECT schema_id, 4, k, text || {name('domain')} || chr(10) || '    owl:equivalentClass ' || {ahead} || ' .' || chr(10)
+      || CASE WHEN object AND n = 1 AND range IS NOT NULL THEN chr(10) || {name('range')} || chr(10) || '    owl:equivalentClass ' || {back} || ' .' || chr(10) ELSE '' END
+    FROM (SELECT *, CASE WHEN k = min(k) OVER (PARTITION BY schema_id) THEN '{exports.ANCHORS_HEADING}' || chr(10) || chr(10) ELSE '' END AS text FROM g WHERE mapped) JOIN s USING (schema_id)"""
+    parts = f"""(SELECT schema_id, 0 AS part, 0 AS k, '@prefix : <http://x.org/> .' || chr(10) || '@prefix xsd: <{XSD}> .' || chr(10) || '@prefix rdfs: <{RDFS}> .' || chr(10) || {prefix} '@prefix dct: <http://purl.org/dc/terms/> .'
+        || CASE WHEN upper THEN chr(10) || '@prefix up.org: <http://up.org/> .' ELSE '' END || chr(10) AS text FROM s
+      UNION ALL SELECT schema_id, 1, 0, '<http://x.org/model/' || schema_id || '>' || chr(10) || '    {"a owl:Ontology ;' || chr(10) || '    " if owl else ""}dct:title "Model  of ' || title || '"'
+        || CASE WHEN NOT upper THEN {nl}dct:description "A \\"model\\""' {"" if owl else "ELSE " + nl + "rdfs:seeAlso <http://up.org>'"} {"ELSE ''" if owl else ""} END || ' .' || chr(10) FROM s
+      UNION ALL SELECT a.schema_id, 2, a.k, CASE WHEN a.k = min(a.k) OVER (PARTITION BY a.schema_id) THEN '{exports.CLASSES_HEADING}' || chr(10) || chr(10) ELSE '' END || a.ref || chr(10) || '    a {"owl" if owl else "rdfs"}:Class'
+        || coalesce({nl}rdfs:label "' || replace(a.label, '"', '\\"') || '"', '') || coalesce({nl}rdfs:subClassOf ' || b.ref, '')
+        || {"CASE WHEN a.k % 3 = 0 THEN " + nl + "rdfs:subClassOf ' || o || 'Place' || e ELSE '' END" if owl else "''"} || ' .' || chr(10) FROM c a JOIN s USING (schema_id) LEFT JOIN c b ON b.id = a.up AND b.schema_id = a.schema_id
+      UNION ALL SELECT schema_id, 3, k, CASE WHEN k = min(k) OVER (PARTITION BY schema_id) THEN '{exports.PROPERTIES_HEADING}' || chr(10) || chr(10) ELSE '' END || ':' || name || chr(10) || '    a ' || {kind}
+        || CASE WHEN k % 4 = 1 THEN ', owl:FunctionalProperty, owl:TransitiveProperty' ELSE '' END || CASE WHEN k % 5 = 0 THEN {nl}rdfs:label "No ' || k || '"' ELSE '' END || CASE WHEN k % 7 = 0 THEN {nl}owl:inverseOf :back' ELSE '' END
+        || CASE WHEN k % 11 = 0 THEN {nl}owl:propertyDisjointWith :q' || {nl}owl:propertyDisjointWith :r' ELSE '' END || {nl}rdfs:domain ' || {domain}
+        || coalesce({nl}rdfs:range ' || CASE WHEN n > 1 THEN '[ owl:unionOf (' || refs || ') ]' WHEN n = 1 THEN {single} ELSE "end" END, '') || ' .' || chr(10) FROM g
+      {anchored if owl else ""})"""
+    return f"{_TEXTS} " + _NUMBERED.format(parts=parts)
+
+
+_SHACL_SQL = f"""{_TEXTS}, shape AS (SELECT schema_id, domain, string_agg('    sh:property [' || chr(10) || '        sh:path :' || name || ' ;' || chr(10) || CASE WHEN k % 5 = 0 THEN '        sh:name "No ' || k || '" ;' || chr(10) ELSE '' END
+    || CASE WHEN object AND n > 1 THEN '        sh:or (' || chr(10) || array_to_string(list_transform(each_ref, lambda r: '            [ sh:class ' || r || ' ]' || chr(10)), '') || '        ) ;' || chr(10)
+        WHEN object THEN coalesce('        sh:class ' || CASE WHEN n = 1 THEN refs ELSE "end" END || ' ;' || chr(10), '') ELSE '        sh:datatype xsd:string ;' || chr(10) END
+    || '        sh:minCount ' || k % 2 || ' ;' || chr(10) || '    ]', ' ;' || chr(10) ORDER BY k) || ' .' AS shapes FROM g GROUP BY 1, 2)
+""" + _NUMBERED.format(parts=f"""(SELECT schema_id, 0 AS part, 0 AS k, '@prefix : <http://x.org/> .' || chr(10) || '@prefix sh: <{SH}> .' || chr(10) || '@prefix owl: <{OWL}> .' || chr(10) || '@prefix rdfs: <{RDFS}> .' || chr(10) || '@prefix xsd: <{XSD}> .' || chr(10) AS text FROM s
+  UNION ALL SELECT a.schema_id, 1, a.k, ':' || a.name || 'Shape' || chr(10) || '    a sh:NodeShape, owl:Class ;' || chr(10) || '    sh:targetClass ' || a.ref || coalesce(' ;' || chr(10) || '    rdfs:subClassOf ' || b.ref, '')
+    || coalesce(' ;' || chr(10) || '    rdfs:label "' || replace(a.label, '"', '\\"') || '"', '') || coalesce(' ;' || chr(10) || shapes, ' .') || chr(10)
+  FROM c a LEFT JOIN c b ON b.id = a.up AND b.schema_id = a.schema_id LEFT JOIN shape x ON x.domain = a.id AND x.schema_id = a.schema_id)""")
+
+_MERMAID_SQL = f"{_TEXTS} " + _NUMBERED.format(parts="""(SELECT schema_id, 0 AS part, 0 AS k, 'classDiagram' AS text FROM s
+  UNION ALL SELECT a.schema_id, 1, a.k, '  class ' || a.name || ' {' || chr(10) || coalesce(m, '') || '  }' FROM c a LEFT JOIN (SELECT p.schema_id, domain,
+      string_agg('    +' || p.name || '() ' || CASE WHEN range = 'xsd' THEN 'string' ELSE coalesce(c.name, replace(range, 'http://x.org/', ''), 'Any') END || chr(10), '' ORDER BY p.k) AS m
+    FROM prop p LEFT JOIN c ON c.url = range AND c.schema_id = p.schema_id GROUP BY 1, 2) x ON domain = a.id AND x.schema_id = a.schema_id
+  UNION ALL SELECT schema_id, 2, 0, '' FROM s
+  UNION ALL SELECT a.schema_id, 3, a.k, '  ' || b.name || ' <|-- ' || a.name FROM c a JOIN c b ON b.id = a.up AND b.schema_id = a.schema_id
+  UNION ALL SELECT p.schema_id, 4, p.k, '  ' || a.name || ' --> ' || b.name || ' : ' || p.name FROM prop p JOIN c a ON a.id = p.domain AND a.schema_id = p.schema_id JOIN c b ON b.url = p.range AND b.schema_id = p.schema_id)""")
+
+
+@query("export_rdfs", _ontology_sql(owl=False))
 def export_rdfs(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_lines(spark, export.ontology(TABLES_MODEL, owl=False))
+    return exports.ontologies(*_models(spark, d), owl=False)
 
 
-@query("export_owl")
+@query("export_owl", _ontology_sql(owl=True))
 def export_owl(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_lines(spark, export.ontology(TABLES_MODEL, owl=True))
+    return exports.ontologies(*_models(spark, d), owl=True)
 
 
-@query("export_shacl")
+@query("export_shacl", _SHACL_SQL)
 def export_shacl(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_lines(spark, export.shacl(TABLES_MODEL))
+    return exports.shacl(*_models(spark, d))
 
 
-@query("export_mermaid")
+@query("export_mermaid", _MERMAID_SQL)
 def export_mermaid(spark: SparkSession, d: str) -> DataFrame:
-    return export.as_lines(spark, export.mermaid(TABLES_MODEL))
+    return exports.mermaid(*_models(spark, d))
 
 
-@query("uml_graph", "SELECT * FROM (VALUES ('Buyer', 'Customer', '', 'inherits'), ('Order', 'Customer', 'hasCustomer', 'property'), ('Order', 'Customer', 'partner', 'property'), ('Order', 'Supplier', 'partner', 'property')) t(source, target, label, kind)")
+@query("uml_graph", f"{_MODEL} SELECT schema_id, id, name, CAST(n % 5 * 260 AS INTEGER) AS x, CAST(n // 5 * 220 AS INTEGER) AS y FROM (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY k) - 1 AS n FROM cls)")
 def uml_graph(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(export.diagram(TABLES_MODEL)[1], "source string, target string, label string, kind string")
+    return exports.diagram_nodes(_models(spark, d)[1])
+
+
+@query("canonical_names", f"{_TEXTS} SELECT schema_id, url, ref FROM c")
+def canonical_names(spark: SparkSession, d: str) -> DataFrame:
+    return exports.references(_models(spark, d)[1]).select("schema_id", "url", "ref")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semloom.model import OWL, RDFS
 
-_LOCAL = r"^[A-Za-z_][\w.-]*$"
+LOCAL = r"^[A-Za-z_][\w.-]*$"
 
 #: Property characteristics and the OWL types that state them.
 FEATURES = {
@@ -21,14 +21,14 @@ FEATURES = {
 def shorten(iri: str, prefixes: dict[str, str]) -> str:
     """prefix:local by the first prefix that leaves a local name, else <iri>."""
     for prefix, base in prefixes.items():
-        if iri.startswith(base) and re.match(_LOCAL, iri[len(base) :], re.ASCII):
+        if iri.startswith(base) and re.match(LOCAL, iri[len(base) :], re.ASCII):
             return f"{prefix}:{iri[len(base):]}"
     return f"<{iri}>"
 
 
 def shortened(iri: Column, prefixes: dict[str, str]) -> Column:
     """shorten() as an expression, a branch for each prefix."""
-    tries = [F.when(iri.startswith(base) & F.substring(iri, len(base) + 1, 1 << 30).rlike(_LOCAL), F.concat(F.lit(prefix + ":"), F.substring(iri, len(base) + 1, 1 << 30))) for prefix, base in prefixes.items()]
+    tries = [F.when(iri.startswith(base) & F.substring(iri, len(base) + 1, 1 << 30).rlike(LOCAL), F.concat(F.lit(prefix + ":"), F.substring(iri, len(base) + 1, 1 << 30))) for prefix, base in prefixes.items()]
     return F.coalesce(*tries, F.concat(F.lit("<"), iri, F.lit(">")))
 
 

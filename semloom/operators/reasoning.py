@@ -12,7 +12,7 @@ from semloom.model import TYPE
 from semloom.plans.abox import edges_of
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a round by a table in the session's checkpoint folder; one of its own only in local mode, where none is set."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -23,21 +23,37 @@ def _written(df: DataFrame) -> DataFrame:
         root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one, which a plan reads as a single scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t.scratch for t in tables))
+
+
+def dropped(tables: list[DataFrame]) -> None:
+    """Removes written tables that no later result reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def transitive(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """The transitive closure of edges (sub, sup). Each round joins what is new with all pairs found so far, so the
-    paths' length doubles; it ends, also on cycles, when nothing is new."""
-    known = new = _written(edges.select("sub", "sup").filter("sub IS NOT NULL AND sup IS NOT NULL").distinct())
+    paths' length doubles; it ends, also on cycles, when nothing is new. A round writes what is new and no more."""
+    tables = [written(edges.select("sub", "sup").filter("sub IS NOT NULL AND sup IS NOT NULL").distinct())]
     for _ in range(most_rounds):
+        known, new = together(tables), tables[-1]
         a, b = new.select("sub", F.col("sup").alias("mid")), known.select(F.col("sub").alias("mid"), "sup")
         c, d = known.select("sub", F.col("sup").alias("mid")), new.select(F.col("sub").alias("mid"), "sup")
         step = a.join(b, "mid").unionByName(c.join(d, "mid")).select("sub", "sup").distinct()
-        new = _written(step.join(known, ["sub", "sup"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = _written(known.unionByName(new))
+        step = written(step.join(known, ["sub", "sup"], "left_anti"))
+        if step.isEmpty():
+            dropped([step])
+            return together(tables)
+        tables.append(step)
     raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 

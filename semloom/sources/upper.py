@@ -24,3 +24,9 @@ TRANSITIVE = ["contains", "isIn", "isPartOf", "hasPart"]
 ONLY = [(c, "hasPart", c) for c in ("SpatialObject", "Feature", "InformationObject", "Object", "Process")]
 #: (class, property, filler): the class has no value of the property in the filler.
 NEVER = [("Object", "hasPart", "Process")]
+#: (first, second, property): a way along the first and then the second property is one of the third.
+CHAINS = [("hasParticipant", "isFeatureOf", "hasParticipant")]
+#: Unions: what is in the class, or is a subject or value of the property, is in one of the alternatives at least.
+COVERS = [("Time", ("Duration", "TimeInstant", "TimeInterval")), ("Feature", ("Capability", "InformationObject", "Quality", "Role"))]
+DOMAIN_UNIONS = [("hasFeature", ("Object", "Process"))]
+RANGE_UNIONS = [("isFeatureOf", ("Object", "Process"))]

@@ -1,6 +1,5 @@
 import pytest
 
-from semloom.functions import export
 from semloom.model import TYPE
 from semloom.plans.pattern import THING, All, Named, Some, Template, backward, evaluate, forward, turtle
 
@@ -34,22 +33,3 @@ def test_only_needed_columns_are_read(spark):
 
     plan = evaluate(PATTERNS["role_bearer"], View(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 3 and "Union" not in plan
-
-
-def test_exports():
-    classes = (export.Class("Visit", maps_to="https://up.org/u/Process"), export.Class("Person", maps_to="http://other.org/Person"), export.Class("Child", parent="Visit"))
-    properties = (
-        export.Property("hasPatient", "object", "Visit", "Person", pattern=tuple(CHAIN), features=("functional", "unknown", "transitive")),
-        export.Property("hasCode", "object", "Visit", "Person"), export.Property("hasCode", "object", "Visit", "Child"),
-        export.Property("score", "datatype", "Visit", "http://www.w3.org/2001/XMLSchema#float", required=True, label='a "b"\n'),
-    )
-    model = export.Model("My model", "https://x.org/m/", classes, properties, "https://base.org/family", "https://up.org/u/")
-    owl, rdfs, shacl, uml = ("\n".join(x) for x in (export.ontology(model, True), export.ontology(model, False), export.shacl(model), export.mermaid(model)))
-    assert "@prefix : <https://base.org/family/> ." in owl and "owl:imports <https://up.org/u>" in owl and "<https://x.org/m>" in owl
-    assert ":Visit_hasPatient_domain" in owl and ":Visit_hasPatient_range" in owl and owl.count("owl:equivalentClass") == 2
-    assert "owl:FunctionalProperty, owl:TransitiveProperty" in owl and "owl:unionOf ( <http://other.org/Person> :Child )" in owl
-    assert "rdfs:Property" in rdfs and "equivalentClass" not in rdfs and "imports" not in rdfs
-    assert shacl.count("sh:NodeShape") == 3 and "sh:or ( [ sh:class <http://other.org/Person> ] [ sh:class :Child ] )" in shacl
-    assert "sh:datatype xsd:float ; sh:minCount 1" in shacl and 'sh:name "a \\"b\\"\\n"' in shacl
-    assert "Visit <|-- Child" in uml and "Visit --> Person : hasPatient" in uml and "<<Process>>" in uml and "+score float" in uml
-    assert export.file_name("My  model", "_uml.mmd") == "My_model_uml.mmd"
