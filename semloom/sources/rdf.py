@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semloom.operators.reasoning import written
 from semloom.plans.abox import View, edges_of
 
 _TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)'
@@ -59,3 +60,45 @@ def star(triples: View | DataFrame, required: str, optional: dict[str, str]) ->
     for name, p in optional.items():
         out = out.join(edges_of(triples, p).select("s", F.col("o").alias(name)).distinct(), "s", "left")
     return out
+
+
+def merged(graphs: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """One graph of the triples of several, for graphs (source, s, s_kind, p, o, o_kind, o_lang, o_dtype).
+
+    A blank node is known by what surrounds it: rounds of hashes of its triples, in which other blank nodes count as their
+    hashes so far, until no round tells more nodes apart. A node whose hash no other of its source has is called by it, so
+    copies of a graph with other labels become one. Nodes that a source cannot tell apart stay what they are, each under
+    its own label and source, since they may be several. Labels of different sources never meet by chance.
+    """
+    kinds = ["source", "s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dtype"]
+    rows = written(graphs.select(*kinds).distinct())
+    node = lambda c: rows.filter(f"{c}_kind = 'blank'").select("source", F.col(c).alias("node"))
+    colours = written(node("s").unionByName(node("o")).distinct().withColumn("colour", F.lit("")))
+    shown = lambda c, extra: F.when(F.col(f"{c}_kind") == "blank", F.concat(F.lit("blank "), F.coalesce("colour", F.lit("")))).otherwise(F.concat_ws("\x1f", F.col(f"{c}_kind"), F.col(c), *extra))
+    classes = 0
+    for _ in range(most_rounds):
+        told = colours.groupBy("source").agg(F.countDistinct("colour").alias("n")).agg(F.sum("n")).first()[0] or 0
+        if told == classes:
+            break
+        classes = told
+
+        def side(mine: str, other: str, extra: tuple) -> DataFrame:
+            own = rows.filter(f"{mine}_kind = 'blank'").join(colours.withColumnRenamed("node", other), ["source", other], "left")
+            loop = (F.col(f"{other}_kind") == "blank") & (F.col(other) == F.col(mine))
+            return own.select("source", F.col(mine).alias("node"), F.concat_ws("\x1e", F.lit(mine), "p", F.when(loop, "itself").otherwise(shown(other, extra))).alias("seen"))
+
+        around = side("s", "o", ("o_lang", "o_dtype")).unionByName(side("o", "s", ()))
+        # each triple's hash is of fixed size, and their sum doesn't depend on order: a node with many triples gathers none
+        parts = [F.conv(F.substring(F.sha2("seen", 256), k, 12), 16, 10).cast("decimal(38,0)") for k in (1, 13, 25)]
+        sums = around.groupBy("source", "node").agg(*(F.sum(x).alias(f"x{k}") for k, x in enumerate(parts)))
+        colour = F.sha2(F.concat_ws(" ", "old", "x0", "x1", "x2"), 256)
+        colours = written(sums.join(colours.withColumnRenamed("colour", "old"), ["source", "node"]).select("source", "node", colour.alias("colour")))
+    alone = colours.groupBy("source", "colour").agg(F.count("*").alias("n"))
+    label = F.when(F.col("n") == 1, F.concat(F.lit("_:"), "colour")).otherwise(F.concat(F.lit("_:"), F.sha2(F.concat_ws("\x1f", F.col("source").cast("string"), "node"), 256)))
+    names = written(colours.join(alone, ["source", "colour"]).select("source", "node", label.alias("label")))
+    out = rows
+    for c in ("s", "o"):
+        # a literal may look like a label
+        blank = names.select("source", F.col("node").alias(c), F.lit("blank").alias(f"{c}_kind"), "label")
+        out = out.join(blank, ["source", c, f"{c}_kind"], "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    return out.select(*kinds[1:]).distinct()
