@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from semloom.functions import explain, iri
 from semloom.model import OWL, RDFS, SH, TYPE, XSD
-from semloom.operators import concepts, consistency, exports, reasoning, shapes, views
+from semloom.operators import concepts, consistency, equality, exports, reasoning, shapes, views
 from semloom.plans import pattern
 from semloom.plans.abox import View, edges_of, individual, triples
 from semloom.sources import catalog, rdf
@@ -408,17 +408,6 @@ _CLASSES = [("Order", "Process"), ("Customer", "SpatialObject"), ("Invoice", "In
 _ROLE = [T("?this", "hasParticipant", "?o1"), T("?o1", TYPE, "Role"), T("?o1", "isFeatureOf", "?value")]
 
 
-@query("unsat_classes", "SELECT * FROM (VALUES ('Invoice_hasCustomer_domain'), ('Invoice_hasCustomer_range'), ('Order_mentions_domain')) t(anchor)")
-def unsat_classes(spark: SparkSession, d: str) -> DataFrame:
-    anchors = {
-        "Order_hasCustomer_domain": pattern.forward(_ROLE, "Customer", "Order"), "Order_hasCustomer_range": pattern.backward(_ROLE, "Order", "Customer"),
-        "Invoice_hasCustomer_domain": pattern.forward(_ROLE, "Customer", "Invoice"), "Invoice_hasCustomer_range": pattern.backward(_ROLE, "Invoice", "Customer"),
-        "Order_mentions_domain": pattern.forward([T("?this", "refersTo", "?value")], "Customer", "Order"),
-        "Invoice_mentions_domain": pattern.forward([T("?this", "refersTo", "?value")], "Customer", "Invoice"),
-    }
-    return consistency.unsatisfiable(spark, anchors, _CLASSES).select("anchor")
-
-
 @query("data_clashes", "SELECT 'orders/' || o_orderkey AS s FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 7 = 0")
 def data_clashes(spark: SparkSession, d: str) -> DataFrame:
     """Orders as processes: a role of a customer is no contradiction; a dose as a part is one, and an amount that must be
@@ -649,6 +638,117 @@ def shape_counts(spark: SparkSession, d: str) -> DataFrame:
     return views.shape_counts(*_model(spark, d))
 
 
+# -- contradictions in models -----------------------------------------------------------------------------------------
+
+
+def _aligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Models by region: nations as classes of four kinds, customers as properties that refer to their range, reach it by a
+    role or have it as a part; the range is a nation, of the same region or not."""
+    classes, properties = _model(spark, d)
+    at, k, upper_ = F.col("ord"), F.col("ord"), exports.NAMESPACE
+    kinds = F.array(*(F.lit(upper_ + x) for x in ("Process", "SpatialObject", "InformationObject", "Quantity")))
+    classes = classes.withColumns({"maps_to_concept_iri": F.get(kinds, at % 4), "super_class_id": F.lit(None).cast("string")})
+    triple = lambda i, s, p, o: F.struct(F.lit(i).alias("ord"), F.lit(s).alias("subject"), F.lit(p).alias("predicate"), F.lit(o).alias("object"))
+    one = lambda p: F.array(triple(0, "?this", upper_ + p, "?value"))
+    role = F.array(triple(0, "?this", upper_ + "hasParticipant", "?o1"), triple(1, "?o1", TYPE, upper_ + "Role"), triple(2, "?o1", upper_ + "isFeatureOf", "?value"))
+    properties = properties.withColumns({
+        "name": F.concat(F.lit("p"), k), "range_class_iri": F.concat(F.lit("http://x.org/c"), k % 25), "pattern": F.when(k % 3 == 0, one("refersTo")).when(k % 3 == 1, role).otherwise(one("hasPart")),
+        "property_type": F.lit("object"), "is_required": F.lit(False), "features": F.array().cast("array<string>"), "inverse": F.lit(None).cast("string"), "disjoint": F.array().cast("array<string>"),
+        "label": F.lit(None).cast("string"), "description": F.lit(None).cast("string"),
+    })
+    return classes, properties
+
+
+_ALIGNED = """WITH a AS (SELECT 'm' || d.n_regionkey || ' p' || c_custkey AS anchor, c_custkey % 3 AS way, d.n_nationkey % 4 AS dom, r.n_nationkey % 4 AS rng, r.n_regionkey = d.n_regionkey AS ranged
+    FROM customer JOIN nation d ON d.n_nationkey = c_nationkey JOIN nation r ON r.n_nationkey = c_custkey % 25),
+  bad AS (SELECT *, CASE way WHEN 0 THEN CASE dom WHEN 0 THEN 'Object is disjoint with Process' WHEN 1 THEN 'Feature is disjoint with SpatialObject' END
+    WHEN 1 THEN CASE WHEN dom > 0 OR rng = 0 THEN 'Object is disjoint with Process' END
+    ELSE CASE WHEN dom < 2 AND dom <> rng OR dom >= 2 AND rng < 2 THEN CASE WHEN dom > 0 AND rng > 0 THEN 'Feature is disjoint with SpatialObject' WHEN dom > 0 THEN 'Object has no Process as hasPart' ELSE 'Object is disjoint with Process' END END END AS axiom FROM a),
+  found AS (SELECT anchor || ' domain' AS anchor, axiom FROM bad WHERE axiom IS NOT NULL UNION ALL SELECT anchor || ' range', axiom FROM bad WHERE axiom IS NOT NULL AND ranged)"""
+
+
+@query("unsat_classes", f"{_ALIGNED} SELECT anchor FROM found")
+def unsat_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The anchors of all models that cannot have instances, with the classes of those models below the upper ontology."""
+    types, edges, below = consistency.model_anchors(*_aligned(spark, d))
+    return consistency.refuted(types, edges, consistency.Ontology(spark, below))[0].select("anchor")
+
+
+@query("clash_proofs", f"{_ALIGNED} SELECT anchor, axiom FROM found")
+def clash_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """The axiom that each such anchor runs into, by its proof."""
+    types, edges, below = consistency.model_anchors(*_aligned(spark, d))
+    _, proofs = consistency.refuted(types, edges, consistency.Ontology(spark, below), trace=True)
+    return consistency.justified(proofs).filter("rule = 'clash'").select("anchor", "axiom")
+
+
+@query("case_refutation", "SELECT 's' || s_suppkey AS anchor FROM supplier WHERE s_suppkey % 3 = 0")
+def case_refutation(spark: SparkSession, d: str) -> DataFrame:
+    """Bearers of features, so objects or processes, with an object and a process as parts, or two of a kind: the first
+    cannot be either."""
+    s = _read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("anchor"), F.col("s_suppkey").alias("k"))
+    kind = lambda r: F.when(F.col("k") % 3 == r, "Process").otherwise("SpatialObject")
+    types = s.select("anchor", F.lit("a").alias("s"), kind(1).alias("c")).unionByName(s.select("anchor", F.lit("b").alias("s"), F.when(F.col("k") % 3 == 0, "Process").otherwise(kind(1)).alias("c")))
+    part = lambda o, p: s.select("anchor", F.lit("x").alias("s"), F.lit(p).alias("p"), F.lit(o).alias("o"))
+    edges = part("a", "hasPart").unionByName(part("b", "hasPart")).unionByName(part("f", "hasFeature"))
+    return consistency.refuted(types, edges, consistency.Ontology(spark))[0].select("anchor")
+
+
+@query(
+    "same_individuals",
+    """WITH RECURSIVE e AS (SELECT c_nationkey AS a, c_custkey % 25 AS b FROM customer WHERE c_custkey % 150 = 0), eb AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    n AS (SELECT n_nationkey AS x, n_nationkey AS y FROM nation UNION SELECT x, b FROM n JOIN eb ON a = y), nm AS (SELECT x, min(y) AS m FROM n GROUP BY x),
+    re AS (SELECT DISTINCT p.n_regionkey AS a, q.n_regionkey AS b FROM nm JOIN nation p ON p.n_nationkey = x JOIN nation q ON q.n_nationkey = m), rb AS (SELECT a, b FROM re UNION SELECT b, a FROM re),
+    r AS (SELECT r_regionkey AS x, r_regionkey AS y FROM region UNION SELECT x, b FROM r JOIN rb ON a = y)
+    SELECT 'nation/' || lpad(CAST(x AS VARCHAR), 2, '0') AS member, 'nation/' || lpad(CAST(m AS VARCHAR), 2, '0') AS representative FROM nm WHERE x <> m
+    UNION ALL SELECT 'region/' || lpad(CAST(x AS VARCHAR), 2, '0'), 'region/' || lpad(CAST(min(y) AS VARCHAR), 2, '0') FROM r GROUP BY x HAVING x <> min(y)""",
+)
+def same_individuals(spark: SparkSession, d: str) -> DataFrame:
+    """Some customers have two homes where they may have one: these nations are the same, and then so are their regions."""
+    name = lambda t, k: F.concat(F.lit(t + "/"), F.lpad(k.cast("string"), 2, "0"))
+    c, k = _read(spark, d, "customer").filter("c_custkey % 150 = 0"), F.col("c_custkey")
+    homes = c.select(individual("customer", "c_custkey").alias("s"), F.lit("home").alias("p"), F.explode(F.array(name("nation", F.col("c_nationkey")), name("nation", k % 25))).alias("o"))
+    within = _read(spark, d, "nation").select(name("nation", F.col("n_nationkey")).alias("s"), F.lit("within").alias("p"), name("region", F.col("n_regionkey")).alias("o"))
+    one = spark.createDataFrame([("home",), ("within",)], "p string")
+    names, _ = equality.same(homes.unionByName(within).withColumn("literal", F.lit(False)), one, one.limit(0))
+    return names.filter("member <> representative")
+
+
+@query(
+    "literal_conflicts",
+    "SELECT 'nation/' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS s, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1",
+)
+def literal_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a nation are one individual by an inverse functional property; their segments, one each, then conflict."""
+    c = _read(spark, d, "customer").withColumn("n", F.concat(F.lit("key/"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")))
+    one = lambda p: spark.createDataFrame([(p,)], "p string")
+    owner = c.select(individual("customer", "c_custkey").alias("s"), F.lit("key").alias("p"), F.col("n").alias("o"), F.lit(False).alias("literal"))
+    segment = c.select(individual("customer", "c_custkey").alias("s"), F.lit("segment").alias("p"), F.col("c_mktsegment").alias("o"), F.lit(True).alias("literal"))
+    _, facts = equality.same(owner.unionByName(segment), one("none"), one("key"))
+    bad = equality.literal_clashes(facts, one("segment")).join(facts.filter("p = 'key'").select("s", F.col("o").alias("n_")), "s")
+    return bad.select(F.replace("n_", F.lit("key/"), F.lit("nation/")).alias("s"), "n")
+
+
+@query(
+    "graph_merge",
+    """SELECT 'total' AS p, count(*) AS n, count(DISTINCT o_orderkey) AS subjects FROM orders UNION ALL SELECT 'line', count(*), count(DISTINCT l_orderkey) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+    UNION ALL SELECT 'number', count(*), count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""",
+)
+def graph_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines as blank nodes, in two graphs with other labels: the merged graph is that of one."""
+    blank = lambda source, *x: F.concat(F.lit(f"_:{source}"), *x)
+    none, o, li = F.lit(None).cast("string"), _read(spark, d, "orders"), _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+
+    def copy(source: str, order, line) -> DataFrame:
+        row = lambda s, p, x, kind: (F.lit(source).alias("source"), s.alias("s"), F.lit("blank").alias("s_kind"), F.lit(p).alias("p"), x.cast("string").alias("o"), F.lit(kind).alias("o_kind"), none.alias("o_lang"), none.alias("o_dtype"))
+        at = line(F.col("l_orderkey"), F.col("l_linenumber"))
+        return o.select(*row(order(F.col("o_orderkey")), "total", F.col("o_orderkey"), "literal")).unionByName(li.select(*row(order(F.col("l_orderkey")), "line", at, "blank"))).unionByName(li.select(*row(at, "number", F.col("l_linenumber"), "literal")))
+
+    one = copy("one", lambda k: blank("o", k), lambda k, n: blank("l", k, F.lit("_"), n))
+    two = copy("two", lambda k: blank("l", k), lambda k, n: blank("o", n, F.lit("_"), k))
+    return rdf.merged(one.unionByName(two)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
+
+
 # -- explanations ----------------------------------------------------------------------------------------------------
 
 
