@@ -274,18 +274,50 @@ def ontology_guard(spark: SparkSession, d: str) -> DataFrame:
     return concepts.adoptable(_part_triples(spark, d))
 
 
-@query("ntriples_read", f"SELECT 'http://x.org/' || n_nationkey AS s, 'http://x.org/name' AS p, n_name || '\"' AS o, 'en' AS o_lang, CAST(NULL AS VARCHAR) AS o_dtype FROM nation UNION ALL SELECT 'http://x.org/' || n_nationkey, 'http://x.org/key', CAST(n_nationkey AS VARCHAR), NULL, '{XSD}integer' FROM nation")
+@query(
+    "ntriples_read",
+    f"""SELECT 'http://x.org/' || n_nationkey AS s, 'http://x.org/name' AS p, n_name || '"' AS o, 'en' AS o_lang, CAST(NULL AS VARCHAR) AS o_dtype FROM nation
+    UNION ALL SELECT 'http://x.org/' || n_nationkey, 'http://x.org/key', CAST(n_nationkey AS VARCHAR), NULL, '{XSD}integer' FROM nation
+    UNION ALL SELECT '_:n' || n_nationkey, 'http://x.org/é', n_name, 'de-1996', NULL FROM nation UNION ALL SELECT 'http://x.org/' || n_nationkey, 'http://x.org/of', '_:r.' || n_regionkey, NULL, NULL FROM nation""",
+)
 def ntriples_read(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with and without white space, comments, escapes, and what is no triple."""
     n = _read(spark, d, "nation")
     s = F.concat(F.lit("<http://x.org/"), "n_nationkey", F.lit("> "))
     lines = F.array(
         F.concat(s, F.lit("<http://x.org/name> "), F.lit('"'), "n_name", F.lit('\\""@en .')),
         F.concat(s, F.lit("<http://x.org/key> "), F.lit('"'), "n_nationkey", F.lit(f'"^^<{XSD}integer> . # key')), F.lit("# nothing"), F.lit("broken line"),
+        F.concat(F.lit("_:n"), "n_nationkey", F.lit('<http://x.org/\\u00e9>"'), "n_name", F.lit('"@de-1996.')), F.concat(F.rtrim(s), F.lit("<http://x.org/of>_:r."), "n_regionkey", F.lit(".")),
     )
     flat = n.select(F.posexplode(lines).alias("ord", "value"))
     return rdf.parse_ntriples(flat).select("s", "p", "o", "o_lang", "o_dtype")
 
 
+@query("ntriples_rejected", "SELECT p_partkey, 'broken ' || p_brand AS value FROM part WHERE p_partkey % 4 = 0")
+def ntriples_rejected(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    lines = _read(spark, d, "part").select(k.alias("ord"), F.when(k % 4 == 0, F.concat(F.lit("broken "), "p_brand")).when(k % 4 == 1, " # note").when(k % 4 == 2, "").otherwise('<a:s><a:p>"o".').alias("value"))
+    return rdf.rejected(lines).select(F.col("ord").alias("p_partkey"), "value")
+
+
+@query("ontology_header", "SELECT 'http://x.org/part#' || min(p_partkey) AS iri, min_by(p_brand, p_partkey) AS version, min_by(p_type, p_partkey) AS modified FROM part WHERE p_size % 3 = 0")
+def ontology_header(spark: SparkSession, d: str) -> DataFrame:
+    """The first of several ontology headers, with the first version and date of each."""
+    part = _read(spark, d, "part").filter("p_size % 3 = 0").withColumn("s", F.concat(F.lit("http://x.org/part#"), "p_partkey"))
+    facts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), o.alias("o")) for k, p, o in (
+        (0, TYPE, F.lit(OWL + "Ontology")), (1, OWL + "versionInfo", F.col("p_brand")), (2, OWL + "versionInfo", F.lit("later")), (3, "http://purl.org/dc/terms/modified", F.col("p_type")),
+    )))
+    flat = part.select("s", "p_partkey", F.explode(facts).alias("r"))
+    return concepts.header(flat.select((F.col("p_partkey") * 10 + F.col("r.k")).alias("ord"), "s", F.lit("iri").alias("s_kind"), "r.p", "r.o"))
+
+
+@query("concept_ranking", f"WITH c AS ({_CONCEPTS}) SELECT iri, row_number() OVER (ORDER BY lower(label), iri) AS place FROM c WHERE contains(lower(label), 'small') ORDER BY place LIMIT 50")
+def concept_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty hits by label in the collation of the root locale, numbered as they come."""
+    found = concepts.search(concepts.concepts(_part_triples(spark, d)), "SMALL")
+    return found.select("iri", F.row_number().over(Window.orderBy(F.collate("label", "UNICODE"), "iri")).alias("place"))
+
+
 # -- rules -----------------------------------------------------------------------------------------------------------
 
 
@@ -614,8 +646,8 @@ def diagram_edges(spark: SparkSession, d: str) -> DataFrame:
     return views.diagram_edges(*_model(spark, d))
 
 
-_BLOCK = """SELECT a.schema_id, CAST(a.k AS INTEGER) AS ord, ':c' || a.k || chr(10) || '    a {kind}:Class' || CASE WHEN a.label IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:label "The \\"' || a.name || '\\""' ELSE '' END
-  || CASE WHEN b.id IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:subClassOf :' || b.id ELSE '' END || {more} || ' .' AS value FROM cls a LEFT JOIN cls b ON a.up = b.id AND a.schema_id = b.schema_id"""
+_BLOCK = """SELECT a.schema_id, CAST(a.k AS INTEGER) AS ord, CASE WHEN a.k % 3 = 0 THEN '<http://up.org/Place>' ELSE ':' || a.name END || chr(10) || '    a {kind}:Class' || CASE WHEN a.label IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:label "The \\"' || a.name || '\\""' ELSE '' END
+  || CASE WHEN b.id IS NOT NULL THEN ' ;' || chr(10) || '    rdfs:subClassOf ' || CASE WHEN b.k % 3 = 0 THEN '<http://up.org/Place>' ELSE ':' || b.name END ELSE '' END || {more} || ' .' AS value FROM cls a LEFT JOIN cls b ON a.up = b.id AND a.schema_id = b.schema_id"""
 
 
 @query("class_blocks_rdfs", f"{_MODEL} " + _BLOCK.format(kind="rdfs", more="''"))
@@ -893,9 +925,9 @@ def regex_extract(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "pages").select("page_id", value(1).alias("lang"), value(2).alias("number"))
 
 
-@query("version_compare", "SELECT p_partkey, CAST(CASE WHEN p_size = 7 THEN NULL ELSE sign(p_size - 12) END AS INTEGER) AS cmp FROM part")
+@query("version_compare", "SELECT p_partkey, CAST(CASE WHEN p_size = 7 THEN NULL WHEN p_size = 8 THEN 1 ELSE sign(p_size - 12) END AS INTEGER) AS cmp FROM part")
 def version_compare(spark: SparkSession, d: str) -> DataFrame:
-    version = F.when(F.col("p_size") == 7, "draft").otherwise(F.concat(F.lit("0."), "p_size", F.lit(".0")))
+    version = F.when(F.col("p_size") == 7, "draft").when(F.col("p_size") == 8, "000.20260101123456789012345678901234567890").otherwise(F.concat(F.lit("0."), "p_size", F.lit(".0")))
     return _read(spark, d, "part").select("p_partkey", iri.version_order(version, F.lit("0_12")).alias("cmp"))
 
 
@@ -916,6 +948,100 @@ def sha256_digest(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
+# -- rules of rows -----------------------------------------------------------------------------------------------------
+
+#: Texts, a type, and whether they are one of its values.
+_FORMS = [
+    ("1.5", "integer", False), ("1e3", "integer", False), ("+007", "integer", True), ("1234567890123456789012345678901234567890", "integer", True), (" 1", "integer", False), ("", "integer", False),
+    ("1.", "decimal", True), (".5", "decimal", True), (".", "decimal", False), ("1e3", "decimal", False), ("TRUE", "boolean", False), ("1", "boolean", True), ("anything", "string", True),
+    ("2020", "date", False), ("2020-1-1", "date", False), ("2020-02-30", "date", False), ("2020-02-29", "date", True), ("2100-02-29", "date", False), ("12000-02-29", "date", True), ("-0004-02-29", "date", True), ("2020-01-01Z", "date", True),
+    ("2020-01-01+14:00", "date", True), ("2020-01-01+14:30", "date", False), ("2020-01-01", "dateTime", False), ("2020-01-01T24:00:00", "dateTime", True), ("2020-01-01T25:00:00", "dateTime", False),
+    ("2020-01-01T10:00:00.123456789012", "dateTime", True), ("2020-01-01T10:00:00", "dateTimeStamp", False), ("2020-01-01T10:00:00-05:00", "dateTimeStamp", True),
+    ("1.0f", "float", False), ("1.0d", "double", False), ("Infinity", "float", False), ("INF", "float", True), ("-INF", "double", True), ("NaN", "float", True), ("1e400", "double", True), ("1e", "double", False),
+]
+
+
+@query("lexical_forms", f"SELECT o_orderkey, v.col2 AS valid FROM orders JOIN (VALUES {', '.join(f'({k}, {str(ok).lower()})' for k, (_, _, ok) in enumerate(_FORMS))}) v(col1, col2) ON o_orderkey % {len(_FORMS)} = v.col1")
+def lexical_forms(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("o_orderkey") % len(_FORMS)).cast("int")
+    pick = lambda k: F.get(F.array(*(F.lit(f[k]) for f in _FORMS)), at)
+    kind = pick(1)
+    valid = F.coalesce(*(F.when(kind == t, shapes.lexical(pick(0), t)) for t in dict.fromkeys(f[1] for f in _FORMS)))
+    return _read(spark, d, "orders").select("o_orderkey", valid.alias("valid"))
+
+
+@query("class_children", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size % 10 = 3")
+def class_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("m"), F.col("p_size") % 10).alias("schema_id"))
+    return catalog.children(rows, "m3").select("id", "name")
+
+
+@query("schema_delete", "SELECT 'c' || n_nationkey AS id FROM nation WHERE n_regionkey <> 2")
+def schema_delete(spark: SparkSession, d: str) -> DataFrame:
+    schemas, classes, properties = _models(spark, d)
+    return catalog.delete_schema(schemas, classes, properties, "m2")[1].select("id")
+
+
+@query("class_delete", "SELECT 'c' || n_nationkey AS id, CASE WHEN n_nationkey >= 5 AND n_nationkey <> 6 THEN 'c' || n_nationkey - 5 END AS above FROM nation WHERE n_nationkey <> 1")
+def class_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A class goes; the one below it has no parent then."""
+    _, classes, properties = _models(spark, d)
+    return catalog.delete_class(classes, properties, "c1")[0].select("id", F.col("super_class_id").alias("above"))
+
+
+@query("schema_patch", "SELECT 'm' || r_regionkey AS id, CASE WHEN r_regionkey = 1 THEN 'New' ELSE 'Model  of ' || r_name END AS title, CASE WHEN r_regionkey = 1 THEN 'http://new.org/' ELSE 'http://x.org' END AS base_uri, r_regionkey = 1 AS moved FROM region")
+def schema_patch(spark: SparkSession, d: str) -> DataFrame:
+    then = F.to_timestamp(F.lit("2020-01-01"))
+    out = catalog.patch_schema(_models(spark, d)[0].withColumn("modified_at", then), "m1", {"title": "New", "base_uri": "http://new.org"})
+    return out.select("id", "title", "base_uri", (F.col("modified_at") > then).alias("moved"))
+
+
+@query(
+    "row_errors",
+    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'title: required' END, CASE WHEN p_partkey % 3 = 0 THEN 'upper_ontology_iri: no URL' END], lambda x: x IS NOT NULL), ', ') AS of_schema,
+      array_to_string(list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'name: no white space' END, CASE WHEN p_partkey % 3 = 0 THEN 'maps_to_concept_iri: no URL' END], lambda x: x IS NOT NULL), ', ') AS of_class,
+      array_to_string(list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'name: no white space' END, CASE WHEN p_partkey % 7 = 0 THEN 'property_type: object or datatype' END, CASE WHEN p_partkey % 4 = 0 THEN 'domain_class_id: required' END,
+        CASE WHEN p_partkey % 11 = 0 THEN 'mapping_pattern: incomplete template' END, CASE WHEN p_partkey % 13 = 0 THEN 'property_features: unknown' END], lambda x: x IS NOT NULL), ', ') AS of_property FROM part""",
+)
+def row_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all three kinds with what is wrong with them."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    name, url = F.when(k % 5 == 0, "a b").otherwise("ab"), F.when(k % 3 == 0, "no url").when(k % 3 == 1, "urn:x:y").otherwise("")
+    template = F.array(F.struct(F.lit("?this").alias("subject"), F.when(k % 11 == 0, none).otherwise("").alias("predicate"), F.lit("?value").alias("object")))
+    features = F.when(k % 13 == 0, F.array(F.lit("functional"), F.lit("odd"))).when(k % 13 == 1, F.array(F.lit("symmetric")))
+    kind = F.when(k % 7 == 0, "other").when(k % 7 == 1, none).otherwise("object")
+    some = F.when(k % 8 == 0, none).when(k % 8 == 4, "").otherwise("x")
+    joined = lambda c: F.array_join(c, ", ")
+    return _read(spark, d, "part").select(
+        "p_partkey", joined(catalog.schema_errors(some, url, none)).alias("of_schema"), joined(catalog.class_errors(name, url)).alias("of_class"),
+        joined(catalog.property_errors(name, kind, some, template, features)).alias("of_property"),
+    )
+
+
+@query("model_summary", f"{_MODEL} SELECT schema_id, (SELECT count(*) FROM cls c WHERE c.schema_id = s.schema_id) AS classes, count(*) AS properties, count(*) FILTER (WHERE k % 2 = 0) AS mapped, true AS any_mapping FROM prop s GROUP BY schema_id")
+def model_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.summary(*_models(spark, d)[1:])
+
+
+@query("newer_version", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 20 > 9 WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') > '1995-06-01' ELSE false END AS newer FROM orders")
+def newer_version(spark: SparkSession, d: str) -> DataFrame:
+    """By versions, by dates where a version is none, and not where neither tells."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    version = F.when(k % 3 == 0, F.concat(F.lit("1."), k % 20)).when(k % 3 == 1, "draft")
+    day = F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(none)
+    return _read(spark, d, "orders").select("o_orderkey", iri.is_newer(version, day, F.lit("1.9"), F.lit("1995-06-01")).alias("newer"))
+
+
+@query("upper_prefixes", "SELECT page_id, lower(regexp_extract(regexp_replace(url, '[/#]+$', ''), '[^/#]*$')) AS prefix FROM pages")
+def upper_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", iri.upper_prefix(F.col("url")).alias("prefix"))
+
+
+@query("file_names", "SELECT r_regionkey, 'Model_of_' || replace(r_name, ' ', '_') || '.ttl' AS file FROM region")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    return _models(spark, d)[0].select(F.substring("id", 2, 9).cast("long").alias("r_regionkey"), exports.file_name(F.col("title"), ".ttl").alias("file"))
+
+
 # -- exports ---------------------------------------------------------------------------------------------------------
 
 

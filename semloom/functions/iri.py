@@ -96,8 +96,10 @@ def first_link(markdown: Column) -> tuple[Column, Column]:
 
 
 def version_parts(version: Column) -> Column:
-    """The numbers of a version, null if a part is none."""
-    parts = F.transform(F.split(version, "[._-]"), lambda x: F.expr("int(null)") if x is None else F.when(x.rlike("^[0-9]+$"), x.cast("int")))
+    """The numbers of a version, of any length, as (digits, text without leading zeros), which order as numbers do; null if
+    a part is none."""
+    plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    parts = F.transform(F.split(version, "[._-]"), lambda x: F.when(x.rlike("^[0-9]+$"), F.struct(F.length(plain(x)).alias("digits"), plain(x).alias("text"))))
     return F.when(F.forall(parts, lambda x: x.isNotNull()), parts)
 
 
@@ -105,7 +107,8 @@ def version_order(one: Column, other: Column) -> Column:
     """-1, 0 or 1 as one comes before, with or after other; missing parts are 0; null where one is no version."""
     a, b = version_parts(one), version_parts(other)
     n = F.greatest(F.size(a), F.size(b))
-    pad = lambda x: F.concat(x, F.array_repeat(F.lit(0), (n - F.size(x)).cast("int")))
+    zero = F.struct(F.lit(1).alias("digits"), F.lit("0").alias("text"))
+    pad = lambda x: F.concat(x, F.array_repeat(zero, (n - F.size(x)).cast("int")))
     known = a.isNotNull() & b.isNotNull()
     return F.when(known & (pad(a) > pad(b)), 1).when(known & (pad(a) < pad(b)), -1).when(known, 0)
 

@@ -29,13 +29,31 @@ class Shape:
     properties: tuple[Property, ...]
 
 
+#: How XSD types are written. Types that aren't here take any text.
+_SIGNED, _DIGITS = "[+-]?", r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+_DAY, _ZONE = r"-?(?:[1-9][0-9]{3,}|0[0-9]{3})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])", r"(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))"
+_TIME = r"T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)"
+LEXICAL = {
+    "boolean": "true|false|1|0", "integer": f"{_SIGNED}[0-9]+", "decimal": _SIGNED + _DIGITS,
+    "float": f"{_SIGNED}{_DIGITS}(?:[eE]{_SIGNED}[0-9]+)?|[+-]?INF|NaN", "double": f"{_SIGNED}{_DIGITS}(?:[eE]{_SIGNED}[0-9]+)?|[+-]?INF|NaN",
+    "date": f"{_DAY}{_ZONE}?", "dateTime": f"{_DAY}{_TIME}{_ZONE}?", "dateTimeStamp": _DAY + _TIME + _ZONE,
+}
+
+
 def lexical(value: Column, datatype: str) -> Column:
-    """Whether a text is a value of an XSD type."""
-    if datatype == "boolean":
-        return value.isin("true", "false", "1", "0")
-    if datatype == "dateTimeStamp":
-        return value.try_cast("timestamp").isNotNull() & value.rlike(r"(Z|[+-]\d\d:\d\d)$")
-    return value.try_cast(XSD_TYPES[datatype]).isNotNull()
+    """Whether a text is a value of an XSD type, as it is written: white space around it makes it none. Days must exist in
+    the calendar, in any year; numbers may have any number of digits."""
+    if datatype not in XSD_TYPES:
+        raise ValueError(f"unknown type {datatype}")
+    if datatype not in LEXICAL:
+        return value.isNotNull()
+    written = value.rlike(rf"\A(?:{LEXICAL[datatype]})\z")
+    if not datatype.startswith("date"):
+        return written
+    # the calendar repeats after 400 years, and the last four digits tell the place within
+    parts = [F.regexp_extract(value, r"\A(-?)[0-9]*?([0-9]{4})(-[0-9]{2}-[0-9]{2})", k) for k in (1, 2, 3)]
+    year = F.pmod(F.when(parts[0] == "-", -parts[1].try_cast("int")).otherwise(parts[1].try_cast("int")), F.lit(400)) + 2000
+    return written & F.concat(year.cast("string"), parts[2]).try_cast("date").isNotNull()
 
 
 @dataclass(frozen=True)
@@ -47,7 +65,7 @@ class Range:
 
     def holds(self, value: Column) -> Column:
         typed = reduce(lambda a, b: a | b, (lexical(value, t) for t in self.datatypes))
-        return typed if self.least is None else typed & F.coalesce(value.try_cast("decimal(38,18)") >= self.least, F.lit(False))
+        return typed if self.least is None else typed & F.coalesce(value.try_cast("decimal(38,18)") >= self.least, value.try_cast("double") >= self.least, F.lit(False))
 
 
 def out_of_range(literals: DataFrame, ranges: dict[str, Range]) -> DataFrame:

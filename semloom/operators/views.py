@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semloom.functions import iri
 from semloom.model import TEMPLATE, TYPE, XSD
+from semloom.operators.exports import references
 from semloom.sources.catalog import json_array
 
 #: The property that types a node, offered beside those of an upper ontology.
@@ -110,16 +111,17 @@ def diagram_edges(classes: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def class_blocks(classes: DataFrame, prefixes: dict[str, str], owl: bool) -> DataFrame:
-    """(schema_id, ord, value): each class of every model as a Turtle block, for classes (schema_id, ord, id, url, label,
-    description, maps_to_concept_iri, super_class_id). RDFS leaves out the classes of the upper ontology."""
-    above = classes.select("schema_id", F.col("id").alias("super_class_id"), F.col("url").alias("above"))
+    """(schema_id, ord, value): each class of every model as a Turtle block, for classes (schema_id, ord, id, url, name,
+    label, description, maps_to_concept_iri, super_class_id). Classes go by their canonical names."""
+    refs = references(classes)
+    above = refs.select("schema_id", F.col("id").alias("super_class_id"), F.col("ref").alias("above"))
     quoted = lambda c: F.concat(F.lit('"'), iri.escaped(F.nullif(F.col(c), F.lit(""))), F.lit('"'))
     pair = lambda p, o: F.concat(F.lit(p + " "), o)
-    pairs = [F.lit("a owl:Class" if owl else "a rdfs:Class"), pair("rdfs:label", quoted("label")), pair("rdfs:comment", quoted("description")), pair("rdfs:subClassOf", iri.shortened(F.col("above"), prefixes))]
+    pairs = [F.lit("a owl:Class" if owl else "a rdfs:Class"), pair("rdfs:label", quoted("label")), pair("rdfs:comment", quoted("description")), pair("rdfs:subClassOf", F.col("above"))]
     if owl:
         pairs.append(pair("rdfs:subClassOf", iri.shortened(F.col("maps_to_concept_iri"), prefixes)))
-    text = F.concat(iri.shortened(F.col("url"), prefixes), F.lit("\n    "), F.array_join(F.array_compact(F.array(*pairs)), " ;\n    "), F.lit(" ."))
-    return classes.join(above, ["schema_id", "super_class_id"], "left").select("schema_id", "ord", text.alias("value"))
+    text = F.concat(F.col("ref"), F.lit("\n    "), F.array_join(F.array_compact(F.array(*pairs)), " ;\n    "), F.lit(" ."))
+    return classes.join(refs.select("schema_id", "id", "ref"), ["schema_id", "id"]).join(above, ["schema_id", "super_class_id"], "left").select("schema_id", "ord", text.alias("value"))
 
 
 def shape_counts(classes: DataFrame, properties: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from semloom.functions.iri import FEATURES, base_uri
 from semloom.model import TEMPLATE
 
 
@@ -65,6 +66,14 @@ def patch(table: DataFrame, id_: str, values: dict[str, object], clearable: bool
     return out
 
 
+def patch_schema(schemas: DataFrame, id_: str, values: dict[str, object]) -> DataFrame:
+    """A model's row changed and stamped with the time: whatever is given of title, description, upper_ontology_iri and
+    base_uri, which gets / at its end where it has neither / nor #."""
+    given = {k: base_uri(F.lit(v)) if k == "base_uri" and v is not None else F.lit(v) for k, v in values.items() if k in ("title", "description", "upper_ontology_iri", "base_uri")}
+    mine = F.col("id") == id_
+    return schemas.withColumns({k: F.when(mine, v.cast("string")).otherwise(F.col(k)) for k, v in given.items()} | {"modified_at": F.when(mine, F.current_timestamp()).otherwise(F.col("modified_at"))})
+
+
 def delete(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """Rows whose key is not among gone (key)."""
     return table.join(gone.select(F.col(gone.columns[0]).alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "left_anti")
@@ -96,10 +105,6 @@ def json_array(text: Column, element: str = "string") -> Column:
     return F.coalesce(F.from_json(text, kind), F.array().cast(kind))
 
 
-def pattern_array(text: Column) -> Column:
-    return json_array(text, TEMPLATE)
-
-
 def errors(title: Column, name: Column, kind: Column) -> Column:
     """What is wrong with a row: an array, empty where all is right."""
     return F.array_compact(
@@ -111,6 +116,52 @@ def errors(title: Column, name: Column, kind: Column) -> Column:
     )
 
 
+#: A URL: a scheme and something after it, without white space.
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"
+
+
+def _problems(*rules: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*(F.when(~F.coalesce(holds, F.lit(False)), text) for holds, text in rules)))
+
+
+def _url(value: Column) -> Column:
+    """Nothing, or a URL."""
+    return value.isNull() | (value == "") | value.rlike(_URL)
+
+
+def _word(name: Column) -> Column:
+    return name.rlike(r"^\S+$")
+
+
+def schema_errors(title: Column, upper_ontology_iri: Column, base_uri: Column) -> Column:
+    """What is wrong with a model's row: an array, empty where all is right."""
+    return _problems((F.length(title) > 0, "title: required"), (_url(upper_ontology_iri), "upper_ontology_iri: no URL"), (_url(base_uri), "base_uri: no URL"))
+
+
+def class_errors(name: Column, maps_to_concept_iri: Column) -> Column:
+    return _problems((_word(name), "name: no white space"), (_url(maps_to_concept_iri), "maps_to_concept_iri: no URL"))
+
+
+def property_errors(name: Column, kind: Column, domain_class_id: Column, pattern: Column, features: Column) -> Column:
+    """A kind that is null counts as datatype; the templates of a pattern have a subject, a predicate and an object, which
+    may be empty."""
+    known = F.array(*map(F.lit, FEATURES))
+    whole = pattern.isNull() | F.forall(pattern, lambda t: t["subject"].isNotNull() & t["predicate"].isNotNull() & t["object"].isNotNull())
+    return _problems(
+        (_word(name), "name: no white space"), (F.coalesce(kind, F.lit("datatype")).isin("object", "datatype"), "property_type: object or datatype"), (F.length(domain_class_id) > 0, "domain_class_id: required"),
+        (whole, "mapping_pattern: incomplete template"), (features.isNull() | (F.size(F.array_except(features, known)) == 0), "property_features: unknown"),
+    )
+
+
+def summary(classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """(schema_id, classes, properties, mapped, any_mapping) of each model: how many there are, how many properties have a
+    pattern, and whether any class is mapped to a concept or any property has a pattern."""
+    c = classes.groupBy("schema_id").agg(F.count("*").alias("classes"), F.bool_or(F.coalesce(F.col("maps_to_concept_iri") != "", F.lit(False))).alias("_any"))
+    p = properties.groupBy("schema_id").agg(F.count("*").alias("properties"), F.count_if(F.size("pattern") > 0).alias("mapped"))
+    out = c.join(p, "schema_id", "full").na.fill(0, ["classes", "properties", "mapped"])
+    return out.select("schema_id", "classes", "properties", "mapped", (F.coalesce("_any", F.lit(False)) | (F.col("mapped") > 0)).alias("any_mapping"))
+
+
 def inherited(classes: DataFrame, properties: DataFrame) -> DataFrame:
     """(class_id, property_id) of the properties of the direct parent."""
     return classes.join(properties, classes["super_class_id"] == properties["domain_class_id"]).select(classes["id"].alias("class_id"), properties["id"].alias("property_id"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from semloom.operators.reasoning import written
 from semloom.plans.abox import View, edges_of
 
-_TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)'
-_LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+<([^>]*)>\s+{_TERM}\s*\.\s*(?:#.*)?$"
+#: How terms are written. A label doesn't end with a full stop; white space between terms may be left out.
+_IRI, _BLANK, _TAG = r"<[^<>\"\s]*>", r"_:[^\s<>\"#.](?:[^\s<>\"#]*[^\s<>\"#.])?", r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*"
+_TERM = rf'({_IRI}|{_BLANK}|"(?:[^"\\]|\\.)*"(?:{_TAG}|\^\^{_IRI})?)'
+_LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*{_TERM}\s*\.\s*(?:#.*)?$"
 
 
 #: What a letter stands for after a backslash; any other sign stands for itself.
@@ -33,20 +35,25 @@ def parse_ntriples(lines: DataFrame) -> DataFrame:
     """Triples (ord, s, s_kind, p, o, o_kind, o_lang, o_dtype) of lines (ord, value) of N-Triples, in expressions only.
 
     Blank lines and comments give none; a line that is no triple is dropped, so a broken document is read as far as it
-    holds. All escapes of literals are decoded.
+    holds, and rejected() has what was dropped. All escapes of literals and IRIs are decoded.
     """
     part = lambda k: F.regexp_extract("value", _LINE, k)
     s, o = part(1), part(3)
     kind = lambda t: F.when(t.startswith("<"), "iri").when(t.startswith("_:"), "blank").otherwise("literal")
-    bare = lambda t: F.when(t.startswith("<"), F.regexp_replace(t, "^<|>$", "")).when(t.startswith("_:"), t)
+    bare = lambda t: F.when(t.startswith("<"), unescaped(F.regexp_replace(t, "^<|>$", ""))).when(t.startswith("_:"), t)
     text = unescaped(F.regexp_extract(o, r'^"((?:[^"\\]|\\.)*)"', 1))
     null = lambda c: F.nullif(c, F.lit(""))
     return lines.filter(F.col("value").rlike(_LINE)).select(
-        "ord", bare(s).alias("s"), kind(s).alias("s_kind"), part(2).alias("p"), F.coalesce(bare(o), text).alias("o"), kind(o).alias("o_kind"),
-        null(F.regexp_extract(o, r'"@([A-Za-z-]+)$', 1)).alias("o_lang"), null(F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1)).alias("o_dtype"),
+        "ord", bare(s).alias("s"), kind(s).alias("s_kind"), bare(part(2)).alias("p"), F.coalesce(bare(o), text).alias("o"), kind(o).alias("o_kind"),
+        null(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)).alias("o_lang"), null(F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1)).alias("o_dtype"),
     )
 
 
+def rejected(lines: DataFrame) -> DataFrame:
+    """The lines (ord, value) that parse_ntriples() drops though they aren't blank or a comment."""
+    return lines.filter(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """The triples of N-Triples files; ord follows the place in a file, file by file."""
     lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
