@@ -1147,3 +1147,44 @@ def uml_graph(spark: SparkSession, d: str) -> DataFrame:
 @query("canonical_names", f"{_TEXTS} SELECT schema_id, url, ref FROM c")
 def canonical_names(spark: SparkSession, d: str) -> DataFrame:
     return exports.references(_models(spark, d)[1]).select("schema_id", "url", "ref")
+
+
+# -- shapes of many models -------------------------------------------------------------------------------------------
+
+
+@query(
+    "shape_table_report",
+    """WITH sh AS (SELECT DISTINCT 'S' || s_nationkey AS shape, s_nationkey AS target, s_suppkey % 3 AS p, s_suppkey % 2 AS least, s_suppkey % 5 AS c FROM supplier),
+    t AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 4 AS way FROM customer), top AS (SELECT max(c_custkey) AS m FROM customer),
+    v AS (SELECT k, 0 AS p, CASE WHEN way = 0 THEN k || '.5' ELSE '-' || k END AS value, NULL AS o FROM t WHERE way < 3 UNION ALL SELECT k, 1, 'customer/' || (k + 1), k + 1 FROM t UNION ALL SELECT k, 2, 'customer/' || (k * 3), k * 3 FROM t WHERE way > 0),
+    a AS (SELECT 'customer/' || k AS focus, k, sh.* FROM t JOIN sh ON target = n)
+    SELECT focus, 'p' || p AS path, 'minCount' AS kind, NULL AS value, shape FROM a WHERE least > 0 AND NOT EXISTS (SELECT 1 FROM v WHERE v.k = a.k AND v.p = a.p)
+    UNION SELECT focus, 'p0', 'datatype', value, shape FROM a JOIN v USING (k, p) WHERE p = 0 AND value LIKE '%.5'
+    UNION SELECT focus, 'p' || a.p, CASE a.p WHEN 1 THEN 'or' ELSE 'class' END, value, shape FROM a JOIN v ON v.k = a.k AND v.p = a.p LEFT JOIN t x ON x.k = v.o
+      WHERE a.p > 0 AND NOT coalesce(x.n = a.c OR a.p = 1 AND x.n = a.c + 5, false)""",
+)
+def shape_table_report(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as rows of the shapes of nations, which customers of a nation must meet."""
+    c, k = _read(spark, d, "customer"), F.col("c_custkey")
+    me, node = individual("customer", "c_custkey"), lambda x: F.concat(F.lit("c"), x)
+    way = k % 4
+    values = F.array(
+        F.struct(F.lit("p0").alias("p"), F.when(way == 0, F.concat(k, F.lit(".5"))).when(way < 3, F.concat(F.lit("-"), k)).alias("o")),
+        F.struct(F.lit("p1").alias("p"), individual("customer", k + 1).alias("o")), F.struct(F.lit("p2").alias("p"), F.when(way > 0, individual("customer", k * 3)).alias("o")),
+    )
+    facts = c.select(me.alias("s"), F.explode(values).alias("v")).select("s", "v.p", "v.o")
+    x, p = F.col("s_suppkey"), F.col("s_suppkey") % 3
+    table = _read(spark, d, "supplier").select(
+        F.concat(F.lit("S"), "s_nationkey").alias("shape"), node(F.col("s_nationkey")).alias("target"), F.concat(F.lit("p"), p).alias("path"), (x % 2).cast("int").alias("least"),
+        F.when(p == 0, "integer").alias("datatype"), F.when(p == 1, F.array(node(x % 5), node(x % 5 + 5))).when(p == 2, F.array(node(x % 5))).alias("classes"),
+    )
+    return shapes.report(facts, c.select(me.alias("s"), node(F.col("c_nationkey")).alias("c")), table)
+
+
+@query(
+    "model_shape_rows",
+    f"""{_TEXTS}, r AS (SELECT p.schema_id, p.name, p.domain, string_agg(DISTINCT c.url, ' ' ORDER BY c.url) AS urls FROM prop p JOIN c ON c.url = p.range AND c.schema_id = p.schema_id WHERE p.k % 3 <> 0 GROUP BY 1, 2, 3)
+    SELECT dname || 'Shape' AS shape, g.name AS path, CAST(k % 2 AS INTEGER) AS least, CASE WHEN NOT object THEN 'string' END AS datatype, urls AS classes FROM g LEFT JOIN r ON r.schema_id = g.schema_id AND r.name = g.name AND r.domain = g.domain""",
+)
+def model_shape_rows(spark: SparkSession, d: str) -> DataFrame:
+    return shapes.model_shapes(*_models(spark, d)[1:]).select("shape", "path", "least", "datatype", F.array_join("classes", " ").alias("classes"))

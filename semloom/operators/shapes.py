@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semloom.model import XSD_TYPES
+from semloom.model import XSD, XSD_TYPES
 from semloom.operators.reasoning import propagate_types
 from semloom.plans.abox import View, edges_of
 
@@ -99,3 +99,45 @@ def violations(triples: View | DataFrame, types: DataFrame, shape: Shape, closur
     if not parts:
         return focus.limit(0).select("focus", *(F.lit(None).cast("string").alias(c) for c in ("path", "kind", "value", "shape")))
     return reduce(DataFrame.unionByName, parts)
+
+
+# -- shapes as a table -----------------------------------------------------------------------------------------------
+
+
+def model_shapes(classes: DataFrame, properties: DataFrame) -> DataFrame:
+    """Shapes (shape, target, path, least, datatype, classes) of all models of tables as exports takes them: one for each name
+    among a class's properties. Object properties ask for one of the classes that they range over, others for a type of
+    their first row; null where nothing is asked."""
+    ends = classes.select("schema_id", F.col("url").alias("range_class_iri"), F.lit(True).alias("_own"))
+    domains = classes.select("schema_id", F.col("id").alias("domain_class_id"), F.col("url").alias("target"), F.concat("name", F.lit("Shape")).alias("shape"))
+    rows = properties.join(domains, ["schema_id", "domain_class_id"]).join(ends, ["schema_id", "range_class_iri"], "left")
+    own = F.array_sort(F.collect_set(F.when(F.col("_own") & (F.col("property_type") == "object"), F.col("range_class_iri"))))
+    first = F.min_by(F.struct("is_required", "property_type", "range_class_iri"), F.struct("ord", "id")).alias("f")
+    groups = rows.groupBy("schema_id", "shape", "target", F.col("name").alias("path")).agg(own.alias("classes"), first)
+    typed = F.when((F.col("f.property_type") == "datatype") & F.startswith("f.range_class_iri", F.lit(XSD)), F.substring("f.range_class_iri", len(XSD) + 1, 99))
+    return groups.select("shape", "target", "path", F.coalesce(F.col("f.is_required").cast("int"), F.lit(0)).alias("least"), typed.alias("datatype"), F.when(F.size("classes") > 0, F.col("classes")).alias("classes"))
+
+
+def report(triples: DataFrame, types: DataFrame, shapes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """(focus, path, kind, value, shape) for what breaks shapes (shape, target, path, least, datatype, classes), of any number
+    of models at once, in triples (s, p, o) and types (s, c).
+
+    An individual of a target, or of what a closure (sub, sup) puts below it, meets the rows of its shapes, and each row
+    the individual's values: joins on class and path, so that the plan is the same for any number of shapes. Rows of one
+    shape and path are separate constraints. A datatype that isn't known is met by no value.
+    """
+    types = propagate_types(types, closure) if closure is not None else types.select("s", "c").distinct()
+    values = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value")).filter("value IS NOT NULL").distinct()
+    rows = shapes.select("shape", F.col("target").alias("c"), "path", "least", "datatype", "classes").distinct()
+    asked = types.select(F.col("s").alias("focus"), "c").join(rows, "c").drop("c").distinct()
+    met = asked.join(values, ["focus", "path"], "left")
+    out = lambda df, kind, value: df.select("focus", "path", kind.alias("kind"), value.cast("string").alias("value"), "shape")
+    few = asked.filter("least > 0").join(values.groupBy("focus", "path").agg(F.count("*").alias("n")), ["focus", "path"], "left").filter("coalesce(n, 0) < least")
+    fits = F.coalesce(*(F.when(F.col("datatype") == t, lexical(F.col("value"), t)) for t in XSD_TYPES), F.lit(False))
+    wrong = met.filter(F.col("value").isNotNull() & F.col("datatype").isNotNull() & ~fits)
+    classed = met.filter("value IS NOT NULL AND classes IS NOT NULL").select("focus", "path", "shape", "value", "classes").distinct()
+    held = classed.select("focus", "path", "shape", "value", "classes", F.explode("classes").alias("c")).join(types.select(F.col("s").alias("value"), "c"), ["value", "c"])
+    key = ["focus", "path", "shape", "value", "classes"]
+    outside = classed.join(held.select(*key), key, "left_anti")
+    kind = F.when(F.size("classes") == 1, "class").otherwise("or")
+    return out(few, F.lit("minCount"), F.lit(None)).unionByName(out(wrong, F.lit("datatype"), F.col("value"))).unionByName(out(outside, kind, F.col("value"))).distinct()
