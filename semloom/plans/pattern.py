@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semloom.functions.iri import shorten
 from semloom.model import TYPE
-from semloom.plans.abox import View, edges_of
+from semloom.plans.abox import Branch, Term, View, edges_of
 
 THIS, VALUE = "?this", "?value"
 
@@ -29,17 +29,16 @@ def evaluate(pattern: list[Template], view: View | DataFrame) -> DataFrame:
     """The distinct pairs (this, value) for which every template holds in a triples view (s, p, o).
 
     Templates without predicate are left out. Each next template shares a variable with those before it where one
-    does, so no product of unrelated templates arises; patterns in several parts are refused.
+    does, so no product of unrelated templates arises; patterns in several parts are refused. Where each template of a view
+    has one branch, tables are joined on their own keys and names are made of what is left in the end.
     """
     left = [t for t in pattern if t.predicate]
+    if isinstance(view, View) and (keyed := _by_keys(left, view)) is not None:
+        return keyed
     bound: DataFrame | None = None
     while left:
         known = set() if bound is None else set(bound.columns)
-        todo = next((t for t in left if known & {t.subject, t.object}), None)
-        if todo is None:
-            if bound is not None:
-                raise ValueError("the templates are not connected")
-            todo = left[0]
+        todo = _next(left, known)
         left.remove(todo)
         step = edges_of(view, todo.predicate, objects=() if is_variable(todo.object) else (todo.object,))
         names = [(c, term) for c, term in (("s", todo.subject), ("o", todo.object))]
@@ -62,6 +61,53 @@ def evaluate(pattern: list[Template], view: View | DataFrame) -> DataFrame:
     return bound.select(F.col(THIS).alias("this"), F.col(VALUE).alias("value")).distinct()
 
 
+def _next(left: list[Template], known: set[str]) -> Template:
+    """The template to join next: of those that meet what is known, one that only restricts it, else one with most ends
+    known; to begin with, the first."""
+    met = [t for t in left if known & {t.subject, t.object}]
+    if not met:
+        if known:
+            raise ValueError("the templates are not connected")
+        return left[0]
+    return min(met, key=lambda t: sum(is_variable(x) and x not in known for x in (t.subject, t.object)))
+
+
+def _by_keys(templates: list[Template], view: View) -> DataFrame | None:
+    """evaluate() on the tables' own keys; None where a template has several branches or none, or a constant subject."""
+    chosen: dict[Template, Branch] = {}
+    for t in templates:
+        found = view.matching(t.predicate, objects=() if is_variable(t.object) else (t.object,))
+        if len(found) != 1 or not is_variable(t.subject) or t.subject == t.object or (not is_variable(t.object) and found[0].o.constant is None):
+            return None
+        chosen[t] = found[0]
+    terms: dict[str, Term] = {}
+    for t, b in chosen.items():
+        for variable, term in ((t.subject, b.s), (t.object, b.o)):
+            if is_variable(variable):
+                if term.constant is not None or terms.setdefault(variable, term).before != term.before:
+                    return None
+    if not {THIS, VALUE} <= set(terms):
+        raise ValueError("a pattern must bind ?this and ?value")
+    # what a row has as its key is of the key's class: a type says nothing new of a variable that is one anyway
+    keys = {(t.subject, b.table, b.s) for t, b in chosen.items() if b.o.constant is None}
+    left = [t for t, b in chosen.items() if b.o.constant is None or (t.subject, b.table, b.s) not in keys]
+    bound: DataFrame | None = None
+    while left:
+        known = set() if bound is None else set(bound.columns)
+        todo = _next(left, known)
+        left.remove(todo)
+        b = chosen[todo]
+        ends = [(todo.subject, b.s), *([(todo.object, b.o)] if is_variable(todo.object) else [])]
+        step = view.table(b.table).select(*(x.raw.alias(v) for v, x in ends))
+        for v, _ in ends:
+            step = step.filter(F.col(v).isNotNull())
+        bound = step if bound is None else bound.join(step, [v for v, _ in ends if v in known])
+        needed = {THIS, VALUE}.union(*({t.subject, t.object} for t in left))
+        bound = bound.select(*(c for c in bound.columns if c in needed))
+    pairs = bound.select(THIS, VALUE).distinct()
+    return pairs.select(terms[THIS].name(F.col(THIS)).alias("this"), terms[VALUE].name(F.col(VALUE)).alias("value"))
+
+
 def reverse(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("value").alias("this"), F.col("this").alias("value"))
 
