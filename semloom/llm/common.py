@@ -78,7 +78,7 @@ def space_words(text: str | None) -> list[bytes]:
 
 
 class WordHashes:
-    """64-bit hashes of words; keeps those of up to limit words, which changes no hash."""
+    """64-bit hashes of words; keeps those of up to 4 * limit words of no more than 64 bytes, which changes no hash."""
 
     def __init__(self, limit: int = 200_000):
         self.limit, self.seen = limit, {}
@@ -90,9 +90,14 @@ class WordHashes:
         out = np.empty(len(words), dtype=np.uint64)
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
+            long = False
             for w in set(part).difference(seen):
-                seen[w] = digest(w)
-            out[at : at + len(part)] = np.fromiter(map(seen.__getitem__, part), dtype=np.uint64, count=len(part))
+                if len(w) <= 64:
+                    seen[w] = digest(w)
+                else:
+                    long = True
+            own = (seen[w] if len(w) <= 64 else digest(w) for w in part) if long else map(seen.__getitem__, part)
+            out[at : at + len(part)] = np.fromiter(own, dtype=np.uint64, count=len(part))
             if len(seen) > 4 * self.limit:
                 seen.clear()
         return out

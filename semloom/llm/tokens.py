@@ -95,25 +95,34 @@ def _cut(part: str, add: Callable[[str], None]) -> None:
         add(part)
 
 
+#: Units of more characters are rarely seen twice, and are not kept.
+KEPT_LENGTH = 64
+
+
 class _Units(dict):
-    """The ids of units, made when first asked for."""
+    """The ids of units, made when first asked for; those of short units are kept, until there are more than limit of them.
+    As a unit has a bounded length, so has what is kept."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, tokenizer: Tokenizer, limit: int):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.limit = tokenizer, limit
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-        found = self[unit] = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[unit] = found
         return found
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers; keeps the ids of up to limit units, which changes no result."""
+    """Ids of texts as little-endian 32-bit integers; keeps the ids of up to limit short units, which changes no result."""
 
-    def __init__(self, name: str = TOKENIZER, limit: int = 500_000):
-        self.tokenizer, self.limit = load(name), limit
-        self.seen = _Units(self.tokenizer)
+    def __init__(self, name: str = TOKENIZER, limit: int = 300_000):
+        self.tokenizer = load(name)
+        self.seen = _Units(self.tokenizer, limit)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -121,10 +130,7 @@ class Encoder:
         return b"".join(map(self._slice, _slices(text)))
 
     def _slice(self, text: str) -> bytes:
-        out = b"".join(map(self.seen.__getitem__, units(text)))
-        if len(self.seen) > self.limit:
-            self.seen.clear()
-        return out
+        return b"".join(map(self.seen.__getitem__, units(text)))
 
 
 @lru_cache(maxsize=1)
@@ -223,8 +229,9 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, who
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs (doc_id, text).
 
     Counts what the library gives for the whole text without begin, end or added special tokens; special strings
-    inside a text are what the library takes them for. A null text counts as empty. Copies of a huge text are encoded
-    once. Repeated rows and rows with a null doc_id come back as they are; other columns are not read.
+    inside a text are what the library takes them for. A null text counts as empty, an empty table gives no row. Copies of a
+    huge text are encoded once; a very long one without spaces is cut into chunks as any other, which widen until they can
+    be spliced. Repeated rows and rows with a null doc_id come back as they are; other columns are not read.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

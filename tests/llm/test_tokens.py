@@ -24,3 +24,24 @@ def test_counts_with_small_chunks(spark):
     want = [(i, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert tokens.token_counts(df.limit(0)).count() == 0
+
+
+def test_long_units_are_not_kept():
+    rng = random.Random(6)
+    encode, tokenizer = tokens.Encoder(limit=50), tokens.load()
+    for k in range(40):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) + f" word{k} and more"
+        assert list(memoryview(encode(text)).cast("I")) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encode.seen) <= 50 and sum(len(u) for u in encode.seen) <= 50 * tokens.KEPT_LENGTH
+
+
+def test_word_hashes_keep_short_words_only():
+    import xxhash
+
+    from semloom.llm.common import WordHashes
+
+    words = [b"a", b"b" * 64, b"c" * 65, b"d" * 100_000, b"a"] * 3 + [f"w{k}".encode() for k in range(90)]
+    hashes = WordHashes(limit=10)
+    assert [*hashes(words)] == [xxhash.xxh3_64_intdigest(w) for w in words] == [*hashes(words)]
+    hashes(words[:5])
+    assert set(hashes.seen) == {b"a", b"b" * 64}
