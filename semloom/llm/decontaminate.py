@@ -22,6 +22,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), WORD_SEPARATORS), lambda w: w != "")
 
 
+def _count(x: Column) -> Column:
+    """The length of an array, 0 for null: size() of null is null or -1, as the session's ANSI mode will have it."""
+    return F.when(x.isNull(), 0).otherwise(F.size(x)).cast("long")
+
+
 def _each(n: Column, f) -> Column:
     """f(i) for i from 0 to n - 1."""
     return F.transform(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")), f)
@@ -100,9 +105,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     own = found.select("key", "window").distinct().join(owned.select("window", "item"), "window").select("key", "item").distinct()
     named = own.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     facts = materialise(hit.join(named, "key"), "facts")
-    out = docs.select("doc_id", "key", F.coalesce(F.size(_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words")).join(facts, "key", "left")
+    out = docs.select("doc_id", "key", _count(_words(F.col("text"))).alias("n_words")).join(facts, "key", "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), _count(F.col("items")).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

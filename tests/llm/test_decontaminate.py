@@ -55,3 +55,16 @@ def test_many_copies_of_a_text_and_repeated_passages(spark):
     assert len(got) == len(docs)
     for i, row in got.items():
         assert row[1:] == want[0 if i < 1000 else 1000 if i < 2000 else 2000][1:]
+
+
+def test_with_and_without_ansi_mode(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "nothing here"), (4, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two")], "item_id long, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination(docs, items).collect()}
+            assert got == {1: (0, 0, 0, False), 2: (0, 0, 0, False), 3: (2, 0, 0, False), 4: (2, 2, 1, True)}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
