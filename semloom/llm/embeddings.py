@@ -202,7 +202,9 @@ def near_duplicates(table: DataFrame, least: float = LEAST, recall: float = RECA
     one vector is compared, chosen by its digest, and all get its results. Equal vectors are one class that is compared
     once. Other columns are not read.
     """
-    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # floats stay floats, which doubles hold exactly; all other numbers are compared as doubles
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    table = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     sound = table.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)))
     sound = sound.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))

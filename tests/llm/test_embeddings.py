@@ -58,3 +58,9 @@ def test_large_groups_of_near_and_of_equal_vectors(spark, monkeypatch):
     assert [r[0::2] for r in got] == [r[0::2] for r in want] and got[500:] == want[500:]
     # of the many pairs near the limit, as many as the stated recall says; none that is below it
     assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(g[1] for g in got) >= 0.996 * sum(w[1] for w in want)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e300, 0.0]), (3, [0.0, 1e-300]), (4, [1e-310, 1e-310])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
