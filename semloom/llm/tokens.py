@@ -95,34 +95,36 @@ def _cut(part: str, add: Callable[[str], None]) -> None:
         add(part)
 
 
-#: Units of more characters are rarely seen twice, and are not kept.
-KEPT_LENGTH = 64
+#: Units of more characters are rarely seen twice, and are not kept; the others are, in about so many bytes.
+KEPT_LENGTH, KEPT_BYTES = 64, 160 << 20
 
 
 class _Units(dict):
-    """The ids of units, made when first asked for; those of short units are kept, until there are more than limit of them.
-    As a unit has a bounded length, so has what is kept."""
+    """The ids of units, made when first asked for; those of short units are kept in about so many bytes."""
 
-    def __init__(self, tokenizer: Tokenizer, limit: int):
+    def __init__(self, tokenizer: Tokenizer, room: int):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.room, self.left = tokenizer, room, room
 
     def __missing__(self, unit: str) -> bytes:
         ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(unit) <= KEPT_LENGTH:
-            if len(self) >= self.limit:
+            self.left -= 150 + 4 * len(unit) + len(found)
+            if self.left < 0:
                 self.clear()
+                self.left = self.room
             self[unit] = found
         return found
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers; keeps the ids of up to limit short units, which changes no result."""
+    """Ids of texts as little-endian 32-bit integers; keeps the ids of short units in about so many bytes, which changes no
+    result."""
 
-    def __init__(self, name: str = TOKENIZER, limit: int = 300_000):
+    def __init__(self, name: str = TOKENIZER, room: int = KEPT_BYTES):
         self.tokenizer = load(name)
-        self.seen = _Units(self.tokenizer, limit)
+        self.seen = _Units(self.tokenizer, room)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

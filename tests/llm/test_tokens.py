@@ -10,7 +10,7 @@ def texts():
 
 
 def test_units_and_encoder_match_the_library():
-    tokenizer, encode = tokens.load(), tokens.Encoder(limit=500)
+    tokenizer, encode = tokens.load(), tokens.Encoder(room=50_000)
     for text in texts():
         whole = tokenizer.encode(text, add_special_tokens=False).ids
         assert "".join(tokens.units(text)) == text
@@ -28,11 +28,11 @@ def test_counts_with_small_chunks(spark):
 
 def test_long_units_are_not_kept():
     rng = random.Random(6)
-    encode, tokenizer = tokens.Encoder(limit=50), tokens.load()
+    encode, tokenizer = tokens.Encoder(room=5_000), tokens.load()
     for k in range(40):
         text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) + f" word{k} and more"
         assert list(memoryview(encode(text)).cast("I")) == tokenizer.encode(text, add_special_tokens=False).ids
-    assert len(encode.seen) <= 50 and sum(len(u) for u in encode.seen) <= 50 * tokens.KEPT_LENGTH
+    assert 0 < sum(150 + 4 * len(u) + len(ids) for u, ids in encode.seen.items()) <= 5_500 and all(len(u) <= tokens.KEPT_LENGTH for u in encode.seen)
 
 
 def test_word_hashes_keep_short_words_only():
