@@ -16,6 +16,8 @@ from semloom.llm.common import WORD_SEPARATORS, ascii_lower, materialise
 WINDOW = 10
 #: Benchmark tables of up to so many bytes, summed first, are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: So many values has the hash by which texts without a hit are held back from the shuffle.
+SIEVE = 1 << 18
 
 
 def _words(text: Column) -> Column:
@@ -32,8 +34,16 @@ def _each(n: Column, f) -> Column:
     return F.transform(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")), f)
 
 
-def _grams(hashes: Column, k: int) -> Column:
-    return _each(F.size(hashes) - (k - 1), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(k))))
+def _winnowing(size: int) -> tuple[int, int]:
+    """k and w with k + w - 1 equal to a window's words."""
+    k = (size + 1) // 2
+    return k, size - k + 1
+
+
+def _grams(hashes: Column, size: int) -> Column:
+    """The hashes of k consecutive words; windows of different sizes have different ones."""
+    k, _ = _winnowing(size)
+    return _each(F.size(hashes) - (k - 1), lambda i: F.xxhash64(F.lit(size), *(F.get(hashes, i + j) for j in range(k))))
 
 
 def _winnowed(grams: Column, w: int) -> Column:
@@ -46,27 +56,42 @@ def _bounded(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if used <= most else df
 
 
-def _occurrences(docs: DataFrame, windows: DataFrame, size: int, most: int) -> DataFrame:
-    """(key, at, size, window) wherever a window of so many words stands in docs (key, text); windows: (window)."""
-    k = (size + 1) // 2
-    w = size - k + 1
-    hashed = lambda df, words: df.withColumn("_h", F.transform(words, lambda x: F.xxhash64(x)))
-    prints = hashed(windows, F.split("window", " ")).select(F.explode(_winnowed(_grams(F.col("_h"), k), w)).alias("print")).distinct()
+def _hashed(df: DataFrame, words: Column, sizes: list[int]) -> DataFrame:
+    """df with the hashes of words as _h and, for each size of windows, its k-grams as _g<size>."""
+    hashed = df.withColumn("_h", F.transform(words, lambda x: F.xxhash64(x)))
+    return hashed.withColumns({f"_g{n}": _grams(F.col("_h"), n) for n in sizes})
+
+
+def _occurrences(docs: DataFrame, windows: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """(key, at, size, window) wherever a window stands in docs (key, text); windows: (size, window), of these sizes.
+
+    A text is cut into words and hashed once for the fingerprints of all sizes, and once more where it has one."""
+    w = {n: _winnowing(n)[1] for n in sizes}
+    prints = _hashed(windows, F.split("window", " "), sizes)
+    prints = prints.select(F.explode(F.coalesce(*(F.when(F.col("size") == n, _winnowed(F.col(f"_g{n}"), w[n])) for n in sizes))).alias("print")).distinct()
     prints = _bounded(materialise(prints, "prints"), most)
-    marks = hashed(docs, _words(F.col("text"))).filter(F.size("_h") >= size).withColumn("_g", _grams(F.col("_h"), k))
-    marks = marks.select("key", F.explode(_winnowed(F.col("_g"), w)).alias("print"))
+    marks = _hashed(docs, _words(F.col("text")), sizes).filter(F.size("_h") >= min(sizes))
+    marks = marks.select("key", F.explode(F.flatten(F.array(*(_winnowed(F.col(f"_g{n}"), w[n]) for n in sizes)))).alias("print"))
     hits = materialise(marks.join(prints, "print").groupBy("key").agg(F.collect_set("print").alias("prints")), "hits")
+    # most texts without a hit stay where they are: a hash of the keys that hit has no more than SIEVE values, whatever
+    # their number, so these can be broadcast
+    sieve = lambda key: F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int")
+    near = docs.join(F.broadcast(hits.select(sieve("key").alias("_sieve")).distinct()), sieve(docs["key"]) == F.col("_sieve"), "left_semi")
     # copies of a text become one row before they are dealt, and its partitioning serves the join; hits grow with the
     # documents and so are never broadcast
-    texts = docs.groupBy("key").agg(F.first("text").alias("text"))
-    near = texts.join(hits.hint("merge"), "key").withColumn("_w", _words(F.col("text")))
-    near = hashed(near, F.col("_w")).withColumn("_g", _grams(F.col("_h"), k))
-    # a window holds its fingerprint in one of its w places
-    places = F.filter(_each(F.size("_g"), lambda i: i), lambda i: F.array_contains("prints", F.get("_g", i)))
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda q: F.sequence(F.greatest(q - (w - 1), F.lit(0)), F.least(q, F.size("_w") - size)))))
-    spans = F.transform(starts, lambda p: F.struct(p.alias("at"), F.array_join(F.slice("_w", p + 1, size), " ").alias("window")))
-    found = near.select("key", F.explode(spans).alias("s")).select("key", "s.at", "s.window")
-    return found.join(_bounded(windows, most), "window").select("key", "at", F.lit(size).alias("size"), "window")
+    texts = near.groupBy("key").agg(F.first("text").alias("text"))
+    near = _hashed(texts.join(hits.hint("merge"), "key").withColumn("_w", _words(F.col("text"))), F.col("_w"), sizes)
+
+    def spans(n: int) -> Column:
+        grams = F.col(f"_g{n}")
+        # a window holds its fingerprint in one of its w places
+        places = F.filter(_each(F.size(grams), lambda i: i), lambda i: F.array_contains("prints", F.get(grams, i)))
+        starts = F.transform(places, lambda q: F.when(F.size("_w") >= n, F.sequence(F.greatest(q - (w[n] - 1), F.lit(0)), F.least(q, F.size("_w") - n))))
+        at = F.array_distinct(F.flatten(F.filter(starts, lambda x: x.isNotNull())))
+        return F.transform(at, lambda p: F.struct(p.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("_w", p + 1, n), " ").alias("window")))
+
+    found = near.select("key", F.explode(F.flatten(F.array(*(spans(n) for n in sizes)))).alias("s")).select("key", "s.at", "s.size", "s.window")
+    return found.join(_bounded(windows.select("window"), most), "window").select("key", "at", "size", "window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -85,13 +110,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     spans = _each(F.size("w") - size + 1, lambda i: F.array_join(F.slice("w", i + 1, size), " "))
     owned = items.filter("size(w) > 0").select("item", size.alias("size"), F.explode(spans).alias("window")).distinct()
     owned = materialise(owned, "windows")
-    sizes = [r["size"] for r in owned.select("size").distinct().collect()]  # no more than there are words in a window
+    sizes = sorted(r["size"] for r in owned.select("size").distinct().collect())  # no more than there are words in a window
     texts = docs.filter("text <> ''").select("key", "text")
-    found = None
-    for n in sizes:
-        part = _occurrences(texts, owned.filter(F.col("size") == n).select("window").distinct(), n, most)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if sizes:
+        found = _occurrences(texts, owned.select("size", "window").distinct(), sizes, most)
+    else:
         found = spark.createDataFrame([], "key string, at int, size int, window string")
     found = materialise(found.distinct(), "found")
     ordered = F.sort_array(F.collect_set(F.struct("at", "size")))

@@ -68,3 +68,36 @@ def test_with_and_without_ansi_mode(spark):
             assert got == {1: (0, 0, 0, False), 2: (0, 0, 0, False), 3: (2, 0, 0, False), 4: (2, 2, 1, True)}
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_items_of_one_to_twelve_words_and_short_documents(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(k, f"w{k} {text(k - 1)}" if k % 2 else text(k)) for k in range(1, 13)]
+    docs = [(k, text(k % 15)) for k in range(60)] + [(100 + k, f"{text(k)} {t} {text(9)}") for k, t in items] + [(200 + k, t) for k, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            for most in (1 << 20, 0):
+                assert sorted(map(tuple, contamination(d, b, most=most).collect())) == sorted(brute(docs, items))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_texts_are_read_twice_whatever_the_number_of_window_sizes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from semloom.llm import decontaminate
+
+    spoken, words = [], decontaminate._words
+    monkeypatch.setattr(decontaminate, "_words", lambda text: spoken.append(1) or words(text))
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a b c d e f").alias("text"))
+    counts = []
+    for n in (1, 5):
+        items = spark.createDataFrame([(k, "a b c d e f"[: 2 * k + 1]) for k in range(n)], "item_id long, text string")
+        spoken.clear()
+        assert contamination(docs, items).filter("contaminated").count() == 5
+        counts.append(len(spoken))
+    assert counts[0] == counts[1]
