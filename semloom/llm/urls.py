@@ -16,6 +16,8 @@ from semloom.llm.components import connected_components
 
 #: Fixed values: (action, host, beginning of the path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Rules of up to so many bytes are broadcast.
+BROADCAST_BYTES = 8 << 20
 _TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
@@ -62,20 +64,36 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
-def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def _folders(path: Column) -> Column:
+    """The empty text and every beginning of a path that ends in a slash."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))).otherwise(""))
+
+
+def ruled(urls: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """urls (host, path, ...) with rule and action of the longest rule (action, host, path) that fits, else null.
 
-    A rule fits its host and all subdomains of it where the path starts with the rule's. Each distinct host meets the
-    rules of its suffixes once, and its pages choose among what it met.
+    A rule fits its host and all subdomains of it where the path starts with the rule's. Rules are keyed by host and
+    the folder that their path begins with. Hosts first meet the suffixes that rules have; each distinct place then
+    meets only the rules of its suffixes and of its own folders, and keeps the best one. Rules of up to so many bytes,
+    summed first, are broadcast; more of them, and all that grows with the urls, are joined by sorting, where a suffix
+    with very many hosts is split.
     """
-    known = rules.select("action", F.col("host").alias("suffix"), F.col("path").alias("start"), F.concat("host", "path").alias("rule"))
+    start = F.coalesce("path", F.lit(""))
+    known = rules.select("action", F.col("host").alias("suffix"), start.alias("start"), F.concat("host", start).alias("rule"))
+    known = known.filter("suffix IS NOT NULL").withColumn("folder", F.regexp_extract("start", "(?s)^(.*/)?", 0))
+    used = known.agg(F.sum(F.octet_length("rule") + F.octet_length("start") + 64)).first()[0] or 0
+    dealt = (lambda df: F.broadcast(df)) if used <= most else (lambda df: df.hint("merge"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = urls.filter("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
-    met = hosts.join(known, "suffix").groupBy("host").agg(F.collect_list(F.struct((-F.length("rule")).alias("k"), "rule", "action", "start")).alias("_met"))
-    out = urls.join(materialise(met, "met"), "host", "left")
-    best = F.get(F.sort_array(F.filter("_met", lambda r: F.startswith(F.col("path"), r["start"]))), 0)
-    return out.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("action", F.col("_best.action")).drop("_met", "_best")
+    hosts = materialise(hosts.join(dealt(known.select("suffix").distinct()), "suffix"), "hosts")
+    places = urls.filter("host <> ''").select("host", "path").distinct().join(hosts.hint("merge"), "host")
+    places = places.select("host", "path", "suffix", F.explode(_folders(F.col("path"))).alias("folder"))
+    met = places.join(dealt(known), ["suffix", "folder"]).filter(F.startswith(F.col("path"), F.col("start")))
+    best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("k"), "rule", "action")).alias("_best"))
+    best = materialise(best.select("host", "path", "_best.rule", "_best.action"), "best")
+    return urls.join(best.hint("merge"), ["host", "path"], "left")
 
 
 def _targets(html: Column, url: Column) -> Column:
@@ -110,10 +128,10 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     mine = materialise(ruled(flat.select("page_id", "url", "host", "path"), rules), "ruled")
     others = ruled(ends.distinct().select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
     votes = mine.select("url", "action").unionByName(others.select("url", "action")).filter("action IS NOT NULL AND url IS NOT NULL").distinct()
-    decided = votes.join(comps, "url", "left").groupBy(F.coalesce("component", "url").alias("component")).agg(F.bool_or(F.col("action") == "allow").alias("allowed"))
+    decided = votes.join(comps.hint("merge"), "url", "left").groupBy(F.coalesce("component", "url").alias("component")).agg(F.bool_or(F.col("action") == "allow").alias("allowed"))
     decided = materialise(decided, "decided")
 
-    out = mine.join(comps, "url", "left").withColumn("component", F.coalesce("component", "url")).join(decided, "component", "left")
+    out = mine.join(comps.hint("merge"), "url", "left").withColumn("component", F.coalesce("component", "url")).join(decided.hint("merge"), "component", "left")
     alias = F.when(F.coalesce("allowed", F.lit(True)), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", alias).alias("verdict"))
 

@@ -45,3 +45,38 @@ def test_held_out_accuracy_on_given_documents(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").filter("lang IS NOT NULL").collect()}
     held = [r for r in language.op6_language_id(spark, d).collect() if r.held_out and r.doc_id in truth and r.lang_pred != "und"]
     assert len(held) > 100 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) >= 0.98
+
+
+def plain_vector(text):
+    """The bundle of a text's trigrams, each bound on its own from the letters' rotated vectors."""
+    letters, symbols = language._letters()[2].astype(np.float64), language._symbols()
+    runs = [0]
+    for c in text or "":
+        x = int(symbols[ord(c)])
+        if x or runs[-1]:
+            runs.append(x)
+    runs += [0] if runs[-1] else []
+    out = np.zeros(language.DIMENSIONS)
+    for a, b, c in zip(runs, runs[1:], runs[2:]):
+        out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return out / max(np.linalg.norm(out), 1e-12) if any(runs) else np.zeros(language.DIMENSIONS)
+
+
+def test_against_brute_force_on_given_documents(spark):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", language.held_out().alias("held")).collect()
+    vectors = {id(r): plain_vector(r.text) for r in rows}
+    sums = {}
+    for r in rows:
+        if not r.held and r.lang is not None and r.text is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + vectors[id(r)]
+    want = {}
+    for r in rows:
+        scores = {lang: float(vectors[id(r)] @ v / np.linalg.norm(v)) for lang, v in sums.items()}
+        best = min(scores, key=lambda lang: (-scores[lang], lang))
+        known = any(c.isalpha() for c in r.text or "")
+        want.setdefault(r.doc_id, []).append((r.held, best if known else "und", min(1, max(0, scores[best])) if known else 0.0))
+    got = language.op6_language_id(spark, d).collect()
+    assert len(got) == len(rows) >= 100
+    for r in got:
+        assert any(r.held_out == h and r.lang_pred == lang and abs(r.score - score) < 1e-4 for h, lang, score in want[r.doc_id]), r

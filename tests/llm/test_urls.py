@@ -95,3 +95,23 @@ def test_verdicts_against_union_find(spark):
     got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, spark.createDataFrame(given, "src string, dst string")).collect()
     assert {r.page_id: r.verdict for r in got} == want and len(got) == len(pages)
     assert {want[i] for i, u, _ in pages if not action[u]} == {"allow", "block"}
+
+
+def test_longest_rule_against_brute_force_with_many_rules_on_a_suffix(spark):
+    rng = random.Random(9)
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab/", "/a/b/c", "/a//", "no/slash", "/\n/x"]
+    hosts = ["com", "x.com", "y.x.com", "org", "xcom", "", "a..com"]
+    rules = [*{(rng.choice(["allow", "block"]), rng.choice(hosts[:5]), rng.choice(paths)) for _ in range(30)}]
+    rules += [("block", "com", f"/many/{k}/") for k in range(300)]
+    places = [(h, p + rng.choice(["", "x", "/q"])) for h in hosts for p in paths] + [(f"h{k}.com", f"/many/{k}/page") for k in range(400)]
+    places += places[:20]
+    table = spark.createDataFrame([(*p, k) for k, p in enumerate(places)], "host string, path string, n int").repartition(3)
+    known = spark.createDataFrame(rules, "action string, host string, path string")
+    want = {}
+    for k, (h, p) in enumerate(places):
+        fits = [(-len(r[1] + r[2]), r[1] + r[2], r[0]) for r in rules if h and (h == r[1] or h.endswith("." + r[1])) and p.startswith(r[2])]
+        want[k] = min(fits)[1:] if fits else (None, None)
+    for most in (1 << 20, 0):
+        got = urls.ruled(table, known, most).collect()
+        assert len(got) == len(places)
+        assert {r.n: (r.rule, r.action) for r in got} == want
