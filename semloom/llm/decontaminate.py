@@ -70,7 +70,8 @@ def _occurrences(docs: DataFrame, windows: DataFrame, sizes: list[int], most: in
     prints = _hashed(windows, F.split("window", " "), sizes)
     prints = prints.select(F.explode(F.coalesce(*(F.when(F.col("size") == n, _winnowed(F.col(f"_g{n}"), w[n])) for n in sizes))).alias("print")).distinct()
     prints = _bounded(materialise(prints, "prints"), most)
-    marks = _hashed(docs, _words(F.col("text")), sizes).filter(F.size("_h") >= min(sizes))
+    # a text of fewer words has no fingerprint; a filter on its words would have them cut and hashed once more
+    marks = _hashed(docs, _words(F.col("text")), sizes)
     marks = marks.select("key", F.explode(F.flatten(F.array(*(_winnowed(F.col(f"_g{n}"), w[n]) for n in sizes)))).alias("print"))
     hits = materialise(marks.join(prints, "print").groupBy("key").agg(F.collect_set("print").alias("prints")), "hits")
     # most texts without a hit stay where they are: a hash of the keys that hit has no more than SIEVE values, whatever
