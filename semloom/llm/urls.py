@@ -74,8 +74,8 @@ def ruled(urls: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -> Dat
     """urls (host, path, ...) with rule and action of the longest rule (action, host, path) that fits, else null.
 
     A rule fits its host and all subdomains of it where the path starts with the rule's. Rules are keyed by host and
-    the folder that their path begins with. Hosts first meet the suffixes that rules have; each distinct place then
-    meets only the rules of its suffixes and of its own folders, and keeps the best one. Rules of up to so many bytes,
+    the folder that their path begins with. Each distinct place first meets the suffixes that rules have, then only the
+    rules of its suffixes and of its own folders, and keeps the best one. Rules of up to so many bytes,
     summed first, are broadcast; more of them, and all that grows with the urls, are joined by sorting, where a suffix
     with very many hosts is split.
     """
@@ -86,10 +86,9 @@ def ruled(urls: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -> Dat
     dealt = (lambda df: F.broadcast(df)) if used <= most else (lambda df: df.hint("merge"))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hosts = urls.filter("host <> ''").select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
-    hosts = materialise(hosts.join(dealt(known.select("suffix").distinct()), "suffix"), "hosts")
-    places = urls.filter("host <> ''").select("host", "path").distinct().join(hosts.hint("merge"), "host")
-    places = places.select("host", "path", "suffix", F.explode(_folders(F.col("path"))).alias("folder"))
+    # by place, not by host: a host with very many pages would be one key
+    places = urls.filter("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    places = places.join(dealt(known.select("suffix").distinct()), "suffix").select("host", "path", "suffix", F.explode(_folders(F.col("path"))).alias("folder"))
     met = places.join(dealt(known), ["suffix", "folder"]).filter(F.startswith(F.col("path"), F.col("start")))
     best = met.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("k"), "rule", "action")).alias("_best"))
     best = materialise(best.select("host", "path", "_best.rule", "_best.action"), "best")
