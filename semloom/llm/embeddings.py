@@ -123,17 +123,22 @@ def _meeting(group: pd.DataFrame, bits: int, tables: int, most: int) -> Iterator
         yield here, meets
 
 
-def _root(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after linking the rows i with the rows j: the smallest label that each is connected with."""
+def _joined(label: np.ndarray, here: slice, meets: np.ndarray) -> np.ndarray:
+    """Labels, roots of themselves, after linking the rows `here` with those they meet: the smallest row that each is
+    connected with. One partner of each row and of each column is linked at a time, until none is apart."""
     while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
+        apart = meets & (label[here, None] != label[None, :])
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        if not len(rows):
             return label
-        label = new
+        one = label[np.concatenate([rows + here.start, apart[:, columns].argmax(axis=0) + here.start])]
+        other = label[np.concatenate([apart[rows].argmax(axis=1), columns])]
+        label, low = label.copy(), np.minimum(one, other)
+        # roots are linked, so that what was connected before stays so
+        np.minimum.at(label, one, low)
+        np.minimum.at(label, other, low)
+        while ((up := label[label]) != label).any():
+            label = up
 
 
 _BLOCKS = ["tab", "key", "dims", "x", "y"]
@@ -179,9 +184,7 @@ def linked(classes: DataFrame, vectors: DataFrame, least: float = LEAST, recall:
             for here, meets in _meeting(group, bits, tables, most):
                 near = meets & (unit[here] @ unit.T >= least)
                 sums[here] = near @ n
-                i, j = np.nonzero(near)
-                if len(i):
-                    label = _root(label, i + here.start, j)
+                label = _joined(label, here, near)
             some = sums > 0
             if some.any():
                 yield pd.DataFrame({"src": ids[some], "dst": ids[label[some]], "n": sums[some]})

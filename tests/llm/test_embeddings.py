@@ -64,3 +64,18 @@ def test_doubles_are_compared_as_doubles(spark):
     rows = [(1, [1.0, 0.0]), (2, [1e300, 0.0]), (3, [0.0, 1e-300]), (4, [1e-310, 1e-310])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_tiles_keep_what_earlier_ones_connected():
+    rng = np.random.default_rng(4)
+    for n, tile in ((7, 3), (40, 7), (60, 60)):
+        for _ in range(100):
+            near = np.triu(rng.random((n, n)) < 0.7 / n, 1)
+            near |= near.T
+            label = np.arange(n)
+            for at in range(0, n, tile):
+                label = embeddings._joined(label, slice(at, min(n, at + tile)), near[at : at + tile])
+            want = np.arange(n)
+            for _ in range(n):
+                want = np.minimum(want, np.where(near, want[None, :], n).min(axis=1))
+            assert (label == want).all()
