@@ -38,6 +38,39 @@ def test_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_are_compared_each(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    near = lambda v: (v + rng.standard_normal(16) * 0.02).tolist()
+    rows = [(7, near(a)), (7, near(b)), (9, near(a)), (4, near(b)), (7, None), (8, near(-a))]
+    rows += [rows[0]]
+    got = sorted(map(tuple, embeddings.near_duplicates(table(spark, rows)).collect()))
+    assert got == [(4, 1, 4, True), (7, 0, 7, True), (7, 1, 4, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 1, 7, False)]
+
+
+def test_a_dense_group_is_sent_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for spread in (0.1, 0.2):
+        base = rng.standard_normal(32)
+        rows += [(len(rows) + i, (base + rng.standard_normal(32) * spread).tolist()) for i in range(300)]
+    rows += [(1000 + i, rng.standard_normal(32).tolist()) for i in range(100)]
+    sent, regrouped = [], embeddings._regrouped
+
+    def counted(met):
+        out = regrouped(met)
+        sent.append((met.count(), out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(embeddings, "_regrouped", counted)
+    want = sorted(brute(rows))
+    for block in (8192, 100):
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        assert sorted(map(tuple, embeddings.near_duplicates(table(spark, rows).repartition(3)).collect())) == want
+    (before, after, ids), (_, cut, _) = sent
+    assert before > 3 * ids and after <= 1.1 * ids and after < cut < before
+
+
 def test_layout_keeps_its_recall():
     rng, p = np.random.default_rng(5), np.arccos(0.9) / np.pi
     for n in (10, 10_000, 10**7):
