@@ -91,6 +91,7 @@ def _by_keys(templates: list[Template], view: View) -> DataFrame | None:
     # what a row has as its key is of the key's class: a type says nothing new of a variable that is one anyway
     keys = {(t.subject, b.table, b.s) for t, b in chosen.items() if b.o.constant is None}
     left = [t for t, b in chosen.items() if b.o.constant is None or (t.subject, b.table, b.s) not in keys]
+    subjects: set[str] = set()
     bound: DataFrame | None = None
     while left:
         known = set() if bound is None else set(bound.columns)
@@ -101,13 +102,36 @@ def _by_keys(templates: list[Template], view: View) -> DataFrame | None:
         step = view.table(b.table).select(*(x.raw.alias(v) for v, x in ends))
         for v, _ in ends:
             step = step.filter(F.col(v).isNotNull())
-        bound = step if bound is None else bound.join(step, [v for v, _ in ends if v in known])
+        on = [v for v, _ in ends if v in known]
+        if not left and len(on) == 1 and on[0] == todo.object and on[0] not in subjects and {*known, todo.subject} == {THIS, VALUE, *on}:
+            return _crossed(bound, step, on[0], terms)
+        subjects.add(todo.subject)
+        bound = step if bound is None else bound.join(step, on)
         needed = {THIS, VALUE}.union(*({t.subject, t.object} for t in left))
         bound = bound.select(*(c for c in bound.columns if c in needed))
     pairs = bound.select(THIS, VALUE).distinct()
     return pairs.select(terms[THIS].name(F.col(THIS)).alias("this"), terms[VALUE].name(F.col(VALUE)).alias("value"))
 
 
+def _crossed(near: DataFrame, far: DataFrame, mid: str, terms: dict[str, Term]) -> DataFrame:
+    """The distinct pairs of ends that meet in mid, where each side may have many rows of one mid.
+
+    Pairs are many more than rows, so they are not shuffled to be told apart: an end with a single mid has each pair once, as
+    both sides are distinct. Only pairs of ends with several mids are compared.
+    """
+    (end,), (other,) = ([c for c in side.columns if c != mid] for side in (near, far))
+    # names are made before rows meet, not again for each pair
+    near, far = (side.select(terms[v].name(F.col(v)).alias(v), mid) for side, v in ((near, end), (far, other)))
+    far = far.distinct()
+    # few bytes make many pairs, so the number of tasks is not left to the bytes
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), end)
+    spans = near.groupBy(end).agg(F.min(mid).alias(mid), F.max(mid).alias("_last"))
+    once = spans.filter(F.col(mid) == F.col("_last")).join(far, mid).select(THIS, VALUE)
+    several = near.join(spans.filter(F.col(mid) < F.col("_last")).select(end), end, "left_semi").distinct()
+    pairs = once.unionByName(several.join(far, mid).select(THIS, VALUE).distinct())
+    return pairs.select(F.col(THIS).alias("this"), F.col(VALUE).alias("value"))
+
+
 def reverse(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("value").alias("this"), F.col("this").alias("value"))
 

@@ -33,3 +33,15 @@ def test_only_needed_columns_are_read(spark):
 
     plan = evaluate(PATTERNS["role_bearer"], View(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2 and "Union" not in plan  # the type of a role goes without saying
+
+
+def test_pairs_of_many_to_many_are_distinct_without_a_shuffle_of_all(spark, tmp_path):
+    from semloom.catalogue import PATTERNS
+    from semloom.plans.abox import View
+
+    spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 7), (2, 8), (2, 8)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(5, 7), (5, 8), (6, 7), (6, 7), (9, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = evaluate(PATTERNS["convergent"], View(spark, str(tmp_path)))
+    assert sorted(map(tuple, pairs.collect())) == [("orders/1", "supplier/5"), ("orders/1", "supplier/6"), ("orders/2", "supplier/5"), ("orders/2", "supplier/6")]
+    assert pairs._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
