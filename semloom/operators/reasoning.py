@@ -63,14 +63,19 @@ def propagate_types(types: DataFrame, closure: DataFrame) -> DataFrame:
     return types.select("s", "c").unionByName(up).distinct()
 
 
+def _distinct(types: DataFrame) -> DataFrame:
+    """Distinct types (s, c), told apart after they are dealt: a task that reads a large part of a file keeps none of them."""
+    return types.repartition("s", "c").distinct()
+
+
 def infer_domain(triples: DataFrame, domains: DataFrame) -> DataFrame:
     """Types (s, c) of subjects by domains (p, c)."""
-    return triples.join(domains, "p").select("s", "c").distinct()
+    return _distinct(triples.join(domains, "p").select("s", "c"))
 
 
 def infer_range(triples: DataFrame, ranges: DataFrame) -> DataFrame:
     """Types (s, c) of objects by ranges (p, c)."""
-    return triples.join(ranges, "p").select(F.col("o").alias("s"), "c").distinct()
+    return _distinct(triples.join(ranges, "p").select(F.col("o").alias("s"), "c"))
 
 
 def invert(triples: DataFrame, p: str, inverse: str) -> DataFrame:
@@ -166,5 +171,5 @@ def types_of(triples: DataFrame, *classes: str) -> DataFrame:
 
 
 def small(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """Axioms as a table."""
-    return spark.createDataFrame(rows, columns)
+    """Axioms as a table, which a join with triples sends to them: by its few keys, all triples would go to a few tasks."""
+    return F.broadcast(spark.createDataFrame(rows, columns))
