@@ -20,12 +20,13 @@ def concepts(triples: DataFrame) -> DataFrame:
     """(iri, localName, type, label, comment) of the named classes and properties of triples (ord, s, s_kind, p, o, o_lang).
 
     One pass: a subject that is typed as a property is one, whatever else it is; a label is chosen by preferred(), a
-    comment is the first one. Blank nodes are no concepts.
+    comment is the first one. Blank nodes are no concepts. Triples are dealt by subject before they are sorted to be
+    aggregated, so that a task that reads a large part of a file sorts none of it.
     """
     named = triples.filter("s_kind = 'iri'").filter(F.col("p").isin(TYPE, RDFS + "label", RDFS + "comment"))
     is_type, is_label = F.col("p") == TYPE, F.col("p") == RDFS + "label"
     comment = F.when(F.col("p") == RDFS + "comment", F.col("o"))
-    found = named.groupBy("s").agg(
+    found = named.repartition("s").groupBy("s").agg(
         F.bool_or(is_type & F.col("o").isin(PROPERTY_TYPES)).alias("is_property"),
         F.bool_or(is_type & F.col("o").isin(CLASS_TYPES)).alias("is_class"),
         preferred(F.when(is_label, F.col("o")), F.when(is_label, F.col("o_lang")), F.when(is_label, F.col("ord"))).alias("label"),

@@ -1,4 +1,4 @@
-from semloom.operators import reasoning
+from semloom.operators import concepts, reasoning
 
 
 def _plan(df) -> str:
@@ -19,3 +19,10 @@ def test_axioms_go_to_the_triples(spark):
         plan = _plan(infer(triples, axioms))
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
         assert _dealt_first(plan)
+
+
+def test_concepts_are_sorted_after_they_are_dealt(spark):
+    triples = spark.range(10).selectExpr("id AS ord", "'s' || id % 2 AS s", "'iri' AS s_kind", "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p", "'http://www.w3.org/2002/07/owl#Class' AS o", "'en' AS o_lang")
+    found = concepts.concepts(triples)
+    assert sorted(r.iri for r in found.collect()) == ["s0", "s1"]
+    assert _dealt_first(_plan(concepts.concepts(triples)))
