@@ -283,6 +283,24 @@ def justified(proofs: list[tuple[Saturation, DataFrame]], most_rounds: int = 100
     return rows.select(F.get(pieces, 0).alias("anchor"), given.alias("given"), "s", "p", "o", "rule", "axiom")
 
 
+def alike(types: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Types and edges of one anchor of each kind, and (anchor, same): all anchors with the one that stands for them.
+
+    Anchors are of a kind if their facts differ at most in the anchor that their individuals' names begin with, so what
+    follows is the same of both. Trees of anchors are small; how many kinds there are goes with the model's classes and
+    patterns and not with its properties.
+    """
+    facts = written(facts_of(types, edges))
+    own = lambda c: F.when(F.startswith(c, F.concat("anchor", F.lit(":"))), F.concat(F.lit(_CASE), F.expr(f"substring({c}, length(anchor) + 1)"))).otherwise(F.col(c))
+    shape = facts.groupBy("anchor").agg(F.sort_array(F.collect_set(F.struct(own("s").alias("s"), "p", own("o").alias("o")))).alias("shape"))
+    kinds = written(shape.select("anchor", F.sha2(F.to_json("shape"), 256).alias("kind")))
+    first = kinds.groupBy("kind").agg(F.min("anchor").alias("same"))
+    members = written(kinds.join(first, "kind").select("anchor", "same"))
+    one = facts.join(members.filter("anchor = same").select("anchor"), "anchor", "left_semi")
+    is_type = F.col("p") == TYPE
+    return one.filter(is_type).select("anchor", "s", F.col("o").alias("c")), one.filter(~is_type), members
+
+
 def unsatisfiable(spark: SparkSession, anchors: dict[str, Named | Some | All], classes: list[tuple[str, str]] = ()) -> DataFrame:
     """(anchor, clashes) of the anchors that cannot have instances, given a model's classes and what is above them."""
     types, edges = witnesses(anchors)
@@ -328,13 +346,26 @@ def unfolded(spark: SparkSession, edges: DataFrame, mapped: list[Mapped]) -> tup
     Those are called like the one they grow at, a space and their place. What is added grows with the edges and with
     the size of the model's patterns, never with pairs of rows.
     """
-    sides = [(m.name, "s", f"{k}s", m.domain) for k, m in enumerate(mapped)] + [(m.name, "o", f"{k}o", m.range) for k, m in enumerate(mapped) if m.range]
-    types, links = witnesses({anchor: expression for _, _, anchor, expression in sides})
-    uses = small(spark, [x[:3] for x in sides], "p string, side string, anchor string")
-    members = edges.join(uses, "p").select(F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("root"), "anchor").distinct()
+    return _grown(spark, _members(spark, edges, mapped), mapped)
+
+
+def _sides(mapped: list[Mapped]) -> list[tuple]:
+    return [(m.name, "s", f"{k}s", m.domain) for k, m in enumerate(mapped)] + [(m.name, "o", f"{k}o", m.range) for k, m in enumerate(mapped) if m.range]
+
+
+def _members(spark: SparkSession, edges: DataFrame, mapped: list[Mapped]) -> DataFrame:
+    """(root, anchor): the individuals at which a tree grows."""
+    uses = small(spark, [x[:3] for x in _sides(mapped)], "p string, side string, anchor string")
+    return edges.join(uses, "p").select(F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("root"), "anchor").distinct()
+
+
+def _grown(spark: SparkSession, members: DataFrame, mapped: list[Mapped]) -> tuple[DataFrame, DataFrame]:
+    """Types and edges of the trees of members (root, anchor), with what other columns those have."""
+    types, links = witnesses({anchor: expression for _, _, anchor, expression in _sides(mapped)})
+    others = [c for c in members.columns if c not in ("root", "anchor")]
     place = lambda at: F.when(F.col(at) == F.concat("anchor", F.lit(":0")), F.col("root")).otherwise(F.concat("root", F.lit(" "), at))
-    t = members.join(small(spark, types, "anchor string, at string, c string"), "anchor").select(place("at").alias("s"), "c")
-    e = members.join(small(spark, links, "anchor string, at string, p string, to string"), "anchor").select(place("at").alias("s"), "p", place("to").alias("o"))
+    t = members.join(small(spark, types, "anchor string, at string, c string"), "anchor").select(*others, place("at").alias("s"), "c")
+    e = members.join(small(spark, links, "anchor string, at string, p string, to string"), "anchor").select(*others, place("at").alias("s"), "p", place("to").alias("o"))
     return t, e
 
 
@@ -348,15 +379,34 @@ def datatype_clashes(spark: SparkSession, edges: DataFrame, mapped: list[Mapped]
     return edges.join(bad, "p").select("s", "one", "other").distinct()
 
 
+#: The properties of which a rule speaks, and that which states types.
+_PREDICATES = {TYPE, *upper.TRANSITIVE, *(x for row in (*upper.INVERSES, *upper.SUBPROPERTIES, *upper.CHAINS) for x in row), *(row[0] for row in (*upper.DOMAINS, *upper.RANGES, *upper.DOMAIN_UNIONS, *upper.RANGE_UNIONS)), *(row[1] for row in (*upper.ONLY, *upper.NEVER))}
+
+
 def data_clashes(spark: SparkSession, types: DataFrame, edges: DataFrame, classes: list[tuple[str, str]] = (), mapped: list[Mapped] = ()) -> DataFrame:
     """(s, one, other) for what contradicts itself in instance data (s, c) and (s, p, o), with what a model's classes and
     mapped properties say of it. An individual that a pattern only implies is reported as the one that it was grown at."""
     o, mapped = Ontology(spark, list(classes)), list(mapped)
-    more, links = unfolded(spark, edges, mapped)
-    all_types, all_edges = types.select("s", "c").unionByName(more), edges.select("s", "p", "o").unionByName(links)
-    whole = saturated(all_types.select(F.lit("data").alias("anchor"), "s", "c"), all_edges.select(F.lit("data").alias("anchor"), "s", "p", "o"), o)
-    found = clashes(*whole, o).select(F.substring_index("s", " ", 1).alias("s"), "one", "other")
-    return found.unionByName(datatype_clashes(spark, edges, mapped)).distinct()
+    members, types = _members(spark, edges, mapped), types.select("s", "c")
+    direct = edges.select("s", "p", "o").filter(F.col("p").isin(*sorted(_PREDICATES)))
+    marks = types.select("s", F.concat(F.lit("c"), "c").alias("mark")).unionByName(members.select(F.col("root").alias("s"), F.concat(F.lit("a"), "anchor").alias("mark"))).filter("s IS NOT NULL")
+    found = datatype_clashes(spark, edges, mapped)
+    if not direct.isEmpty():
+        tied = written(direct.select("s").unionByName(direct.select(F.col("o").alias("s"))).distinct())
+        marks = marks.join(tied, "s", "left_anti")
+        more, links = _grown(spark, members.join(tied.select(F.col("s").alias("root")), "root", "left_semi"), mapped)
+        all_types, all_edges = types.join(tied, "s", "left_semi").unionByName(more), direct.unionByName(links)
+        whole = saturated(all_types.select(F.lit("data").alias("anchor"), "s", "c"), all_edges.select(F.lit("data").alias("anchor"), "s", "p", "o"), o)
+        found = found.unionByName(clashes(*whole, o).select(F.substring_index("s", " ", 1).alias("s"), "one", "other"))
+    # no rule leads from one of the others to another: those with the same types and trees are followed once
+    single = written(marks.groupBy("s").agg(F.array_join(F.sort_array(F.collect_set("mark")), _CASE).alias("anchor")))
+    worlds = written(single.select("anchor").distinct())
+    each = worlds.select("anchor", F.explode(F.split("anchor", _CASE)).alias("mark")).select(F.col("anchor").alias("world"), F.col("mark").substr(1, 1).alias("kind"), F.expr("substring(mark, 2)").alias("name"))
+    more, links = _grown(spark, each.filter("kind = 'a'").select("world", F.lit("x").alias("root"), F.col("name").alias("anchor")), mapped)
+    own = each.filter("kind = 'c'").select("world", F.lit("x").alias("s"), F.col("name").alias("c"))
+    whole = saturated(own.unionByName(more).withColumnRenamed("world", "anchor"), links.withColumnRenamed("world", "anchor"), o)
+    bad = clashes(*whole, o).select("anchor", "one", "other").distinct()
+    return found.unionByName(single.join(bad, "anchor").select("s", "one", "other")).distinct()
 
 
 def consistent(spark: SparkSession, types: DataFrame, edges: DataFrame, classes: list[tuple[str, str]] = (), mapped: list[Mapped] = ()) -> bool:
