@@ -703,15 +703,19 @@ _ALIGNED = """WITH a AS (SELECT 'm' || d.n_regionkey || ' p' || c_custkey AS anc
 def unsat_classes(spark: SparkSession, d: str) -> DataFrame:
     """The anchors of all models that cannot have instances, with the classes of those models below the upper ontology."""
     types, edges, below = consistency.model_anchors(*_aligned(spark, d))
-    return consistency.refuted(types, edges, consistency.Ontology(spark, below))[0].select("anchor")
+    types, edges, members = consistency.alike(types, edges)
+    found = consistency.refuted(types, edges, consistency.Ontology(spark, below))[0].select(F.col("anchor").alias("same"))
+    return members.join(found, "same").select("anchor")
 
 
 @query("clash_proofs", f"{_ALIGNED} SELECT anchor, axiom FROM found")
 def clash_proofs(spark: SparkSession, d: str) -> DataFrame:
     """The axiom that each such anchor runs into, by its proof."""
     types, edges, below = consistency.model_anchors(*_aligned(spark, d))
+    types, edges, members = consistency.alike(types, edges)
     _, proofs = consistency.refuted(types, edges, consistency.Ontology(spark, below), trace=True)
-    return consistency.justified(proofs).filter("rule = 'clash'").select("anchor", "axiom")
+    found = consistency.justified(proofs).filter("rule = 'clash'").select(F.col("anchor").alias("same"), "axiom")
+    return members.join(found, "same").select("anchor", "axiom")
 
 
 @query("case_refutation", "SELECT 's' || s_suppkey AS anchor FROM supplier WHERE s_suppkey % 3 = 0")
