@@ -12,6 +12,8 @@ from semloom.model import TYPE
 from semloom.plans.abox import Branch, Term, View, edges_of
 
 THIS, VALUE = "?this", "?value"
+#: Rows of one side of a many-to-many meeting that every task may hold.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -117,16 +119,23 @@ def _crossed(near: DataFrame, far: DataFrame, mid: str, terms: dict[str, Term])
     """The distinct pairs of ends that meet in mid, where each side may have many rows of one mid.
 
     Pairs are many more than rows, so they are not shuffled to be told apart: an end with a single mid has each pair once, as
-    both sides are distinct. Only pairs of ends with several mids are compared.
+    both sides are distinct. Only pairs of ends with several mids are compared. A task makes the pairs of few mids, since a
+    file of pairs is small only where it has few names of the far end.
     """
     (end,), (other,) = ([c for c in side.columns if c != mid] for side in (near, far))
     # names are made before rows meet, not again for each pair
     near, far = (side.select(terms[v].name(F.col(v)).alias(v), mid) for side, v in ((near, end), (far, other)))
     far = far.distinct()
     # few bytes make many pairs, so the number of tasks is not left to the bytes
-    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), end)
+    tasks = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = near.repartition(tasks, end)
     spans = near.groupBy(end).agg(F.min(mid).alias(mid), F.max(mid).alias("_last"))
-    once = spans.filter(F.col(mid) == F.col("_last")).join(far, mid).select(THIS, VALUE)
+    single = spans.filter(F.col(mid) == F.col("_last")).select(end, mid)
+    if far.count() <= FEW:
+        # a join that deals rows would send all of a mid to one task
+        far = F.broadcast(far)
+        single = single.repartitionByRange(tasks, mid, end)
+    once = single.join(far, mid).select(THIS, VALUE)
     several = near.join(spans.filter(F.col(mid) < F.col("_last")).select(end), end, "left_semi").distinct()
     pairs = once.unionByName(several.join(far, mid).select(THIS, VALUE).distinct())
     return pairs.select(F.col(THIS).alias("this"), F.col(VALUE).alias("value"))

@@ -45,3 +45,18 @@ def test_pairs_of_many_to_many_are_distinct_without_a_shuffle_of_all(spark, tmp_
     pairs = evaluate(PATTERNS["convergent"], View(spark, str(tmp_path)))
     assert sorted(map(tuple, pairs.collect())) == [("orders/1", "supplier/5"), ("orders/1", "supplier/6"), ("orders/2", "supplier/5"), ("orders/2", "supplier/6")]
     assert pairs._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
+def test_a_task_makes_the_pairs_of_few_meeting_points(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from semloom.catalogue import PATTERNS
+    from semloom.plans.abox import View
+
+    spark.range(200).selectExpr("id AS o_orderkey", "id % 20 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).selectExpr("id AS c_custkey", "CAST(id % 5 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(30).selectExpr("id AS s_suppkey", "CAST(id % 5 AS INT) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = evaluate(PATTERNS["convergent"], View(spark, str(tmp_path))).select(F.spark_partition_id(), "this", "value").collect()
+    assert len({r[1:] for r in rows}) == len(rows) == 200 * 6
+    met = {(part, int(this.split("/")[1]) % 5) for part, this, _ in rows}
+    assert len({part for part, _ in met}) == 4 and len(met) <= 5 + 4 - 1
