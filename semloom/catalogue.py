@@ -773,7 +773,9 @@ def literal_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def graph_merge(spark: SparkSession, d: str) -> DataFrame:
     """Orders and their lines as blank nodes, in two graphs with other labels: the merged graph is that of one."""
     blank = lambda source, *x: F.concat(F.lit(f"_:{source}"), *x)
-    none, o, li = F.lit(None).cast("string"), _read(spark, d, "orders"), _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    none, o = F.lit(None).cast("string"), _read(spark, d, "orders")
+    # labels that stand next to each other are shuffled as few bytes
+    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct().sortWithinPartitions("l_orderkey")
 
     def copy(source: str, order, line) -> DataFrame:
         row = lambda s, p, x, kind: (F.lit(source).alias("source"), s.alias("s"), F.lit("blank").alias("s_kind"), F.lit(p).alias("p"), x.cast("string").alias("o"), F.lit(kind).alias("o_kind"), none.alias("o_lang"), none.alias("o_dtype"))
@@ -782,7 +784,9 @@ def graph_merge(spark: SparkSession, d: str) -> DataFrame:
 
     one = copy("one", lambda k: blank("o", k), lambda k, n: blank("l", k, F.lit("_"), n))
     two = copy("two", lambda k: blank("l", k), lambda k, n: blank("o", n, F.lit("_"), k))
-    return rdf.merged(one.unionByName(two)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
+    # every subject is a blank node, whose label is two numbers in hex
+    node = F.unhex(F.substring("s", 3, 32))
+    return rdf.merged(one.unionByName(two)).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct(node).alias("subjects"))
 
 
 # -- explanations ----------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from semloom.model import TYPE
 from semloom.plans.abox import edges_of
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cuts the lineage of a round by a table in the session's checkpoint folder; one of its own only in local mode, where none is set."""
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -22,7 +22,7 @@ def written(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="semloom-"))
         root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

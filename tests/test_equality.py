@@ -88,3 +88,90 @@ def test_rounds_read_no_triples_of_literals(spark, tmp_path):
     rows = [("one", f"_:{k}", "blank", "p", str(k % 3), "literal", None, None) for k in range(6)]
     got = rdf.merged(spark.createDataFrame(rows, schema))
     assert got.count() == 6 and all(len(r.s) == 34 for r in got.collect())
+
+
+SCHEMA = "source string, s string, s_kind string, p string, o string, o_kind string, o_lang string, o_dtype string"
+
+
+def told_apart(triples):
+    """Classes of the blank nodes (source, label) of triples that rounds over all of them don't tell apart."""
+    linked = lambda t: t[2] == t[5] == "blank" and t[1] != t[4]
+    own, near = {}, {}
+    for t in triples:
+        source, s, sk, p, o, ok, lang, dtype = t
+        for end, mine, kind, other, other_kind in (("s", s, sk, o, ok), ("o", o, ok, s, sk)):
+            if kind == "blank":
+                own.setdefault((source, mine), [])
+                near.setdefault((source, mine), [])
+                if linked(t):
+                    near[source, mine].append((end, p, (source, other)))
+                else:
+                    own[source, mine].append(repr((end, p, "self" if other_kind == "blank" else (other, other_kind), lang, dtype)))
+    colour = {n: repr(sorted(x)) for n, x in own.items()}
+    while True:
+        ids = {c: k for k, c in enumerate(sorted(set(colour.values())))}
+        after = {n: repr((ids[c], sorted((e, p, ids[colour[m]]) for e, p, m in near[n]))) for n, c in colour.items()}
+        if len(set(after.values())) == len(ids):
+            return {n: colour[n] for n in colour}
+        colour = after
+
+
+def brute_merge(triples):
+    classes = told_apart(triples)
+    count = {}
+    for (source, _), c in classes.items():
+        count[source, c] = count.get((source, c), 0) + 1
+    name = lambda source, x, kind: x if kind != "blank" else classes[source, x] if count[source, classes[source, x]] == 1 else f"{source} {x}"
+    return {(name(t[0], t[1], t[2]), t[2], t[3], name(t[0], t[4], t[5]), *t[5:]) for t in triples}
+
+
+def test_merging_random_graphs_is_as_by_brute_force(spark):
+    rng = random.Random(8)
+    triples = set()
+    for k in range(150):
+        size = rng.randrange(1, 6)
+        part = set()
+        for _ in range(rng.randrange(1, 9)):
+            a, b = (f"n{k}_{rng.randrange(size)}" for _ in range(2))
+            part.add(rng.choice([(a, "blank", rng.choice("pq"), b, "blank"), (a, "blank", "p", str(rng.randrange(3)), "literal"), ("x", "iri", "q", b, "blank"), (f"x{k % 9}", "iri", "p", "y", "iri")]))
+        part = sorted(part)
+        for source in ("one", "two", "three"):
+            rows = [x for x in part if source == "one" or rng.random() < 0.95]
+            relabelled = {f"n{k}_{j}": f"_:{source}{rng.randrange(10**9)}" for j in range(size)}
+            triples |= {(source, relabelled.get(s, s), sk, p, relabelled.get(o, o), ok, None, None) for s, sk, p, o, ok in rows}
+    # stars and chains, and a leaf that looks like another of its anchor
+    for source in ("one", "two"):
+        for k in range(6):
+            triples |= {(source, f"_:{source}s{k}", "blank", "total", str(k), "literal", None, None)}
+            for j in range(k):
+                triples |= {(source, f"_:{source}s{k}", "blank", "line", f"_:{source}l{k}_{j}", "blank", None, None), (source, f"_:{source}l{k}_{j}", "blank", "number", str(j % 4), "literal", "en", None)}
+            triples |= {(source, f"_:{source}c{j}", "blank", "next", f"_:{source}c{j + 1}", "blank", None, None) for j in range(k)}
+    rows = sorted(triples, key=str)
+    got = {tuple(r) for r in rdf.merged(spark.createDataFrame(rows + rows[::3], SCHEMA)).collect()}
+    want = brute_merge(rows)
+    shape = lambda graph: sorted(told_apart([("all", *t) for t in graph]).values())
+    nodes = lambda graph: {x for t in graph for x in ((t[0], t[1]), (t[3], t[4])) if x[1] == "blank"}
+    assert len(got) == len(want) < len(rows) and len(nodes(got)) == len(nodes(want))
+    assert shape(got) == shape(want)
+    assert {t for t in got if "blank" not in (t[1], t[4])} == {t for t in want if "blank" not in (t[1], t[4])}
+
+
+def chain(source, last, n=5):
+    typed = [(source, f"_:{k}", "blank", "type", f"T{k}", "iri", None, None) for k in range(n)]
+    return typed + [(source, f"_:{k}", "blank", "next", f"_:{k + 1}", "blank", None, None) for k in range(n - 1)] + [(source, f"_:{n - 1}", "blank", "age", last, "literal", None, None)]
+
+
+def test_nodes_that_differ_far_away_are_not_merged(spark):
+    """Each node is known in its source at once, so the sources must be told apart together."""
+    assert rdf.merged(spark.createDataFrame(chain("one", "5") + chain("two", "6"), SCHEMA)).count() == 20
+    assert rdf.merged(spark.createDataFrame(chain("one", "5") + chain("two", "5"), SCHEMA)).count() == 10
+    # what rounds don't settle stays apart
+    assert rdf.merged(spark.createDataFrame(chain("one", "5") + chain("two", "6"), SCHEMA), most_rounds=2).count() == 20
+
+
+def test_nodes_that_hang_from_one_node_need_no_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(rdf, "written", lambda df, whole=rdf.written, **x: tables.append(df.columns) or whole(df, **x))
+    star = [x for s in ("one", "two") for k in range(3) for x in [(s, f"_:{s}{k}", "blank", "line", f"_:{s}{k}_{j}", "blank", None, None) for j in range(2)] + [(s, f"_:{s}{k}_{j}", "blank", "number", str(j), "literal", None, None) for j in range(2)] + [(s, f"_:{s}{k}", "blank", "total", str(k), "literal", None, None)]]
+    assert rdf.merged(spark.createDataFrame(star, SCHEMA)).count() == 15
+    assert len(tables) == 1
