@@ -774,8 +774,9 @@ def graph_merge(spark: SparkSession, d: str) -> DataFrame:
     """Orders and their lines as blank nodes, in two graphs with other labels: the merged graph is that of one."""
     blank = lambda source, *x: F.concat(F.lit(f"_:{source}"), *x)
     none, o = F.lit(None).cast("string"), _read(spark, d, "orders")
-    # labels that stand next to each other are shuffled as few bytes
-    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct().sortWithinPartitions("l_orderkey")
+    # labels that stand next to each other are shuffled as few bytes; two numbers in a shuffle are many times their bytes in memory
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition(tasks, "l_orderkey").distinct().sortWithinPartitions("l_orderkey")
 
     def copy(source: str, order, line) -> DataFrame:
         row = lambda s, p, x, kind: (F.lit(source).alias("source"), s.alias("s"), F.lit("blank").alias("s_kind"), F.lit(p).alias("p"), x.cast("string").alias("o"), F.lit(kind).alias("o_kind"), none.alias("o_lang"), none.alias("o_dtype"))
